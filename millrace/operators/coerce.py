@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.cells import (
-    array_items,
+    array_to_text,
     boolean_of,
     integer_of,
     number_of,
+    parse_array,
     trimmed,
-    unquoted,
 )
 from millrace.functions.names import named
 from millrace.schema import TableSchema
@@ -39,7 +39,7 @@ def _value_type(schema: TableSchema, name: str) -> T.DataType:
 def _value(column: Column, want: T.DataType) -> Column:
     text = trimmed(column)
     if isinstance(want, T.ArrayType):
-        return F.transform(array_items(text), lambda x: unquoted(x))
+        return parse_array(text)
     if isinstance(want, T.DoubleType):
         return number_of(text)
     if isinstance(want, T.LongType):
@@ -93,6 +93,24 @@ def coerce_types(df: DataFrame, schema: TableSchema) -> DataFrame:
     return cleaned.select("*", F.struct(*members).alias(TYPED))
 
 
+def stored_form(df: DataFrame, schema: TableSchema | None) -> DataFrame:
+    """Array columns as they are stored: ``[a, b]`` text, or real arrays when
+    the schema stores typed values. Text that is no array stays as it is."""
+    if schema is None:
+        return df
+    out = []
+    for f in df.schema.fields:
+        column = named(f.name)
+        if isinstance(f.dataType, T.StringType) and "array" in schema.json_types(f.name):
+            items = parse_array(trimmed(column))
+            if isinstance(schema.spark_type(f.name), T.ArrayType):
+                column = items
+            else:
+                column = F.coalesce(array_to_text(items), column)
+        out.append(column.alias(f.name))
+    return df.select(*out)
+
+
 def typed(name: str) -> Column:
     """A coerced value of a frame made by ``coerce_types``."""
     return F.col(TYPED).getField(name)

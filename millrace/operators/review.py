@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from millrace.functions.cells import array_to_text
 from millrace.functions.names import key_list, named, row_of
+from millrace.operators.coerce import stored_form
 from millrace.operators.merge import unseen
 from millrace.operators.validate import ERRORS, has_errors
 
@@ -182,5 +183,8 @@ def commit_reviewed(store, staged, update_existing: bool = True, **options):
 
     policy = WritePolicy.UPSERT if update_existing else WritePolicy.APPEND
     store.set_write_policy(policy)
-    ready = {table: kept_rows(df) for table, df in staged.items()}
+    ready = {
+        table: stored_form(kept_rows(df), store.schema(table))
+        for table, df in staged.items()
+    }
     return store.commit_tables(ready, order_by="Row", policy=policy, **options)

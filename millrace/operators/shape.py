@@ -15,7 +15,6 @@ from millrace.schema import TableSchema
 # Helper columns used while staging and in version history.
 STAGING_COLUMNS = ["Row", "_delete"]
 HISTORY_COLUMNS = ["_version", "_deleted", "_metadata"]
-PARSER_COLUMNS = ["adtl_valid", "adtl_error"]
 
 
 def schema_order(
@@ -113,5 +112,6 @@ def union_by_name(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def drop_helpers(df: DataFrame, *extra: str) -> DataFrame:
-    """Remove staging, history and parser helper columns."""
-    return df.drop(*STAGING_COLUMNS, *HISTORY_COLUMNS, *PARSER_COLUMNS, *extra)
+    """Remove staging and history columns, and ``extra`` ones such as the
+    validity flags a source tool adds."""
+    return df.drop(*STAGING_COLUMNS, *HISTORY_COLUMNS, *extra)

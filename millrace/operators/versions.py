@@ -144,18 +144,18 @@ def current_view(history: DataFrame, key, tombstone: str = "hide") -> DataFrame:
     """The latest live row of each key, without history columns.
 
     ``tombstone="hide"`` ranks first, so a deleted key stays deleted.
-    ``"reference"`` drops deleting rows before ranking, which brings the
+    ``"skip"`` drops deleting rows before ranking, which brings the
     version before a deletion back. Without a key: distinct live rows,
     metadata included.
     """
-    if tombstone not in ("hide", "reference"):
+    if tombstone not in ("hide", "skip"):
         raise ValueError(f"unknown tombstone mode {tombstone!r}")
     keys = key_list(key)
     columns = data_columns(history)
     if not keys:
         live = history.filter(~F.col("_deleted")).drop(SEQ)
         return live.distinct().select(*[named(c) for c in columns])
-    if tombstone == "reference":
+    if tombstone == "skip":
         history = history.filter(~F.col("_deleted"))
     rest = [c for c in columns if c not in keys]
     latest = _latest(history, keys, rest)
