@@ -26,11 +26,15 @@ WHITESPACE = (
 # Accepted number spellings. A number without a point has to be
 # a whole number, so '1e5' stays text while '1.5e3' parses.
 INTEGER = r"^[+-]?[0-9]+$"
-DECIMAL = r"^[+-]?([0-9]+\.[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+NUMBER = r"^[+-]?([0-9]+|([0-9]+\.[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?)$"
 
 
 def trimmed(text: Column) -> Column:
-    return F.btrim(text, F.lit(WHITESPACE))
+    """Strip whitespace. Only text that starts or ends in something else than
+    a printable ASCII character goes through the character set."""
+    first, last = F.ascii(text), F.ascii(F.right(text, F.lit(1)))
+    suspect = (first < 33) | (first > 126) | (last < 33) | (last > 126)
+    return F.when(suspect, F.btrim(text, F.lit(WHITESPACE))).otherwise(text)
 
 
 def integer_of(text: Column) -> Column:
@@ -39,7 +43,7 @@ def integer_of(text: Column) -> Column:
 
 def number_of(text: Column) -> Column:
     """Double value of a whole or decimal number spelling, else null."""
-    return F.when(text.rlike(INTEGER) | text.rlike(DECIMAL), text.try_cast("double"))
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 
 def boolean_of(text: Column) -> Column:
@@ -151,9 +155,8 @@ def typed_cell(column: Column, data_type: T.DataType) -> Cell:
     return Cell(column.isNull(), shown, text=shown)
 
 
-def text_cell(column: Column, json_types: Sequence[str]) -> Cell:
-    """A text column read towards the declared JSON types."""
-    text = trimmed(column)
+def text_cell(text: Column, json_types: Sequence[str]) -> Cell:
+    """Trimmed text read towards the declared JSON types."""
     left = text  # what earlier kinds did not take
     items = number = boolean = None
     is_null = text.isNull()
@@ -175,7 +178,42 @@ def text_cell(column: Column, json_types: Sequence[str]) -> Cell:
     return Cell(is_null, text, text=left, number=number, boolean=boolean, items=items)
 
 
-def read_cell(column: Column, data_type: T.DataType, json_types: Sequence[str]) -> Cell:
-    if isinstance(data_type, (T.StringType, T.NullType)):
-        return text_cell(column.cast("string"), json_types)
-    return typed_cell(column, data_type)
+def read_cells(
+    df: DataFrame, json_types: dict[str, Sequence[str]]
+) -> tuple[DataFrame, dict[str, Cell]]:
+    """Cells of the named columns, each kind computed once.
+
+    Kinds become helper columns (``__cell...``) in projections of their own.
+    Catalyst keeps such projections apart as long as their results are used
+    more than once, so checks read ready values instead of repeating the
+    trimming, matching and casting in every keyword.
+    """
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    texts = [
+        c for c in json_types if isinstance(kinds[c], (T.StringType, T.NullType))
+    ]
+    position = {c: i for i, c in enumerate(json_types)}
+    df = df.select(
+        "*",
+        *[
+            trimmed(named(c).cast("string")).alias(f"__cell{position[c]}")
+            for c in texts
+        ],
+    )
+    helpers: list[Column] = []
+    cells: dict[str, Cell] = {}
+    for c, declared in json_types.items():
+        if c not in texts:
+            cells[c] = typed_cell(named(c), kinds[c])
+            continue
+        base = f"__cell{position[c]}"
+        cell = text_cell(F.col(base), declared)
+        parts = {}
+        for kind in ("number", "boolean", "items", "text", "is_null"):
+            column = getattr(cell, kind)
+            if column is not None:
+                helpers.append(column.alias(f"{base}_{kind}"))
+                column = F.col(f"{base}_{kind}")
+            parts[kind] = column
+        cells[c] = Cell(shown=F.col(base), **parts)
+    return df.select("*", *helpers), cells

@@ -13,16 +13,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.cells import Cell, read_cell
-from millrace.functions.names import named
+from millrace.functions.cells import Cell, text_cell
 from millrace.schema import TableSchema, as_list
 
 ERROR = T.StructType(
@@ -46,6 +45,10 @@ FORMAT_PATTERNS = {
 }
 
 
+def no_errors() -> Column:
+    return F.array().cast(T.ArrayType(ERROR))
+
+
 @dataclass(frozen=True)
 class Check:
     """``fails`` is never null. ``several`` lists errors of array elements when
@@ -370,11 +373,11 @@ def cell_checks(
 
 def record_checks(
     schema: TableSchema,
-    columns: Mapping[str, T.DataType],
+    cells: Mapping[str, Cell],
     spec: Any = None,
     assert_format: bool = False,
 ) -> list[Check]:
-    """Checks of a whole row. ``columns`` are the batch's data columns.
+    """Checks of a whole row. ``cells`` are the batch's data columns.
 
     Presence is a property of the frame: ``required`` fails for every row when
     the column is absent, and never for a null cell.
@@ -390,22 +393,20 @@ def record_checks(
         out.append(Check(F.lit(True), "", "type", F.lit("the row is an object")))
 
     def checks_of(name: str, sub: Any) -> list[Check]:
-        # Cells are coerced towards the type the document declares for them.
-        cell = read_cell(named(name), columns[name], schema.json_types(name))
-        return cell_checks(schema, cell, sub, name, assert_format)
+        return cell_checks(schema, cells[name], sub, name, assert_format)
 
     properties = spec.get("properties", {})
     patterns = spec.get("patternProperties", {})
     for name, sub in properties.items():
-        if name in columns:
+        if name in cells:
             out += checks_of(name, sub)
     matched: set[str] = set()
     for pattern, sub in patterns.items():
-        for name in columns:
+        for name in cells:
             if re.search(pattern, name):
                 matched.add(name)
                 out += checks_of(name, sub)
-    extra = [c for c in columns if c not in properties and c not in matched]
+    extra = [c for c in cells if c not in properties and c not in matched]
     additional = schema.resolve(spec.get("additionalProperties", True))
     if additional is False and extra:
         shown = ", ".join(f"'{c}'" for c in extra)
@@ -416,42 +417,70 @@ def record_checks(
         for name in extra:
             out += checks_of(name, additional)
     for name in spec.get("required", []):
-        if name not in columns:
+        if name not in cells:
             text = F.lit(f"'{name}' is a required property")
             out.append(Check(F.lit(True), "", "required", text))
-    if len(columns) < spec.get("minProperties", 0):
+    if len(cells) < spec.get("minProperties", 0):
         out.append(Check(F.lit(True), "", "minProperties", F.lit("too few properties")))
-    if "maxProperties" in spec and len(columns) > spec["maxProperties"]:
+    if "maxProperties" in spec and len(cells) > spec["maxProperties"]:
         out.append(Check(F.lit(True), "", "maxProperties", F.lit("too many properties")))
     if "propertyNames" in spec:
-        for name in columns:
-            cell = read_cell(F.lit(name), T.StringType(), [])
+        for name in cells:
+            cell = text_cell(F.lit(name), [])
             out += cell_checks(schema, cell, spec["propertyNames"], "", assert_format)
     for name, need in spec.get("dependencies", {}).items():
-        if name not in columns:
+        if name not in cells:
             continue
         if isinstance(need, list):
             for other in need:
-                if other not in columns:
+                if other not in cells:
                     text = F.lit(f"'{other}' is a dependency of '{name}'")
                     out.append(Check(F.lit(True), "", "dependencies", text))
         else:
-            out += record_checks(schema, columns, need, assert_format)
+            out += record_checks(schema, cells, need, assert_format)
     out += _combined(
-        lambda sub: record_checks(schema, columns, sub, assert_format), spec, "", whole
+        lambda sub: record_checks(schema, cells, sub, assert_format), spec, "", whole
     )
     return out
 
 
-def error_array(checks: list[Check]) -> Column:
-    """All failing checks of a row as an array of (path, keyword, message)."""
-    nothing = F.array().cast(T.ArrayType(ERROR))
-    single = [c.error() for c in checks if c.several is None]
-    parts = [
-        F.filter(F.array(*single), lambda e: e.isNotNull()) if single else nothing
+def evaluated(df: DataFrame, checks: list[Check], prefix: str) -> tuple[DataFrame, list[Check]]:
+    """Compute each check's verdict once, as a helper column.
+
+    Plain verdicts form one projection that stays inside whole-stage codegen;
+    verdicts over array items, which need lambda functions, form a second one.
+    """
+    plain = [
+        c.fails.alias(f"{prefix}{i}") for i, c in enumerate(checks) if c.several is None
     ]
-    parts += [
-        F.coalesce(c.several, nothing) for c in checks if c.several is not None
+    items = [
+        F.coalesce(c.several, no_errors()).alias(f"{prefix}{i}")
+        for i, c in enumerate(checks)
+        if c.several is not None
     ]
-    return F.concat(*parts) if len(parts) > 1 else parts[0]
+    if plain:
+        df = df.select("*", *plain)
+    if items:
+        df = df.select("*", *items)
+    done = []
+    for i, c in enumerate(checks):
+        column = F.col(f"{prefix}{i}")
+        if c.several is None:
+            done.append(replace(c, fails=column))
+        else:
+            done.append(replace(c, fails=F.size(column) > 0, several=column))
+    return df, done
+
+
+def error_array(checks: list[Check]) -> Column:
+    """All failing checks of a row as an array of (path, keyword, message).
 
+    Messages are only built for rows where something fails.
+    """
+    if not checks:
+        return no_errors()
+    single = [c.error() for c in checks if c.several is None]
+    parts = [F.filter(F.array(*single), lambda e: e.isNotNull())] if single else []
+    parts += [c.several for c in checks if c.several is not None]
+    errors = F.concat(*parts) if len(parts) > 1 else parts[0]
+    return F.when(_any([c.fails for c in checks]), errors).otherwise(no_errors())

@@ -36,8 +36,7 @@ def _value_type(schema: TableSchema, name: str) -> T.DataType:
     return T.StringType()
 
 
-def _value(column: Column, want: T.DataType) -> Column:
-    text = trimmed(column)
+def _value(text: Column, want: T.DataType) -> Column:
     if isinstance(want, T.ArrayType):
         return parse_array(text)
     if isinstance(want, T.DoubleType):

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.checks import ERROR, error_array, record_checks
+from millrace.functions.cells import read_cells
+from millrace.functions.checks import error_array, evaluated, no_errors, record_checks
 from millrace.functions.names import named
 from millrace.operators.coerce import TYPED
 from millrace.operators.shape import STAGING_COLUMNS
@@ -21,31 +22,56 @@ WARNINGS = "_warnings"
 _HELPERS = {*STAGING_COLUMNS, TYPED, ERRORS, WARNINGS}
 
 
-def row_errors(df: DataFrame, schema: TableSchema, assert_format: bool = False) -> Column:
-    columns = {f.name: f.dataType for f in df.schema.fields if f.name not in _HELPERS}
-    return error_array(record_checks(schema, columns, assert_format=assert_format))
-
-
 def with_errors(
     df: DataFrame,
     schema: TableSchema | None,
     relaxed: TableSchema | None = None,
     assert_format: bool = False,
+    clean: bool = False,
 ) -> DataFrame:
     """Add ``_errors`` and ``_warnings``.
 
     With a relaxed schema, that one gives the errors and the base schema the
-    warnings. Without a base schema nothing is validated.
+    warnings. Without a base schema nothing is validated. Cells are read
+    towards the types of the base schema in both cases. ``clean`` also puts
+    the cleaned text into the columns themselves (as ``clean_text`` does).
+
+    A filter on these columns makes Catalyst compute the checks once more below
+    the filter, so a batch that is reviewed in several steps should be written
+    after this step (``stage`` does so).
     """
-    nothing = F.array().cast(T.ArrayType(ERROR))
-    errors = warnings = nothing
-    if schema is not None:
-        if relaxed is not None:
-            errors = row_errors(df, relaxed, assert_format)
-            warnings = row_errors(df, schema, assert_format)
-        else:
-            errors = row_errors(df, schema, assert_format)
-    return df.select("*", errors.alias(ERRORS), warnings.alias(WARNINGS))
+    if schema is None:
+        return df.select("*", no_errors().alias(ERRORS), no_errors().alias(WARNINGS))
+    names = [c for c in df.columns if c not in _HELPERS]
+    texts = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
+    columns = df.columns
+    df, cells = read_cells(df, {c: schema.json_types(c) for c in names})
+    kept = []
+    for c in columns:
+        column = named(c)
+        if clean and c in texts and c in names:
+            column = cells[c].shown
+            if "null" in schema.json_types(c):
+                column = F.when(column != "", column)
+        kept.append(column.alias(c))
+    df, errors = evaluated(
+        df, record_checks(relaxed or schema, cells, assert_format=assert_format), "__error"
+    )
+    warnings = []
+    if relaxed is not None:
+        df, warnings = evaluated(
+            df, record_checks(schema, cells, assert_format=assert_format), "__warning"
+        )
+    return df.select(
+        *kept, error_array(errors).alias(ERRORS), error_array(warnings).alias(WARNINGS)
+    )
+
+
+def _exploded(df: DataFrame, array: Column, *keep: Column) -> DataFrame:
+    """One row per array item. The outer form, since the plain one would be
+    given a filter on the array's size that computes the whole array again."""
+    out = df.select(*keep, F.explode_outer(array).alias("e"))
+    return out.filter(F.col("e").isNotNull())
 
 
 def error_rows(checked: DataFrame, row: str = "Row") -> DataFrame:
@@ -63,7 +89,7 @@ def error_rows(checked: DataFrame, row: str = "Row") -> DataFrame:
         )
 
     everything = F.concat(tag(ERRORS, "error"), tag(WARNINGS, "warning"))
-    return checked.select(named(row), F.explode(everything).alias("e")).select(
+    return _exploded(checked, everything, named(row)).select(
         named(row), "e.severity", "e.path", "e.keyword", "e.message"
     )
 
@@ -98,7 +124,7 @@ def error_log(checked: DataFrame, row: str = "Row") -> DataFrame:
 def error_summary(checked: DataFrame) -> DataFrame:
     """Error count per path and keyword."""
     return (
-        checked.select(F.explode(ERRORS).alias("e"))
+        _exploded(checked, F.col(ERRORS))
         .groupBy(F.col("e.path").alias("path"), F.col("e.keyword").alias("keyword"))
         .agg(F.count(F.lit(1)).alias("n"))
     )

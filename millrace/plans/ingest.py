@@ -1,50 +1,66 @@
-"""The ingest flow: source file, mapper, staging, validation, review, commit."""
+"""The ingest flow: source file, mapper, validation, staging, review, commit."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from millrace.operators.coerce import clean_text
-from millrace.operators.review import commit_reviewed
+from millrace.operators.review import commit_reviewed, overlay_edits
 from millrace.operators.staging import stage
-from millrace.operators.validate import validate, with_errors
+from millrace.operators.validate import ERRORS, WARNINGS, error_rows, with_errors
 from millrace.project import Project
+from millrace.session import scratch_dir
 from millrace.sources.csv import read_csv_source
 
 
 @dataclass
 class StagedTable:
-    """One target table of a batch. ``rows`` carries ``Row``, ``_delete``, the
-    data and the error arrays."""
+    """One target table of a batch: ``Row``, ``_delete``, the cleaned data and
+    the error arrays, all read back from a written copy."""
 
     table: str
     rows: DataFrame
     project: Project
 
     def errors(self) -> DataFrame:
-        schema = self.project.store.schema(self.table)
-        relaxed = self.project.store.schema(self.table, relaxed=True)
-        return validate(self.rows.drop("_errors", "_warnings"), schema, relaxed)
+        return error_rows(self.rows)
 
 
-def check(project: Project, table: str, staged: DataFrame) -> StagedTable:
-    """Clean and validate a numbered batch against the table's schemas."""
+def _checked(project: Project, table: str, df: DataFrame) -> DataFrame:
     schema = project.store.schema(table)
     relaxed = project.store.schema(table, relaxed=True)
-    cleaned = clean_text(staged, schema) if schema else staged
-    return StagedTable(table, with_errors(cleaned, schema, relaxed), project)
+    return with_errors(df, schema, relaxed, clean=True)
+
+
+def stage_table(
+    project: Project, table: str, df: DataFrame, order_by: Sequence[str] = ()
+) -> StagedTable:
+    """Clean, validate and number a batch in one pass over its source. Review
+    steps and the commit then scan the written result."""
+    return StagedTable(table, stage(_checked(project, table, df), order_by), project)
+
+
+def apply_edits(staged: StagedTable, edits: DataFrame, order_by: str | None = None) -> StagedTable:
+    """Put a reviewer's edited rows in place, then clean and validate again."""
+    base = staged.rows.drop(ERRORS, WARNINGS)
+    edited = overlay_edits(base, edits, order_by=order_by)
+    checked = _checked(staged.project, staged.table, edited)
+    path = scratch_dir(staged.project.spark, "edited")
+    checked.write.parquet(path)
+    rows = staged.project.spark.read.schema(checked.schema).parquet(path)
+    return StagedTable(staged.table, rows, staged.project)
 
 
 def ingest(
     project: Project, mapper: str, source: DataFrame | str, table: str = "table"
 ) -> dict[str, StagedTable]:
-    """Stage a source: each target is written once with its row numbers."""
+    """Stage a source into each target table its mapper names."""
     if isinstance(source, str):
         source = read_csv_source(project.spark, source)
     targets = project.run_mapper(mapper, source, table)
-    return {name: check(project, name, stage(df)) for name, df in targets.items()}
+    return {name: stage_table(project, name, df) for name, df in targets.items()}
 
 
 def commit(project: Project, staged: dict[str, StagedTable], **options):

@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions.cells import array_to_text, nan_to_null, parse_array
-from millrace.functions.checks import record_checks
 from millrace.operators import mapping as maps
 from millrace.operators import review
 from millrace.operators.coerce import clean_text, coerce_types, trim_text, typed
 from millrace.operators.coerce import stored_form
 from millrace.operators.mapping import FieldMap
-from millrace.operators.staging import stage
 from millrace.operators.validate import (
     error_log,
     error_summary,
@@ -19,7 +17,7 @@ from millrace.operators.validate import (
     validate,
     with_errors,
 )
-from millrace.plans.ingest import check
+from millrace.plans.ingest import stage_table
 from millrace.plans.registry import query
 from millrace.plans.relations import (
     STAGED,
@@ -36,7 +34,7 @@ SCHEMA = TableSchema(STAGED)
 
 
 def checked(spark, sf):
-    return with_errors(clean_text(staged(spark, sf), SCHEMA), SCHEMA)
+    return with_errors(staged(spark, sf), SCHEMA, clean=True)
 
 
 def errors_of(spark, sf, keyword):
@@ -388,15 +386,13 @@ def val_combinators(spark, sf):
 def val_format_ignored(spark, sf):
     spec = {"type": "string", "format": "date"}
     schema = TableSchema({"properties": {"day": spec}})
-    orders = table(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("Row"), F.date_format("o_orderdate", "dd/MM/yyyy").alias("day")
-    )
-    asserted = record_checks(schema, {"day": orders.schema["day"].dataType}, assert_format=True)
-    failing = [c.fails for c in asserted if c.keyword == "format"][0]
-    return with_errors(orders, schema).agg(
+    orders = table(spark, sf, "orders").select(F.date_format("o_orderdate", "dd/MM/yyyy").alias("day"))
+    plain = with_errors(orders, schema).select("day", has_errors().alias("fails"))
+    asserted = with_errors(plain, schema, assert_format=True)
+    return asserted.agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.count_if(has_errors()).alias("n_errors"),
-        F.count_if(failing).alias("n_asserted"),
+        F.count_if("fails").alias("n_errors"),
+        F.count_if(has_errors()).alias("n_asserted"),
     )
 
 
@@ -534,10 +530,9 @@ def page_slice(spark, sf):
     STAGED_SQL,
 )
 def commit_reviewed(spark, sf):
-    """The whole flow: number, clean, validate, reject bad rows, commit."""
+    """The whole flow: clean, validate, number, reject bad rows, commit."""
     made = project(spark, "reviewed", {"batch": STAGED})
-    numbered = stage(staged(spark, sf).drop("Row"))
-    batch = check(made, "batch", numbered)
+    batch = stage_table(made, "batch", staged(spark, sf).drop("Row"))
     good = review.reject_error_rows(batch.rows)
     review.commit_reviewed(made.store, {"batch": good})
     return made.store.read_table("batch")

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from millrace.operators.coerce import clean_text
 from millrace.operators.validate import ERRORS, with_errors
 from millrace.sources.store import TableStore, WritePolicy
 
@@ -37,7 +36,7 @@ def stream_commit(
         options = {"source": name, "batch_id": batch_id}
         if rejects is not None:
             schema = store.schema(table)
-            checked = with_errors(clean_text(rows, schema), schema)
+            checked = with_errors(rows, schema, clean=True)
             bad = checked.filter(F.size(ERRORS) > 0).drop("_warnings")
             bad = bad.withColumn(ERRORS, F.to_json(ERRORS))
             store.commit_table(rejects, bad, policy=WritePolicy.APPEND, **options)
