@@ -445,29 +445,34 @@ def record_checks(
 
 
 def evaluated(df: DataFrame, checks: list[Check], prefix: str) -> tuple[DataFrame, list[Check]]:
-    """Compute each check's verdict once, as a helper column.
+    """Compute each check's verdict once, as helper columns.
 
-    Plain verdicts form one projection that stays inside whole-stage codegen;
-    verdicts over array items, which need lambda functions, form a second one.
+    Plain verdicts stay inside whole-stage codegen. They leave through a
+    one-row generator: Catalyst moves no filter below it, so a later filter on
+    errors reads the verdicts instead of computing every check a second time.
+    Verdicts over array items, which need lambda functions, form a projection
+    of their own.
     """
+    if not checks:
+        return df, []
     plain = [
-        c.fails.alias(f"{prefix}{i}") for i, c in enumerate(checks) if c.several is None
+        c.fails.alias(f"v{i}") for i, c in enumerate(checks) if c.several is None
     ]
     items = [
         F.coalesce(c.several, no_errors()).alias(f"{prefix}{i}")
         for i, c in enumerate(checks)
         if c.several is not None
     ]
-    if plain:
-        df = df.select("*", *plain)
+    verdicts = F.array(F.struct(*(plain or [F.lit(False).alias("none")])))
+    df = df.select("*", F.explode_outer(verdicts).alias(prefix))
     if items:
         df = df.select("*", *items)
     done = []
     for i, c in enumerate(checks):
-        column = F.col(f"{prefix}{i}")
         if c.several is None:
-            done.append(replace(c, fails=column))
+            done.append(replace(c, fails=F.col(prefix).getField(f"v{i}")))
         else:
+            column = F.col(f"{prefix}{i}")
             done.append(replace(c, fails=F.size(column) > 0, several=column))
     return df, done
 

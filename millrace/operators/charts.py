@@ -39,11 +39,9 @@ def bar(df: DataFrame, x: str, y: str) -> DataFrame:
 def pie(df: DataFrame, values: str, names: str) -> DataFrame:
     """Sum per name and its share of the total."""
     parts = df.groupBy(named(names).alias("name")).agg(F.sum(named(values)).alias("value"))
-    # The total is one row, joined back; no window over all rows.
-    total = parts.agg(F.sum("value").alias("__total"))
-    return parts.join(F.broadcast(total)).select(
-        "name", "value", (F.col("value") / F.col("__total")).alias("share")
-    )
+    # The total is a scalar subquery; no window over all rows.
+    total = parts.agg(F.sum("value").alias("total")).scalar()
+    return parts.select("name", "value", (F.col("value") / total).alias("share"))
 
 
 def bubble(df: DataFrame, x: str, y: str, size: str) -> DataFrame:

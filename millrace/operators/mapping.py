@@ -154,6 +154,7 @@ def unmapped_fields(schema_fields: DataFrame, mapping: DataFrame) -> DataFrame:
         mapping_clean(mapping)
         .filter(F.col("source_field").isNotNull())
         .select(F.col("target_field").alias("__target"))
+        .distinct()
     )
     name = schema_fields.columns[0]
     return schema_fields.join(mapped, named(name) == F.col("__target"), "left_anti").select(

@@ -14,33 +14,59 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions.names import key_list, named, row_of
 from millrace.operators.shape import union_by_name
 
 
-def distinct_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.select(*[named(k) for k in keys]).distinct()
+# Stand-ins for a null key, beside a flag that tells them from real values.
+_STAND_INS = [
+    (T.StringType, ""),
+    (T.NumericType, 0),
+    (T.BooleanType, False),
+    (T.DateType, "1970-01-01"),
+    (T.TimestampType, "1970-01-01"),
+    (T.TimestampNTZType, "1970-01-01"),
+]
 
 
-def _match(df: DataFrame, key_set: DataFrame, keys: Sequence[str], null_safe: bool, how: str):
-    # Renamed so that both sides may come from the same scan.
-    side = key_set.select(*[named(k).alias(f"__key_{i}") for i, k in enumerate(keys)])
-    tests: list[Column] = []
-    for i, k in enumerate(keys):
-        other = F.col(f"__key_{i}")
-        tests.append(named(k).eqNullSafe(other) if null_safe else named(k) == other)
-    return df.join(side, reduce(lambda a, b: a & b, tests), how)
+def _parts(df: DataFrame, keys: Sequence[str], null_safe: bool) -> list[Column]:
+    """Key columns as plain-equality join terms. Null-safe keys become pairs
+    of (value or stand-in, is null) on both sides, so that the distinct key
+    side and the join share one partitioning."""
+    parts = []
+    for k in keys:
+        column, kind = named(k), df.schema[k].dataType
+        stand_in = next((v for t, v in _STAND_INS if isinstance(kind, t)), None)
+        if not null_safe:
+            parts.append(column)
+        elif stand_in is None:
+            raise TypeError(f"key '{k}' of type {kind.simpleString()} cannot be matched")
+        else:
+            parts += [F.coalesce(column, F.lit(stand_in).cast(kind)), column.isNull()]
+    return parts
 
 
-def with_keys(df, key_set, keys, null_safe=True) -> DataFrame:
-    """Rows whose key is in the set."""
-    return _match(df, key_set, keys, null_safe, "left_semi")
+def _match(df: DataFrame, key_rows: DataFrame, keys, null_safe: bool, how: str):
+    keys = key_list(keys)
+    # Renamed so that both sides may come from the same scan; distinct before
+    # the join, so a repeated key leaves each task once.
+    side = key_rows.select(
+        *[p.alias(f"__key{i}") for i, p in enumerate(_parts(key_rows, keys, null_safe))]
+    ).distinct()
+    terms = [p == F.col(f"__key{i}") for i, p in enumerate(_parts(df, keys, null_safe))]
+    return df.join(side, reduce(lambda a, b: a & b, terms), how)
 
 
-def without_keys(df, key_set, keys, null_safe=True) -> DataFrame:
-    """Rows whose key is not in the set."""
-    return _match(df, key_set, keys, null_safe, "left_anti")
+def with_keys(df, key_rows, keys, null_safe=True) -> DataFrame:
+    """Rows of ``df`` whose key occurs in ``key_rows``."""
+    return _match(df, key_rows, keys, null_safe, "left_semi")
+
+
+def without_keys(df, key_rows, keys, null_safe=True) -> DataFrame:
+    """Rows of ``df`` whose key does not occur in ``key_rows``."""
+    return _match(df, key_rows, keys, null_safe, "left_anti")
 
 
 def unseen(batch, stored, keys, null_safe=True) -> DataFrame:
@@ -50,9 +76,9 @@ def unseen(batch, stored, keys, null_safe=True) -> DataFrame:
     when the batch is small), so its key column is not shuffled for a small
     batch and the anti join sees at most one row per batch key.
     """
-    wanted = distinct_keys(batch, keys)
-    hits = with_keys(stored.select(*[named(k) for k in keys]), wanted, keys, null_safe)
-    return without_keys(batch, hits.distinct(), keys, null_safe)
+    keys = key_list(keys)
+    hits = with_keys(stored.select(*[named(k) for k in keys]), batch, keys, null_safe)
+    return without_keys(batch, hits, keys, null_safe)
 
 
 def append_rows(old: DataFrame, batch: DataFrame) -> DataFrame:
@@ -62,13 +88,12 @@ def append_rows(old: DataFrame, batch: DataFrame) -> DataFrame:
 
 def append_by_key(old: DataFrame, batch: DataFrame, key) -> DataFrame:
     """Old rows, and batch rows with unseen keys (repeats inside the batch stay)."""
-    return union_by_name(old, unseen(batch, old, key_list(key)))
+    return union_by_name(old, unseen(batch, old, key))
 
 
 def upsert_by_key(old: DataFrame, batch: DataFrame, key) -> DataFrame:
     """Old rows whose key is not in the batch, and the whole batch."""
-    keys = key_list(key)
-    return union_by_name(without_keys(old, distinct_keys(batch, keys), keys), batch)
+    return union_by_name(without_keys(old, batch, key), batch)
 
 
 def one_per_key(batch: DataFrame, key, order_by: str, keep: str) -> DataFrame:

@@ -9,11 +9,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.cells import boolean_of, integer_of, number_of, trimmed
+from millrace.functions.cells import INTEGER, NUMBER, trimmed
 from millrace.functions.names import named
 
-# Values longer than this are counted by digest, so that long texts are not
-# shuffled; the few frequent ones are looked up again afterwards.
+# Values of more bytes than this are counted by digest, so that long texts are
+# not shuffled; the few frequent ones are looked up again afterwards. A digest
+# has 64 characters, so it cannot be taken for a short value.
 _SHORT = 48
 
 
@@ -23,39 +24,43 @@ def _fields(df: DataFrame, columns: Sequence[str] | None) -> list[T.StructField]
     return [f for f in fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
 
 
+def _is_nested(f: T.StructField) -> bool:
+    return isinstance(f.dataType, (T.ArrayType, T.StructType))
+
+
 def _as_text(f: T.StructField) -> Column:
-    if isinstance(f.dataType, (T.ArrayType, T.StructType)):
+    if _is_nested(f):
         return F.to_json(named(f.name))
     return named(f.name).cast("string")
 
 
-def _digest(text: Column) -> Column:
-    return F.when(F.length(text) <= _SHORT, F.concat(F.lit("="), text)).otherwise(
-        F.concat(F.lit("#"), F.sha2(text, 256))
-    )
+def _is_long() -> Column:
+    return F.octet_length("text") > _SHORT
+
+
+def _digest() -> Column:
+    return F.when(_is_long(), F.sha2("text", 256)).otherwise(F.col("text"))
 
 
 def _melt(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
     """(field, text) per non-null cell."""
-    cells = F.array(
-        *[
-            F.struct(F.lit(f.name).alias("field"), _as_text(f).alias("text"))
-            for f in fields
-        ]
-    )
-    return df.select(F.explode(cells).alias("c")).select("c.*").filter("text IS NOT NULL")
+    texts = df.select(*[_as_text(f).alias(f.name) for f in fields])
+    cells = texts.unpivot([], [named(f.name) for f in fields], "field", "text")
+    return cells.filter(F.col("text").isNotNull())
 
 
 def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(field, digest, n): exact frequency of every value of every column.
+    """(field, digest, n, long): exact frequency of every value of every column.
 
     One scan and one shuffle, combined on the map side: a value filling a third
-    of a column leaves each task as a single row.
+    of a column leaves each task as a single row. ``long`` tells digests from
+    plain values; as an aggregate it keeps later filters above the shuffle, so
+    that everything derived from one profile shares it.
     """
-    return (
-        _melt(df, _fields(df, columns))
-        .groupBy("field", _digest(F.col("text")).alias("digest"))
-        .agg(F.count(F.lit(1)).alias("n"))
+    cells = _melt(df, _fields(df, columns))
+    keyed = cells.select("field", _digest().alias("digest"), _is_long().alias("long"))
+    return keyed.groupBy("field", "digest").agg(
+        F.count(F.lit(1)).alias("n"), F.bool_or("long").alias("long")
     )
 
 
@@ -68,31 +73,27 @@ def common_values(
     """Frequent values: (field, val, n), those filling at least ``min_share``
     of the rows, at most the first ``k`` of a column (ties by value)."""
     fields = _fields(df, columns)
-    counts = value_counts(df, columns)
-    total = df.agg(F.count(F.lit(1)).alias("total"))
-    # At most 1/min_share values per column pass.
-    frequent = counts.join(F.broadcast(total)).filter(
-        F.col("n") >= F.lit(min_share) * F.col("total")
-    )
-    short = frequent.filter(F.col("digest").startswith("=")).select(
-        "field", F.substr("digest", F.lit(2)).alias("val"), "n"
-    )
-    out = short
-    if any(isinstance(f.dataType, (T.StringType, T.ArrayType, T.StructType)) for f in fields):
-        long = frequent.filter(F.col("digest").startswith("#")).select(
+    total = df.agg(F.count(F.lit(1)).alias("total")).scalar()
+    frequent = value_counts(df, columns).filter(F.col("n") >= F.lit(min_share) * total)
+    out = frequent.filter(~F.col("long")).select("field", F.col("digest").alias("val"), "n")
+    wide = [f for f in fields if _is_nested(f) or isinstance(f.dataType, T.StringType)]
+    if wide:
+        digests = frequent.filter("long").select(
             F.col("field").alias("__field"), F.col("digest").alias("__digest"), "n"
         )
-        cells = _melt(df, fields).filter(F.length("text") > _SHORT)
+        if min_share > 0:
+            # At most 1/min_share values per column are left.
+            digests = F.broadcast(digests)
+        cells = _melt(df, wide).filter(_is_long())
         texts = (
             cells.join(
-                long,
-                (F.col("field") == F.col("__field"))
-                & (_digest(F.col("text")) == F.col("__digest")),
+                digests,
+                (F.col("field") == F.col("__field")) & (_digest() == F.col("__digest")),
             )
             .groupBy("field", "__digest")
             .agg(F.min("text").alias("val"), F.min("n").alias("n"))
         )
-        out = short.unionByName(texts.select("field", "val", "n"))
+        out = out.unionByName(texts.select("field", "val", "n"))
     if k is not None:
         order = W.partitionBy("field").orderBy(F.desc("n"), "val")
         out = (
@@ -103,42 +104,65 @@ def common_values(
     return out
 
 
-def inferred_type(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(field, n, n_null, n_integer, n_number, n_boolean, lo, hi, type).
+def _known_type(data_type: T.DataType) -> str | None:
+    """JSON type of columns that are not text."""
+    if isinstance(data_type, T.IntegralType):
+        return "integer"
+    if isinstance(data_type, T.NumericType):
+        return "number"
+    if isinstance(data_type, T.BooleanType):
+        return "boolean"
+    if isinstance(data_type, T.ArrayType):
+        return "array"
+    if isinstance(data_type, T.StructType):
+        return "object"
+    return None if isinstance(data_type, T.StringType) else "string"
 
-    One aggregate over one scan, no shuffle beyond a row per task. The type is
-    the narrowest one all non-null values fit.
-    """
+
+def inferred_type(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """(field, n, n_null, lo, hi, type): one aggregate over one scan, without a
+    shuffle beyond a row per task. A text column gets the narrowest type all
+    its non-null values can be read as."""
     fields = _fields(df, columns)
+    # Text is trimmed once, for all tests.
+    df = df.select(
+        *[named(f.name) for f in fields],
+        *[
+            trimmed(named(f.name)).alias(f"__text{i}")
+            for i, f in enumerate(fields)
+            if isinstance(f.dataType, T.StringType)
+        ],
+    )
     aggs = []
     for i, f in enumerate(fields):
-        column, text = named(f.name), trimmed(_as_text(f))
-        orderable = not isinstance(f.dataType, (T.ArrayType, T.StructType))
+        column = named(f.name)
+        bounds = [F.lit(None).cast("string")] * 2
+        if not _is_nested(f):
+            bounds = [F.min(column).cast("string"), F.max(column).cast("string")]
+        filled = F.count(column)
+        kind = F.lit(_known_type(f.dataType))
+        if _known_type(f.dataType) is None:
+            text = F.col(f"__text{i}")
+            kind = (
+                F.when(F.count_if(F.lower(text).isin("true", "false")) == filled, "boolean")
+                .when(F.count_if(text.rlike(INTEGER)) == filled, "integer")
+                .when(F.count_if(text.rlike(NUMBER)) == filled, "number")
+                .otherwise("string")
+            )
         aggs.append(
             F.struct(
                 F.lit(f.name).alias("field"),
                 F.count(F.lit(1)).alias("n"),
                 F.count_if(column.isNull()).alias("n_null"),
-                F.count(integer_of(text)).alias("n_integer"),
-                F.count(number_of(text)).alias("n_number"),
-                F.count(boolean_of(text)).alias("n_boolean"),
-                (F.min(column) if orderable else F.lit(None)).cast("string").alias("lo"),
-                (F.max(column) if orderable else F.lit(None)).cast("string").alias("hi"),
+                bounds[0].alias("lo"),
+                bounds[1].alias("hi"),
+                F.when(filled == 0, "null").otherwise(kind).alias("type"),
             ).alias(f"s{i}")
         )
     wide = df.agg(*aggs)
-    stats = wide.select(
+    return wide.select(
         F.explode(F.array(*[F.col(f"s{i}") for i in range(len(fields))])).alias("s")
     ).select("s.*")
-    filled = F.col("n") - F.col("n_null")
-    kind = (
-        F.when(filled == 0, "null")
-        .when(F.col("n_boolean") == filled, "boolean")
-        .when(F.col("n_integer") == filled, "integer")
-        .when(F.col("n_number") == filled, "number")
-        .otherwise("string")
-    )
-    return stats.withColumn("type", kind)
 
 
 def data_dictionary(
@@ -149,7 +173,9 @@ def data_dictionary(
     descriptions: dict[str, str] | None = None,
 ) -> DataFrame:
     """One row per column: field, description, type, n, n_null, n_distinct,
-    lo, hi, common_values."""
+    lo, hi, common_values (listed whole, so ``min_share`` or ``k`` bounds them)."""
+    if min_share <= 0 and k is None:
+        raise ValueError("give a min_share above 0 or a k")
     stats = inferred_type(df, columns)
     distinct = (
         value_counts(df, columns).groupBy("field").agg(F.count(F.lit(1)).alias("n_distinct"))

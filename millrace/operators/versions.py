@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.names import key_list, named, row_of
-from millrace.operators.merge import distinct_keys, unseen, with_keys
+from millrace.operators.merge import unseen, with_keys
 
 SEQ = "_seq"
 HISTORY = ["_version", "_deleted", "_metadata"]
@@ -125,7 +125,7 @@ def tombstones(history: DataFrame, doomed: DataFrame, key, commit_time: str):
     """A deleting row, one version up, for each live key in ``doomed``."""
     keys = key_list(key)
     columns = [c for c in data_columns(history) if c not in keys]
-    touched = with_keys(history, distinct_keys(doomed, keys), keys, null_safe=False)
+    touched = with_keys(history, doomed, keys, null_safe=False)
     state = _latest(touched, keys, columns)
     alive = state.filter(~F.col("__last").getField("_deleted"))
     return alive.select(

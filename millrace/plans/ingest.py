@@ -12,6 +12,7 @@ from millrace.operators.staging import stage
 from millrace.operators.validate import ERRORS, WARNINGS, error_rows, with_errors
 from millrace.project import Project
 from millrace.session import scratch_dir
+from millrace.sources import files
 from millrace.sources.csv import read_csv_source
 
 
@@ -23,6 +24,11 @@ class StagedTable:
     table: str
     rows: DataFrame
     project: Project
+    location: str
+
+    def discard(self) -> None:
+        """Delete the written copy, once the batch is committed or dropped."""
+        files.delete(self.project.spark, self.location)
 
     def errors(self) -> DataFrame:
         return error_rows(self.rows)
@@ -39,7 +45,9 @@ def stage_table(
 ) -> StagedTable:
     """Clean, validate and number a batch in one pass over its source. Review
     steps and the commit then scan the written result."""
-    return StagedTable(table, stage(_checked(project, table, df), order_by), project)
+    path = scratch_dir(project.spark, "staged")
+    rows = stage(_checked(project, table, df), order_by, path)
+    return StagedTable(table, rows, project, path)
 
 
 def apply_edits(staged: StagedTable, edits: DataFrame, order_by: str | None = None) -> StagedTable:
@@ -50,7 +58,7 @@ def apply_edits(staged: StagedTable, edits: DataFrame, order_by: str | None = No
     path = scratch_dir(staged.project.spark, "edited")
     checked.write.parquet(path)
     rows = staged.project.spark.read.schema(checked.schema).parquet(path)
-    return StagedTable(staged.table, rows, staged.project)
+    return StagedTable(staged.table, rows, staged.project, path)
 
 
 def ingest(

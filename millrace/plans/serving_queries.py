@@ -256,9 +256,10 @@ sql(
 )
 sql(
     "sql_join_theta",
-    "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b "
-    "ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey",
-    "nation",
+    "SELECT o.o_orderkey, c.c_name FROM orders o JOIN customer c "
+    "ON o.o_custkey = c.c_custkey AND o.o_totalprice > c.c_acctbal * 50",
+    "orders",
+    "customer",
 )
 sql(
     "sql_semi_anti",

@@ -169,6 +169,16 @@ class TableStore:
     def exists(self, table: str) -> bool:
         return self._latest(table) is not None
 
+    def _publish(self, table: str, entry: dict, tag: str) -> None:
+        """Make a commit visible, unless its number was taken meanwhile."""
+        path = f"{self._folder(table)}/_log/{entry['version']:012d}.json"
+        try:
+            files.publish_text(self.spark, path, json.dumps(entry), tag)
+        except files.FileExists:
+            raise CommitConflict(
+                f"commit {entry['version']} of table '{table}' was taken by another writer"
+            ) from None
+
     def commit_log(self, table: str) -> DataFrame:
         """One row per commit: version, time, policy, rows written, parts."""
         return self.spark.read.schema(LOG_LAYOUT).json(
@@ -339,17 +349,7 @@ class TableStore:
             "rows": rows,
             "batches": batches,
         }
-        try:
-            files.publish_text(
-                self.spark,
-                f"{self._folder(table)}/_log/{number:012d}.json",
-                json.dumps(new_entry),
-                tag,
-            )
-        except files.FileExists:
-            raise CommitConflict(
-                f"commit {number} of table '{table}' was taken by another writer"
-            ) from None
+        self._publish(table, new_entry, tag)
         if backup is BackupPolicy.TIMESTAMPED_COPIES and backup_when == "after":
             self._copy(table, new_entry, commit_time)
         return new_entry
@@ -464,7 +464,6 @@ class TableStore:
 
     def _upsert(self, table, batch, staged, n_batch, layout, keys, entry, old, number, tag):
         sql = self.backend is Backend.SQL
-        wanted = merge.distinct_keys(batch, keys)
         # Which parts hold a key of the batch? Only key columns are scanned,
         # and the answer is at most one row per part (metadata-sized).
         hits = merge.with_keys(
@@ -474,11 +473,15 @@ class TableStore:
                     F.input_file_name(), r"/(part-[^/]+)/[^/]+$", 1
                 ).alias("__part"),
             ),
-            wanted,
+            batch,
             keys,
             null_safe=not sql,
         )
-        touched = {r[0] for r in hits.select("__part").distinct().collect()}
+        if len(entry["parts"]) == 1:
+            # One hit settles it.
+            touched = set() if hits.isEmpty() else set(entry["parts"])
+        else:
+            touched = {r[0] for r in hits.select("__part").distinct().collect()}
         kept = [p for p in entry["parts"] if p not in touched]
         affected = [p for p in entry["parts"] if p in touched]
         parts = list(kept)
@@ -487,7 +490,7 @@ class TableStore:
             if sql:
                 rest = merge.overlay_columns(target, batch, keys)
             else:
-                rest = merge.without_keys(target, wanted, keys)
+                rest = merge.without_keys(target, batch, keys)
             parts.append(self._write(rest, table, number, "kept", tag))
         if sql:
             fresh = merge.unseen(batch, old, keys, null_safe=False)
@@ -520,17 +523,7 @@ class TableStore:
             "parts": added[0],
             "rows": added[1],
         }
-        try:
-            files.publish_text(
-                self.spark,
-                f"{self._folder(table)}/_log/{number:012d}.json",
-                json.dumps(new_entry),
-                tag,
-            )
-        except files.FileExists:
-            raise CommitConflict(
-                f"commit {number} of table '{table}' was taken by another writer"
-            ) from None
+        self._publish(table, new_entry, tag)
         return new_entry
 
     # -- backups and housekeeping ---------------------------------------------
@@ -549,6 +542,23 @@ class TableStore:
             if n.startswith(f"{table}_")
         ]
 
+    def compact(self, table: str) -> dict | None:
+        """Rewrite many small parts, as left by a stream, into one."""
+        entry = self._latest(table)
+        if entry is None or len(entry["parts"]) < 2:
+            return None
+        number, tag = entry["version"] + 1, uuid.uuid4().hex[:12]
+        part = self._write(self._read_parts(table, entry), table, number, "compact", tag)
+        new_entry = {
+            **entry,
+            "version": number,
+            "policy": "compact",
+            "parts": [part],
+            "rows": 0,
+        }
+        self._publish(table, new_entry, tag)
+        return new_entry
+
     def drop_unused_parts(self, table: str) -> list[str]:
         """Delete part folders the newest commit no longer names.
 

@@ -34,14 +34,19 @@ def stream_commit(
     def commit_batch(batch: DataFrame, batch_id: int) -> None:
         rows = transform(batch) if transform else batch
         options = {"source": name, "batch_id": batch_id}
-        if rejects is not None:
-            schema = store.schema(table)
-            checked = with_errors(rows, schema, clean=True)
+        if rejects is None:
+            store.commit_table(table, rows, policy=policy, order_by=order_by, **options)
+            return
+        # Validated once, then split; dropped again when the batch is done.
+        checked = with_errors(rows, store.schema(table), clean=True).persist()
+        try:
             bad = checked.filter(F.size(ERRORS) > 0).drop("_warnings")
             bad = bad.withColumn(ERRORS, F.to_json(ERRORS))
             store.commit_table(rejects, bad, policy=WritePolicy.APPEND, **options)
-            rows = checked.filter(F.size(ERRORS) == 0).drop(ERRORS, "_warnings")
-        store.commit_table(table, rows, policy=policy, order_by=order_by, **options)
+            good = checked.filter(F.size(ERRORS) == 0).drop(ERRORS, "_warnings")
+            store.commit_table(table, good, policy=policy, order_by=order_by, **options)
+        finally:
+            checked.unpersist()
 
     writer = (
         stream.writeStream.queryName(name)

@@ -384,3 +384,37 @@ def test_repeated_delivery_is_ignored(any_store, spark):
 def test_missing_table(make):
     with pytest.raises(FileNotFoundError, match="nothing"):
         make().read_table("nothing")
+
+
+@pytest.mark.parametrize("backend", [Backend.PARQUET, Backend.PARQUET_VERSIONED])
+def test_compaction_keeps_the_table(make, spark, backend):
+    store = make(backend)
+    store.commit_table("table1", frame(spark, BASE))
+    assert store.compact("table1") is None
+    store.commit_table("table1", frame(spark, BATCH))
+    before = rows(store.read_table("table1"))
+    assert len(store.compact("table1")["parts"]) == 1
+    assert rows(store.read_table("table1")) == before
+    store.commit_table("table1", frame(spark, [(9, 9)]))
+    assert rows(store.read_table("table1")) == [*before, (9, 9)]
+
+
+def test_dominant_key_in_a_batch(make, spark):
+    store = make(Backend.PARQUET_VERSIONED)
+    store.commit_table("table1", frame(spark, BASE))
+    hot = [(1, i) for i in range(500)] + [(i, i) for i in range(10, 600)]
+    store.commit_table("table1", frame(spark, hot))
+    assert store.history("table1").filter("col1 = 1").count() == 501
+    assert rows(store.read_table("table1").filter("col1 = 1"))[0][1] in range(500)
+    assert store.read_table("table1").count() == 593
+
+
+def test_text_keys(make, spark):
+    schema = {"properties": {"k": {"type": "string", "PrimaryKey": True}, "v": {"type": "integer"}}}
+    store = make(schema=schema)
+    names = "k string, v long"
+    store.commit_table("table1", frame(spark, [("a", 1), ("", 2), (None, 3)], names))
+    store.commit_table("table1", frame(spark, [("", 5), ("b", 6)], names))
+    assert rows(store.read_table("table1")) == sorted(
+        [("a", 1), (None, 3), ("", 5), ("b", 6)], key=repr
+    )
