@@ -143,8 +143,9 @@ def inferred_type(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
         kind = F.lit(_known_type(f.dataType))
         if _known_type(f.dataType) is None:
             text = F.col(f"__text{i}")
+            short = F.octet_length(text) <= len("false")
             kind = (
-                F.when(F.count_if(F.lower(text).isin("true", "false")) == filled, "boolean")
+                F.when(F.count_if(short & F.lower(text).isin("true", "false")) == filled, "boolean")
                 .when(F.count_if(text.rlike(INTEGER)) == filled, "integer")
                 .when(F.count_if(text.rlike(NUMBER)) == filled, "number")
                 .otherwise("string")

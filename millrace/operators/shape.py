@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.cells import array_to_text
+from millrace.functions.cells import array_to_text, parse_array
 from millrace.functions.names import named
 from millrace.schema import TableSchema
 
@@ -50,7 +50,10 @@ def _cast(column: Column, have: T.DataType, want: T.DataType, name: str, on_erro
         return column.cast(want)
     if isinstance(have, T.ArrayType) and isinstance(want, T.StringType):
         return array_to_text(column)
-    tried = column.try_cast(want)
+    if isinstance(have, T.StringType) and isinstance(want, T.ArrayType):
+        tried = parse_array(column).cast(want)
+    else:
+        tried = column.try_cast(want)
     if isinstance(have, T.FractionalType) and isinstance(want, T.IntegralType):
         tried = F.when(column == F.floor(column), tried)
         if isinstance(have, (T.DoubleType, T.FloatType)):

@@ -186,6 +186,8 @@ def version_history(
     equi-join on (key, version): no task holds a whole key's history.
     """
     keys = key_list(key)
+    if not keys:
+        raise ValueError("a version history needs a key")
     columns = [c for c in columns or data_columns(history) if c not in keys]
     prior = (
         history.groupBy(*[named(k) for k in keys], F.col("_version"))

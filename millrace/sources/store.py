@@ -11,7 +11,8 @@ The newest log entry names the parts that make up the table, so a failed or
 racing write is never seen. Part folders are immutable:
 
 * appends add one part and leave the rest alone;
-* upserts rewrite only those older parts that hold a key of the batch;
+* upserts rewrite only those older files that hold a key of the batch (the log
+  entry lists the files of a part that no longer count);
 * versioned tables only ever add parts.
 
 A batch is computed once, into a part folder, before it is merged. That cuts
@@ -97,6 +98,10 @@ def _from_records(
     return spark.createDataFrame(rows, layout)
 
 
+def _data_files(spark: SparkSession, folder: str) -> list[str]:
+    return [n for n in files.names(spark, folder) if n.endswith(".parquet")]
+
+
 class TableStore:
     def __init__(
         self,
@@ -192,14 +197,27 @@ class TableStore:
 
     # -- reading -------------------------------------------------------------
 
-    def _read_parts(self, table: str, entry: dict, parts: Sequence[str] | None = None):
-        """Parts are read with the layout of the log entry: columns that an
-        older part lacks come back null, and no footer is opened to infer."""
+    def _paths(self, table: str, entry: dict) -> list[str]:
+        """What a log entry says to read: whole parts, or the files left of
+        a part after upserts."""
+        out = []
+        for part in entry["parts"]:
+            folder = f"{self._folder(table)}/{part}"
+            gone = set(entry.get("without", {}).get(part, ()))
+            if gone:
+                left = [n for n in _data_files(self.spark, folder) if n not in gone]
+                out += [f"{folder}/{n}" for n in left]
+            else:
+                out.append(folder)
+        return out
+
+    def _read_parts(self, table: str, entry: dict, paths: Sequence[str] | None = None):
+        """Read with the layout of the log entry: columns that an older part
+        lacks come back null, and no footer is opened to infer."""
         layout = T.StructType.fromJson(json.loads(entry["layout"]))
-        wanted = entry["parts"] if parts is None else parts
-        if not wanted:
+        paths = self._paths(table, entry) if paths is None else paths
+        if not paths:
             return self.spark.createDataFrame([], layout)
-        paths = [f"{self._folder(table)}/{p}" for p in wanted]
         return self.spark.read.schema(layout).parquet(*paths)
 
     def _stored(self, table: str) -> DataFrame:
@@ -326,9 +344,9 @@ class TableStore:
         )
         if merged is None and source is None:
             return None
-        parts, rows, layout = merged or (entry["parts"] if entry else [], 0, layout)
         if merged is None and entry is None:
             return None
+        parts, rows, layout, *without = merged or (entry["parts"], 0, layout)
         if (
             backup is BackupPolicy.TIMESTAMPED_COPIES
             and backup_when == "before"
@@ -348,6 +366,7 @@ class TableStore:
             "layout": layout.json(),
             "rows": rows,
             "batches": batches,
+            "without": without[0] if without else (entry or {}).get("without", {}),
         }
         self._publish(table, new_entry, tag)
         if backup is BackupPolicy.TIMESTAMPED_COPIES and backup_when == "after":
@@ -464,40 +483,51 @@ class TableStore:
 
     def _upsert(self, table, batch, staged, n_batch, layout, keys, entry, old, number, tag):
         sql = self.backend is Backend.SQL
-        # Which parts hold a key of the batch? Only key columns are scanned,
-        # and the answer is at most one row per part (metadata-sized).
+        # Which files hold a key of the batch? Only key columns are scanned, and
+        # the answer is at most one row per file (metadata-sized).
         hits = merge.with_keys(
             old.select(
                 *[named(k) for k in keys],
                 F.regexp_extract(
-                    F.input_file_name(), r"/(part-[^/]+)/[^/]+$", 1
-                ).alias("__part"),
+                    F.input_file_name(), r"/(part-[^/]+/[^/]+)$", 1
+                ).alias("__file"),
             ),
             batch,
             keys,
             null_safe=not sql,
         )
-        if len(entry["parts"]) == 1:
-            # One hit settles it.
-            touched = set() if hits.isEmpty() else set(entry["parts"])
-        else:
-            touched = {r[0] for r in hits.select("__part").distinct().collect()}
-        kept = [p for p in entry["parts"] if p not in touched]
-        affected = [p for p in entry["parts"] if p in touched]
-        parts = list(kept)
-        if affected:
-            target = self._read_parts(table, entry, affected)
+        touched = [r[0] for r in hits.select("__file").distinct().collect()]
+        parts = list(entry["parts"])
+        without = {p: list(f) for p, f in entry.get("without", {}).items()}
+        if touched:
+            folder = self._folder(table)
+            target = self._read_parts(table, entry, [f"{folder}/{t}" for t in touched])
             if sql:
                 rest = merge.overlay_columns(target, batch, keys)
             else:
                 rest = merge.without_keys(target, batch, keys)
+            for t in touched:
+                part, _, name = t.partition("/")
+                without.setdefault(part, []).append(name)
+            for part in {t.partition("/")[0] for t in touched}:
+                if self._is_used_up(f"{folder}/{part}", without[part], target.schema):
+                    parts.remove(part)
+                    del without[part]
             parts.append(self._write(rest, table, number, "kept", tag))
         if sql:
             fresh = merge.unseen(batch, old, keys, null_safe=False)
             parts.append(self._write(fresh, table, number, "new", tag))
         else:
             parts.append(staged)
-        return parts, n_batch, layout
+        return parts, n_batch, layout, without
+
+    def _is_used_up(self, folder: str, gone: Sequence[str], layout: T.StructType) -> bool:
+        """Whether no rows are left in a part. Spark may have written its first
+        file without rows, which no key can ever touch."""
+        left = sorted(set(_data_files(self.spark, folder)) - set(gone))
+        if len(left) == 1:
+            return self.spark.read.schema(layout).parquet(f"{folder}/{left[0]}").isEmpty()
+        return not left
 
     def delete_keys(
         self, table: str, doomed: DataFrame, commit_time: str | None = None
@@ -508,6 +538,8 @@ class TableStore:
         if entry is None:
             raise FileNotFoundError(f"table '{table}' does not exist")
         keys = self._check_key(table, doomed)
+        if not keys:
+            raise ValueError(f"table '{table}' has no key to delete by")
         commit_time = commit_time or datetime.now().isoformat(timespec="seconds")
         number, tag = entry["version"] + 1, uuid.uuid4().hex[:12]
         layout = T.StructType.fromJson(json.loads(entry["layout"]))
@@ -545,7 +577,7 @@ class TableStore:
     def compact(self, table: str) -> dict | None:
         """Rewrite many small parts, as left by a stream, into one."""
         entry = self._latest(table)
-        if entry is None or len(entry["parts"]) < 2:
+        if entry is None or len(self._paths(table, entry)) < 2:
             return None
         number, tag = entry["version"] + 1, uuid.uuid4().hex[:12]
         part = self._write(self._read_parts(table, entry), table, number, "compact", tag)
@@ -554,6 +586,7 @@ class TableStore:
             "version": number,
             "policy": "compact",
             "parts": [part],
+            "without": {},
             "rows": 0,
         }
         self._publish(table, new_entry, tag)

@@ -237,6 +237,63 @@ def test_upsert_rewrites_only_parts_with_matching_keys(make, spark):
     assert rows(store.read_table("table1")) == [*BASE, (4, 5)]
 
 
+@pytest.mark.parametrize("backend", [Backend.PARQUET, Backend.SQL])
+def test_upsert_rewrites_only_files_with_matching_keys(make, spark, backend):
+    store = make(backend)
+    # The first part has one file per quarter of the keys.
+    base = spark.range(100, numPartitions=4).selectExpr("id AS col1", "id AS col2")
+    if backend is Backend.SQL:
+        store.backend = Backend.PARQUET
+    part = store.commit_table("table1", base)["parts"][0]
+    store.backend = backend
+    want = {i: i for i in range(100)}
+    for round_no, keys in enumerate([[3, 5, 200], [4, 80, 200], [99]]):
+        batch = [(k, -k - round_no) for k in keys]
+        entry = store.commit_table("table1", frame(spark, batch))
+        want.update(batch)
+        assert rows(store.read_table("table1")) == sorted(want.items(), key=repr)
+        assert part in entry["parts"]
+    # Keys of the first and the last quarter were updated.
+    assert len(entry["without"][part]) == 2
+    store.drop_unused_parts("table1")
+    assert rows(store.read_table("table1")) == sorted(want.items(), key=repr)
+    compacted = store.compact("table1")
+    assert compacted["without"] == {} and len(compacted["parts"]) == 1
+    assert rows(store.read_table("table1")) == sorted(want.items(), key=repr)
+
+
+def test_typed_storage(make, spark):
+    schema = {
+        "properties": {
+            "k": {"type": "integer", "PrimaryKey": True},
+            "d": {"type": "string", "format": "date"},
+            "t": {"type": "string", "format": "date-time"},
+            "a": {"type": ["array", "null"]},
+        }
+    }
+    store = make(schema=schema, storage="typed")
+    batch = spark.createDataFrame(
+        [("1", "2024-01-02", "2024-01-02 03:04:05", "[x, 'y']"), ("2", None, None, None)],
+        "k string, d string, t string, a string",
+    )
+    store.commit_table("table1", batch)
+    out = store.read_table("table1")
+    assert [t for _, t in out.dtypes] == ["bigint", "date", "timestamp_ntz", "array<string>"]
+    first = out.filter("k = 1").first()
+    assert (str(first.d), str(first.t), first.a) == ("2024-01-02", "2024-01-02 03:04:05", ["x", "y"])
+    with pytest.raises(Exception, match="column 'a'"):
+        store.commit_table("table1", batch.withColumn("a", batch.k))
+
+
+def test_keyless_tables_have_no_version_history(make, spark):
+    store = make(Backend.PARQUET_VERSIONED, NO_KEY)
+    store.commit_table("table1", frame(spark, BASE))
+    with pytest.raises(ValueError, match="key"):
+        store.version_history("table1")
+    with pytest.raises(ValueError, match="key"):
+        store.delete_keys("table1", frame(spark, BASE))
+
+
 @pytest.mark.parametrize("when", ["before", "after"])
 def test_backups(make, spark, when):
     store = make(backup_policy=BackupPolicy.TIMESTAMPED_COPIES)
