@@ -8,16 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import contamination, lines, mixing, simhash, tokens
+from millrace.llm import contamination, lines, mixing, simhash, tokens, toxicity
 from millrace.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
-
-
 def near_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
 
@@ -111,11 +107,37 @@ FROM w LEFT JOIN hit_words h ON w.id = h.doc_id LEFT JOIN hit_items i ON w.id =
 WHERE w.side = 'd'
 """
 
+TOXIC_SCORE = 0.3
+
+
+def toxic_held_out(id_col: str) -> F.Column:
+    """Rows that toxicity must not learn from."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 4 == 2
+
+
+def toxic_voter(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Voter:
+    labels = table(spark, sf_dir, "labels")
+    return toxicity.fit(docs, toxicity.labelled_rows(labels, held_out=toxic_held_out("id")))
+
+
+def toxic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxic_voter(spark, sf_dir, docs))
+    return scored.select(
+        "doc_id",
+        toxic_held_out("doc_id").alias("held_out"),
+        "score",
+        (F.col("score") >= TOXIC_SCORE).cast("int").alias("predicted"),
+        "evidence",
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op2_near_texts": near_texts,
     "op4_token_files": token_files,
     "op5_source_mix": source_mix,
     "op6_shared_lines": shared_lines,
+    "op8_toxic_scores": toxic_scores,
     "op9_benchmark_hits": benchmark_hits,
 }
 ORACLES: dict[str, str] = {
