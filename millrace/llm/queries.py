@@ -8,12 +8,41 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import contamination, lines, mixing, simhash, tokens, toxicity
+from millrace.llm import contamination, lines, mixing, near_vectors, simhash, tokens, toxicity
 from millrace.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def vector_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_vectors.near_vectors(table(spark, sf_dir, "embeddings"), min_cosine=0.93)
+    return found.select("vec_id", "n_links", "component_id", "kept")
+
+
+VECTOR_GROUPS_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b
+  FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    AND list_cosine_similarity(a.e, b.e) >= 0.93
+),
+reach AS (
+  SELECT vec_id AS id, vec_id AS root FROM embeddings
+  UNION
+  SELECT link.b, reach.root FROM reach JOIN link ON reach.id = link.a WHERE reach.root < link.b
+),
+component AS (SELECT id, min(root) AS root FROM reach GROUP BY id),
+degree AS (SELECT a AS id, count(*) AS n FROM link GROUP BY a)
+SELECT e.vec_id, coalesce(d.n, 0) AS n_links, c.root AS component_id, e.vec_id = c.root AS kept
+FROM embeddings e LEFT JOIN degree d ON e.vec_id = d.id LEFT JOIN component c ON e.vec_id = c.id
+"""
+
+
 def near_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
 
@@ -133,6 +162,7 @@ def toxic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_vector_groups": vector_groups,
     "op2_near_texts": near_texts,
     "op4_token_files": token_files,
     "op5_source_mix": source_mix,
@@ -141,6 +171,7 @@ QUERIES: dict[str, Query] = {
     "op9_benchmark_hits": benchmark_hits,
 }
 ORACLES: dict[str, str] = {
+    "op1_vector_groups": VECTOR_GROUPS_SQL,
     "op6_shared_lines": SHARED_LINES_SQL,
     "op9_benchmark_hits": BENCHMARK_HITS_SQL,
 }
