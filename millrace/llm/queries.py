@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import contamination, lines, mixing, near_vectors, simhash, tokens, toxicity
+from millrace.llm import contamination, html_text, lines, mixing, near_vectors, simhash, tokens, toxicity
 from millrace.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -161,6 +161,11 @@ def toxic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.main_texts(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", "n_chars")
+
+
 QUERIES: dict[str, Query] = {
     "op1_vector_groups": vector_groups,
     "op2_near_texts": near_texts,
@@ -169,6 +174,7 @@ QUERIES: dict[str, Query] = {
     "op6_shared_lines": shared_lines,
     "op8_toxic_scores": toxic_scores,
     "op9_benchmark_hits": benchmark_hits,
+    "op10_page_texts": page_texts,
 }
 ORACLES: dict[str, str] = {
     "op1_vector_groups": VECTOR_GROUPS_SQL,
