@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import contamination, html_text, lines, mixing, near_vectors, simhash, tokens, toxicity
+from millrace.llm import contamination, html_text, lines, lm, mixing, near_vectors, simhash, tokens, toxicity
 from millrace.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -136,6 +136,15 @@ FROM w LEFT JOIN hit_words h ON w.id = h.doc_id LEFT JOIN hit_items i ON w.id =
 WHERE w.side = 'd'
 """
 
+def language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 10 == 0
+    scored = lm.score(docs, ~held_out, public_tokenizers.path("byte_bpe_50k.json"))
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 TOXIC_SCORE = 0.3
 
 
@@ -172,6 +181,7 @@ QUERIES: dict[str, Query] = {
     "op4_token_files": token_files,
     "op5_source_mix": source_mix,
     "op6_shared_lines": shared_lines,
+    "op7_language_scores": language_scores,
     "op8_toxic_scores": toxic_scores,
     "op9_benchmark_hits": benchmark_hits,
     "op10_page_texts": page_texts,

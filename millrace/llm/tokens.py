@@ -72,23 +72,23 @@ class Encoder:
             for c, x in zip(part, np.split(ids, ends), strict=True):
                 self.young[c] = x.tobytes() if c is part[0] else x[1:].tobytes()
 
-    def encode(self, text: str) -> bytes:
-        if not self.joins or _CAREFUL.search(text):
-            return self.whole(text)
-        chunks = text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+    def chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks, each a word with or without its leading space."""
         out = list(map(self.young.get, chunks))
         if None in out:
             missing = {c for c, x in zip(chunks, out, strict=True) if x is None}
             found = {c: self.old[c] for c in missing if c in self.old}
+            if fresh := missing.difference(found):
+                self._learn(list(fresh))
             self.young.update(found)
-            if fresh := [c for c in missing if c not in found]:
-                kept = self.young
-                self._learn(fresh)
-                if self.young is not kept:  # turned over: this text's chunks may be in either
-                    look = self.young.get
-                    return b"".join(look(c) if c in self.young else self.old[c] for c in chunks)
-            out = list(map(self.young.get, chunks))
-        return b"".join(out)
+            young, old = self.young, self.old
+            out = [young[c] if c in young else old[c] for c in chunks]
+        return out
+
+    def encode(self, text: str) -> bytes:
+        if not self.joins or _CAREFUL.search(text):
+            return self.whole(text)
+        return b"".join(self.chunks(text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")))
 
 
 _encoders: dict[str, Encoder] = {}
