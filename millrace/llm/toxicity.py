@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,19 +17,33 @@ from millrace.llm.frames import column, packed, saved, unpacked
 
 #: Lengths, in bytes, of word beginnings that are terms beside whole words.
 PREFIXES = (4, 5, 6, 7)
-RESULT = "struct<score: double, evidence: array<struct<example: string, toxic: int, cosine: double>>, terms: array<string>>"
-
-
-def _terms(text: bytes | None) -> Counter:
-    """Words and beginnings of longer words (marked ^) with their counts."""
-    found = Counter(normal_words(text))
-    for word, n in list(found.items()):
+#: Words a worker remembers the terms of.
+MEMO = 200_000
+RESULT = "struct<score: double, evidence: array<struct<example: string, toxic: double, cosine: double>>, terms: array<string>>"
+
+
+def _terms(text: bytes | None) -> dict[bytes, bytes]:
+    """Words and beginnings of longer words (marked ^), each with the word before
+    its first occurrence."""
+    found: dict[bytes, bytes] = {}
+    before = b""
+    for word in normal_words(text):
+        found.setdefault(word, before)
         for size in PREFIXES:
             if len(word) > size:
-                found[b"^" + word[:size]] += n
+                found.setdefault(b"^" + word[:size], before)
+        before = word
     return found
 
 
+def _signature(text: bytes | None) -> int:
+    """Smallest hash of five consecutive words; near copies mostly share it."""
+    words = normal_words(text)
+    n = min(5, len(words))
+    spans = (b" ".join(words[i : i + n]) for i in range(len(words) - n + 1))
+    return min(map(xxhash.xxh64_intdigest, spans), default=0) >> 1
+
+
 class BlockMaxIndex:
     """Exact top-k by dot product over sparse non-negative vectors.
 
@@ -88,66 +103,104 @@ class Voter:
     def __init__(self, terms: list[bytes], idf: list[float], examples: list[tuple], k: int, counts: dict[int, int]):
         self.term_of = {t: i for i, t in enumerate(terms)}
         self.names, self.idf, self.k = terms, idf, k
-        self.ids = [e[0] for e in examples]
-        self.toxic = np.array([e[1] for e in examples], float)
         drawn = Counter(e[1] for e in examples)
         # what an example stands for, as classes are sampled at their own rates
         share = {y: counts[y] / drawn[y] for y in drawn}
         mean = sum(counts[y] for y in drawn) / max(1, len(examples))
-        self.worth = np.array([share[e[1]] / mean for e in examples])
-        total = sum(self.worth)
-        self.prior = float((self.worth * self.toxic).sum() / total) if len(examples) else 0.0
-        vectors = [self._normal(e[2], e[3]) for e in examples]
-        blank = np.array([not len(t) for t, _ in vectors], bool) if examples else np.zeros(0, bool)
-        weight = self.worth[blank]
-        self.blank = float(((weight * self.toxic[blank]).sum() + self.prior) / (weight.sum() + 1.0))
-        self.index = BlockMaxIndex(vectors)
+        worth, toxic = Counter(), Counter()
+        self.ids: list[str] = []
+        places: dict[tuple, int] = {}
+        # examples with equal vectors are one entry of the index with all their votes
+        for name, y, t, c in examples:
+            at = places.setdefault((tuple(t), tuple(c)), len(places))
+            if at == len(self.ids):
+                self.ids.append(name)
+            worth[at] += share[y] / mean
+            toxic[at] += y * share[y] / mean
+        self.worth = np.array([worth[i] for i in range(len(places))])
+        self.toxic = np.array([toxic[i] / worth[i] for i in range(len(places))])
+        total = float(self.worth.sum())
+        self.prior = float((self.worth * self.toxic).sum() / total) if examples else 0.0
+        blank = places.get(((), ()), -1)
+        weight = self.worth[blank] if blank >= 0 else 0.0
+        rate = self.toxic[blank] if blank >= 0 else 0.0
+        self.blank = float((weight * rate + self.prior) / (weight + 1.0))
+        self.index = BlockMaxIndex([self._normal(t, c) for t, c in places])
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
 
     def _normal(self, terms, counts) -> tuple[np.ndarray, np.ndarray]:
         t = np.asarray(terms, np.int64)
         w = np.array([(1 + math.log(c)) * self.idf[i] for i, c in zip(terms, counts, strict=True)])
         return t, w / np.linalg.norm(w) if len(w) else w
 
-    def match(self, text: bytes | None) -> tuple[list[int], list[int]]:
+    def _terms_of(self, word: bytes) -> tuple[int, ...]:
+        keys = [word, *(b"^" + word[:p] for p in PREFIXES if len(word) > p)]
+        return tuple(self.term_of[k] for k in keys if k in self.term_of)
+
+    def match(self, text: bytes | None) -> tuple[tuple[int, ...], tuple[int, ...]]:
         """Vocabulary terms of a text and their counts."""
-        known, counts = self.term_of, Counter()
+        memo = self.__dict__.setdefault("_memo", {})
         words = normal_words(text)
-        hits = set()
-        for word in set(words):
-            if word in known or any(b"^" + word[:p] in known for p in PREFIXES if len(word) > p):
-                hits.add(word)
-        for word in words if hits else ():
-            if word in hits:
-                if word in known:
-                    counts[known[word]] += 1
-                for p in PREFIXES:
-                    if len(word) > p and (t := known.get(b"^" + word[:p])) is not None:
-                        counts[t] += 1
-        pairs = sorted(counts.items())
-        return [t for t, _ in pairs], [c for _, c in pairs]
-
-    def score(self, text: bytes | None) -> tuple[float, list[tuple[str, int, float]], list[str]]:
+        found = list(map(memo.get, words))
+        if None in found:
+            if len(memo) > MEMO:
+                memo.clear()
+            for word in set(words):
+                if word not in memo:
+                    memo[word] = self._terms_of(word)
+            found = list(map(memo.get, words))
+        pairs = sorted(Counter([t for terms in found if terms for t in terms]).items())
+        return tuple(t for t, _ in pairs), tuple(c for _, c in pairs)
+
+    def score(self, text: bytes | None) -> tuple[float, list[tuple[str, float, float]], list[str]]:
         terms, counts = self.match(text)
         if not terms:
             return self.blank, [], []
+        known = self.__dict__.setdefault("_known", {})
+        result = known.get((terms, counts))
+        if result is None:
+            if len(known) > MEMO // 10:
+                known.clear()
+            result = known[terms, counts] = self._score(terms, counts)
+        return result
+
+    def _score(self, terms, counts) -> tuple[float, list[tuple[str, float, float]], list[str]]:
         t, w = self._normal(terms, counts)
         near, cosine = self.index.search(t.tolist(), w.tolist(), self.k)
-        vote = cosine * self.worth[near]
-        score = (float((vote * self.toxic[near]).sum()) + 0.5 * self.prior) / (float(vote.sum()) + 0.5)
+        vote = np.sqrt(self.worth[near]) / (1.03 - np.minimum(cosine, 1.0))
+        score = (float((vote * self.toxic[near]).sum()) + self.prior) / (float(vote.sum()) + 1.0)
         evidence = [
-            (self.ids[i], int(self.toxic[i]), min(1.0, float(c))) for i, c in zip(near[:3].tolist(), cosine[:3], strict=False)
+            (self.ids[i], float(self.toxic[i]), min(1.0, float(c))) for i, c in zip(near[:3].tolist(), cosine[:3], strict=False)
         ]
-        return min(1.0, max(0.0, score)), evidence, [self.names[i].decode(errors="replace") for i in terms]
+        names = [self.names[i].decode(errors="replace") for i in terms]
+        return min(1.0, max(0.0, score)), evidence, names
 
 
 def _term_sets(text: F.Column) -> F.Column:
-    @F.arrow_udf("array<binary>")
+    kind = pa.list_(pa.struct([("term", pa.binary()), ("context", pa.int64())]))
+
+    @F.arrow_udf("array<struct<term: binary, context: bigint>>")
     def terms(texts: pa.Array) -> pa.Array:
-        return pa.array([list(_terms(t)) for t in texts.cast(pa.binary()).to_pylist()], pa.list_(pa.binary()))
+        short = lambda w: xxhash.xxh64_intdigest(w) >> 1
+        out = [
+            [{"term": t, "context": short(before)} for t, before in _terms(text).items()]
+            for text in texts.cast(pa.binary()).to_pylist()
+        ]
+        return pa.array(out, kind)
 
     return terms(text)
 
 
+def _signatures(text: F.Column) -> F.Column:
+    @F.arrow_udf("bigint")
+    def signature(texts: pa.Array) -> pa.Array:
+        return pa.array([_signature(t) for t in texts.cast(pa.binary()).to_pylist()], pa.int64())
+
+    return signature(text)
+
+
 def labelled_rows(
     labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic", held_out: F.Column | None = None
 ) -> DataFrame:
@@ -165,18 +218,22 @@ def fit(
     id_col: str = "doc_id",
     text_col: str = "text",
     max_examples: int = 20_000,
-    max_terms: int = 4_096,
-    min_gain: float = 20.0,
+    max_terms: int = 1_024,
+    min_gain: float = 30.0,
+    min_lift: float = 3.0,
     neighbours: int = 16,
     seed: int = 5,
 ) -> Voter:
     """Learn from ``labelled(id, toxic)``.
 
     Up to half of ``max_examples`` of each class, in hash order of their ids, are
-    the examples; this is the documented bound of the sample. Terms are words and
-    word beginnings whose presence depends on the label by a likelihood ratio of
-    at least ``min_gain`` (the best ``max_terms``), so an example is a short
-    vector and the index is bounded by ``max_examples`` times ``max_terms``.
+    the examples; this is the documented bound of the sample. Of near copies (with
+    the same smallest shingle hash) one per class is used. Terms are words and
+    word beginnings that one class has ``min_lift`` times as often as the other,
+    with a likelihood ratio of at least ``min_gain`` (the best ``max_terms``). A
+    term counts once for each word found before it, so a passage that many
+    documents share does not make its words look typical. An example is a short
+    vector, and the index is bounded by ``max_examples`` times ``max_terms``.
     Document frequencies and class sizes are reweighted to all labelled rows.
     """
     labelled = saved(labelled, "labels")
@@ -192,7 +249,11 @@ def fit(
     examples = saved(
         texts.join(F.broadcast(picked), "id")
         .groupBy("id")
-        .agg(F.max("toxic").alias("toxic"), F.max("text").alias("text"), F.min(order).alias("place")),
+        .agg(F.max("toxic").alias("toxic"), F.max("text").alias("text"), F.min(order).alias("place"))
+        .withColumn("signature", _signatures(F.col("text")))
+        .groupBy("toxic", "signature")
+        .agg(F.min_by(F.struct("id", "text", "place"), F.struct("place", "id")).alias("x"))
+        .select("x.*", "toxic"),
         "examples",
     )
     drawn = {r.toxic: r.n for r in examples.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -200,9 +261,11 @@ def fit(
         return Voter([], [], [], neighbours, {})
     n1, n0 = drawn.get(1, 0), drawn.get(0, 0)
     seen = (
-        examples.select("toxic", F.explode(_term_sets(F.col("text"))).alias("term"))
+        examples.select("toxic", F.explode(_term_sets(F.col("text"))).alias("t"))
+        .groupBy("t.term", "t.context")
+        .agg(F.max("toxic").alias("one"), F.max(1 - F.col("toxic")).alias("nil"))
         .groupBy("term")
-        .agg(F.sum("toxic").alias("d1"), F.sum(1 - F.col("toxic")).alias("d0"))
+        .agg(F.sum("one").alias("d1"), F.sum("nil").alias("d0"))
         .filter(F.col("d1") + F.col("d0") >= 3)
     )
 
@@ -217,9 +280,11 @@ def fit(
         + part(n1 - one, n1, n0 - nil, n0)
         + part(n0 - nil, n0, n1 - one, n1)
     )
+    lift = ((one + 0.5) / float(n1 + 1)) / ((nil + 0.5) / float(n0 + 1))
     best = (
         seen.withColumn("gain", gain)
         .filter(F.col("gain") >= min_gain)
+        .filter((F.greatest(lift, 1 / lift)) >= min_lift)
         .orderBy(F.col("gain").desc(), "term")
         .limit(max_terms)
         .collect()
@@ -252,7 +317,7 @@ def _matches(voter: Broadcast):
 
 
 def _scores(voter: Broadcast):
-    evidence = pa.struct([("example", pa.string()), ("toxic", pa.int32()), ("cosine", pa.float64())])
+    evidence = pa.struct([("example", pa.string()), ("toxic", pa.float64()), ("cosine", pa.float64())])
     kind = pa.struct([("score", pa.float64()), ("evidence", pa.list_(evidence)), ("terms", pa.list_(pa.string()))])
 
     @F.arrow_udf(RESULT)
@@ -268,12 +333,12 @@ def _scores(voter: Broadcast):
 
 
 def score(docs: DataFrame, voter: Voter, text_col: str = "text") -> DataFrame:
-    """Add ``score`` (0 to 1), ``evidence`` (the nearest examples with label and
-    cosine) and ``terms`` (those of the vocabulary that the text holds).
+    """Add ``score`` (0 to 1), ``evidence`` (the nearest entries: an example of each,
+    its toxic share, the cosine) and ``terms`` (those of the vocabulary that the text holds).
 
-    The ``neighbours`` examples of highest cosine vote, weighted by cosine and by
-    how many labelled rows an example stands for; half a vote for the overall
-    rate draws thin evidence towards it. A text without any term, empty and null
+    The ``neighbours`` nearest entries vote (examples with equal vectors are one
+    entry), weighted by distance and by the labelled rows they stand for; one
+    vote for the overall rate draws thin evidence towards it. A text without any term, empty and null
     texts included, gets the rate among examples without any. Only the text
     decides; whole texts are read. Without labels every score is 0.
     """
