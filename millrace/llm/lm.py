@@ -147,7 +147,7 @@ class Model:
         z += self.p["bias"].take(nodes)
         z *= -signs
         loss = np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z)))
-        out = -np.bincount(rows, loss, len(codes))
+        out = -np.bincount(rows, loss, len(codes)).astype(float)
         out[codes == self.tree.n_codes - 1] -= self.rare
         return out
 
