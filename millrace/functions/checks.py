@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.cells import Cell, text_cell
+from millrace.functions.cells import Cell, number_of, text_cell, unquoted
 from millrace.schema import TableSchema, as_list
 
 ERROR = T.StructType(
@@ -233,6 +233,23 @@ def _text_checks(cell: Cell, spec: Mapping, path: str, assert_format: bool) -> l
     return out
 
 
+def _as_value(spec: Mapping):
+    """An item as it counts for equality: unquoted, and by its value where the
+    schema lets items be numbers, so that 1 equals 1.0."""
+    kinds = spec.get("items", {}).get("type", ()) if isinstance(spec.get("items"), Mapping) else ()
+    kinds = [kinds] if isinstance(kinds, str) else kinds
+    numeric = bool({"number", "integer"} & set(kinds))
+
+    def value(item: Column) -> Column:
+        text = unquoted(item)
+        number = number_of(text) if numeric else F.lit(None).cast("double")
+        return F.struct(
+            number.alias("number"), F.when(number.isNull(), text).alias("text")
+        )
+
+    return value
+
+
 def _array_checks(schema, cell: Cell, spec: Mapping, path: str, assert_format) -> list[Check]:
     if cell.items is None:
         return []
@@ -277,7 +294,7 @@ def _array_checks(schema, cell: Cell, spec: Mapping, path: str, assert_format) -
             Check(_true(size > spec["maxItems"]), path, "maxItems", _says(cell, "is too long"))
         )
     if spec.get("uniqueItems"):
-        repeated = F.size(F.array_distinct(items)) < size
+        repeated = F.size(F.array_distinct(F.transform(items, _as_value(spec)))) < size
         out.append(
             Check(_true(repeated), path, "uniqueItems", _says(cell, "has non-unique elements"))
         )

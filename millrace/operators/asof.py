@@ -21,7 +21,8 @@ def asof_join(
     how: str = "inner",
 ) -> DataFrame:
     """``left`` plus ``columns`` of the last ``right`` row with the same key
-    and ``right.on <= left.on``. Among equal times the largest row counts.
+    and ``right.on <= left.on``. Among equal times the largest row counts. A null
+    key or time matches nothing, on either side.
 
     Time is cut into buckets and work is partitioned by (key, bucket), so a
     key owning a third of all rows spreads over as many tasks as it has
@@ -46,6 +47,12 @@ def asof_join(
             match.alias("__match"),
         )
 
+    known = F.lit(True)
+    for c in [*keys, on]:
+        known = known & named(c).isNotNull()
+    right = right.filter(known)
+    unmatched = left.filter(~known)
+    left = left.filter(known)
     left_type = left.select(row_of(left.columns).alias("x")).schema["x"].dataType
     match_type = right.select(row_of(columns).alias("x")).schema["x"].dataType
     rights = tagged(right, 0, F.lit(None).cast(left_type), row_of(columns))
@@ -93,7 +100,13 @@ def asof_join(
     )
     if how == "inner":
         joined = joined.filter(F.col("__found").isNotNull())
-    return joined.select(
+    out = joined.select(
         *[F.col("__left").getField(c).alias(c) for c in left.columns],
         *[F.col("__found").getField(c).alias(f"right_{c}") for c in columns],
     )
+    if how == "inner":
+        return out
+    empty = F.lit(None).cast(match_type)
+    return out.unionByName(
+        unmatched.select("*", *[empty.getField(c).alias(f"right_{c}") for c in columns])
+    )

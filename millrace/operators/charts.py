@@ -68,6 +68,11 @@ CHARTS = {
 }
 
 
+# Inside quotes, commas and brackets belong to a column's name.
+_ARGUMENT = re.compile(r"""\s*(?:"[^"]*"|'[^']*'|[^,"'()])+""")
+_SPEC = re.compile(r"""\s*(\w+)\s*\(((?:"[^"]*"|'[^']*'|[^"'()])*)\)""")
+
+
 def _unquote(text: str) -> str:
     text = text.strip()
     if len(text) > 1 and text[0] == text[-1] and text[0] in "'\"":
@@ -77,10 +82,10 @@ def _unquote(text: str) -> str:
 
 def parse_chart(spec: str | None) -> tuple[str, list[str]]:
     """``bar("a", "b")`` as a name and its columns; ``("none", [])`` otherwise."""
-    match = re.match(r"\s*(\w+)\s*\(([^)]*)\)", _unquote(spec or ""))
+    match = _SPEC.match(_unquote(spec or ""))
     if match is None or match[1] == "none":
         return "none", []
-    return match[1], [_unquote(a) for a in match[2].split(",")]
+    return match[1], [_unquote(a) for a in _ARGUMENT.findall(match[2]) if a.strip()]
 
 
 def chart_data(df: DataFrame, spec: str | None, width: float | None = None) -> DataFrame | None:

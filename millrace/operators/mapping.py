@@ -7,6 +7,7 @@ projection. Mappings are kept as tables and can be checked for gaps.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping as MappingType, Sequence
 from dataclasses import dataclass, field
 
@@ -27,6 +28,12 @@ DATE_DIRECTIVES = {
     "%S": "ss",
     "%b": "MMM",
     "%B": "MMMM",
+    "%I": "hh",
+    "%p": "a",
+    "%j": "DDD",
+    "%f": "SSSSSS",
+    "%T": "HH:mm:ss",
+    "%F": "yyyy-MM-dd",
 }
 
 MAPPING_LAYOUT = T.StructType(
@@ -50,9 +57,21 @@ class FieldMap:
 
 def spark_date_format(fmt: str) -> str:
     """Accept strftime spelling as well as Spark's."""
-    for directive, pattern in DATE_DIRECTIVES.items():
-        fmt = fmt.replace(directive, pattern)
-    return fmt
+    if "%" not in fmt:
+        return fmt
+    out = []
+    for part in re.findall(r"%.?|[^%]+", fmt, re.S):
+        if part == "%%":
+            out.append("%")
+        elif part[0] == "%":
+            if part not in DATE_DIRECTIVES:
+                raise ValueError(
+                    f"unknown date directive {part!r} in {fmt!r}; known: {' '.join(DATE_DIRECTIVES)}"
+                )
+            out.append(DATE_DIRECTIVES[part])
+        else:  # letters stand for themselves, so they are quoted
+            out.append(re.sub(r"[A-Za-z]+", r"'\g<0>'", part.replace("'", "''")))
+    return "".join(out)
 
 
 def map_dates(column: Column, fmt: str) -> Column:
@@ -68,8 +87,9 @@ def map_values(
     if not values:
         return column
     pairs = [F.lit(x) for pair in values.items() for x in pair]
-    found = F.element_at(F.create_map(*pairs), column)
-    return F.coalesce(found, column) if keep_unmatched else found
+    text = column.cast("string")
+    found = F.element_at(F.create_map(*pairs), text)
+    return F.coalesce(found, text) if keep_unmatched else found
 
 
 def map_values_table(
@@ -112,28 +132,50 @@ def apply_mapping(df: DataFrame, mapping: MappingType[str, "FieldMap | str"]) ->
     return df.select(*out)
 
 
-Mapper = Callable[[DataFrame], "dict[str, DataFrame]"]
+class TableFrames(list):
+    """(table, frame) pairs in order. A table may occur several times, and each of
+    its frames counts; ``pairs["t"]`` is the frame of a table that occurs once."""
+
+    def __getitem__(self, key):
+        if not isinstance(key, str):
+            return super().__getitem__(key)
+        found = [frame for table, frame in self if table == key]
+        if len(found) != 1:
+            raise KeyError(f"{len(found)} frames for table '{key}' among {[t for t, _ in self]}")
+        return found[0]
+
 
+Mapper = Callable[[DataFrame], "TableFrames | dict[str, DataFrame] | DataFrame"]
 
-def multi_table(mappings: MappingType[str, MappingType]) -> Mapper:
-    """A mapper sending one source to several target tables."""
 
-    def mapper(df: DataFrame) -> dict[str, DataFrame]:
-        return {table: apply_mapping(df, m) for table, m in mappings.items()}
+def multi_table(
+    mappings: MappingType[str, MappingType] | Sequence[tuple[str, MappingType]],
+) -> Mapper:
+    """A mapper sending one source to several target tables. Given as pairs, two
+    mappings may feed one table."""
+    pairs = list(mappings.items() if isinstance(mappings, MappingType) else mappings)
+
+    def mapper(df: DataFrame) -> TableFrames:
+        return TableFrames((table, apply_mapping(df, m)) for table, m in pairs)
 
     return mapper
 
 
-def as_tables(result, default: str = "table") -> dict[str, DataFrame]:
-    """Normalise what a mapper returned: a dict of frames, one frame, or a
+def as_tables(result, default: str = "table") -> TableFrames:
+    """Normalise what a mapper returned: a dict of frames, one frame, pairs, or a
     list of ``{"table": ..., "data": ...}`` (``database`` is an older name)."""
     if isinstance(result, DataFrame):
-        return {default: result}
+        return TableFrames([(default, result)])
     if isinstance(result, dict) and "data" in result:
         result = [result]
     if isinstance(result, dict):
-        return dict(result)
-    return {item.get("table", item.get("database")): item["data"] for item in result}
+        return TableFrames(result.items())
+    return TableFrames(
+        (item.get("table", item.get("database")), item["data"])
+        if isinstance(item, dict)
+        else tuple(item)
+        for item in result
+    )
 
 
 def mapping_clean(mapping: DataFrame) -> DataFrame:
@@ -149,7 +191,8 @@ def mapping_clean(mapping: DataFrame) -> DataFrame:
 
 
 def unmapped_fields(schema_fields: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Schema fields without a source: (path, message)."""
+    """Schema fields without a source: (target_field, path, message). The path
+    names the mapping's column that has to be filled in."""
     mapped = (
         mapping_clean(mapping)
         .filter(F.col("source_field").isNotNull())
@@ -158,7 +201,8 @@ def unmapped_fields(schema_fields: DataFrame, mapping: DataFrame) -> DataFrame:
     )
     name = schema_fields.columns[0]
     return schema_fields.join(mapped, named(name) == F.col("__target"), "left_anti").select(
-        named(name).alias("path"),
+        named(name).alias("target_field"),
+        F.lit("source_field").alias("path"),
         F.concat(named(name), F.lit(" has not been mapped")).alias("message"),
     )
 
@@ -178,6 +222,8 @@ def mapping_frame(spark, mapping: MappingType[str, "FieldMap | str"]) -> DataFra
     rows = []
     for target, rule in mapping.items():
         rule = as_field_map(rule)
+        if rule.date_format:
+            spark_date_format(rule.date_format)  # refuse unknown directives now
         rows.append(
             (target, rule.source, dict(rule.values), rule.keep_unmatched, rule.date_format)
         )

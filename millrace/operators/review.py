@@ -6,7 +6,7 @@ Works on frames with ``Row``, ``_delete`` and, where errors matter, the
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -169,22 +169,23 @@ def page_slice(df: DataFrame, page: int, size: int, order_by: str = "Row") -> Da
 
 
 def kept_rows(df: DataFrame, *helpers: str) -> DataFrame:
-    """Rows not marked for deletion, without helper columns."""
-    kept = df.filter(~_marked(df)) if "_delete" in df.columns else df
-    return kept.drop("_delete", ERRORS, "_warnings", "_typed", *helpers)
+    """Rows of a staged batch not marked for deletion, without helper columns. A
+    frame that is not staged comes back whole: there such names are data."""
+    if "_delete" not in df.columns:
+        return df
+    return df.filter(~_marked(df)).drop("_delete", ERRORS, "_warnings", "_typed", *helpers)
 
 
 def commit_reviewed(store, staged, update_existing: bool = True, **options):
     """Commit the kept rows of every staged table; ``Row`` orders repeats.
 
+    ``staged`` is a mapping or (table, frame) pairs; a table may occur again.
     ``update_existing`` chooses upsert over append.
     """
     from millrace.sources.store import WritePolicy
 
     policy = WritePolicy.UPSERT if update_existing else WritePolicy.APPEND
     store.set_write_policy(policy)
-    ready = {
-        table: stored_form(kept_rows(df), store.schema(table))
-        for table, df in staged.items()
-    }
+    pairs = staged.items() if isinstance(staged, Mapping) else staged
+    ready = [(table, stored_form(kept_rows(df), store.schema(table))) for table, df in pairs]
     return store.commit_tables(ready, order_by="Row", policy=policy, **options)

@@ -8,7 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.cells import array_to_text, parse_array
+from millrace.functions.cells import (
+    array_to_text,
+    boolean_of,
+    integer_of,
+    number_of,
+    parse_array,
+    trimmed,
+)
 from millrace.functions.names import named
 from millrace.schema import TableSchema
 
@@ -50,8 +57,15 @@ def _cast(column: Column, have: T.DataType, want: T.DataType, name: str, on_erro
         return column.cast(want)
     if isinstance(have, T.ArrayType) and isinstance(want, T.StringType):
         return array_to_text(column)
-    if isinstance(have, T.StringType) and isinstance(want, T.ArrayType):
+    text = isinstance(have, T.StringType)
+    if text and isinstance(want, T.ArrayType):
         tried = parse_array(column).cast(want)
+    elif text and isinstance(want, T.BooleanType):
+        tried = boolean_of(trimmed(column))
+    elif text and isinstance(want, T.IntegralType):
+        tried = integer_of(trimmed(column)).try_cast(want)
+    elif text and isinstance(want, T.FractionalType) and not isinstance(want, T.DecimalType):
+        tried = number_of(trimmed(column)).cast(want)
     else:
         tried = column.try_cast(want)
     if isinstance(have, T.FractionalType) and isinstance(want, T.IntegralType):
@@ -71,7 +85,8 @@ def _cast(column: Column, have: T.DataType, want: T.DataType, name: str, on_erro
 
 
 def cast_to(df: DataFrame, layout: T.StructType, on_error: str = "fail") -> DataFrame:
-    """Cast the layout's columns; others pass through."""
+    """Cast the layout's columns; others pass through. Text becomes a number or a
+    truth value by the spellings that coercion accepts, and by no others."""
     if on_error not in ("fail", "null"):
         raise ValueError(f"unknown on_error {on_error!r}")
     want = {f.name: f.dataType for f in layout.fields}

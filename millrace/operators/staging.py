@@ -10,11 +10,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions.names import named
 from millrace.session import scratch_dir
-from millrace.sources import files
 
 _OFFSET_BITS = 33  # monotonically_increasing_id: task number above, position below
-# Above this many written files the offsets are joined without a broadcast hint.
-_BROADCAST_TASKS = 2_000_000
 
 
 def stage(
@@ -55,8 +52,6 @@ def stage(
     starts = sizes.select(
         "__task", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start")
     )
-    if len(files.names(spark, path)) <= _BROADCAST_TASKS:
-        starts = F.broadcast(starts)
     return (
         written.withColumn("__task0", task)
         .join(starts, F.col("__task0") == F.col("__task"))

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
+from millrace.operators.mapping import TableFrames
 from millrace.operators.review import commit_reviewed, overlay_edits
 from millrace.operators.staging import stage
 from millrace.operators.validate import ERRORS, WARNINGS, error_rows, with_errors
@@ -63,16 +64,15 @@ def apply_edits(staged: StagedTable, edits: DataFrame, order_by: str | None = No
 
 def ingest(
     project: Project, mapper: str, source: DataFrame | str, table: str = "table"
-) -> dict[str, StagedTable]:
-    """Stage a source into each target table its mapper names."""
+) -> TableFrames:
+    """Stage a source into each target its mapper names: (table, StagedTable)
+    pairs, one for every frame of the mapper."""
     if isinstance(source, str):
         source = read_csv_source(project.spark, source)
     targets = project.run_mapper(mapper, source, table)
-    return {name: stage_table(project, name, df) for name, df in targets.items()}
+    return TableFrames((name, stage_table(project, name, df)) for name, df in targets)
 
 
-def commit(project: Project, staged: dict[str, StagedTable], **options):
+def commit(project: Project, staged: TableFrames, **options):
     """Commit the rows that review has left unmarked."""
-    return commit_reviewed(
-        project.store, {name: s.rows for name, s in staged.items()}, **options
-    )
+    return commit_reviewed(project.store, [(name, s.rows) for name, s in staged], **options)

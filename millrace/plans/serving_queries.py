@@ -220,13 +220,18 @@ def sql_readonly_guard(spark, sf):
         "INSERT INTO customer VALUES (1)",
         "SELECT 1; DROP VIEW customer",
         "SELECT 1) ; DROP VIEW customer --",
+        "SELECT TRANSFORM(c_name) USING 'cat' AS (x) FROM customer",
+        "SELECT reflect('java.lang.System', 'lineSeparator') FROM customer",
+        f"SELECT * FROM parquet.`{sf}/customer.parquet`",
+        "SELECT * FROM customer WHERE EXISTS (SELECT 1 FROM text.`/etc/hosts`)",
+        "SELECT * FROM somebody_elses_view",
     ):
         try:
             sql_query(spark, text, tables)
         except Exception:
             continue
         raise AssertionError(f"was run: {text}")
-    return sql_query(spark, "SELECT c_custkey, c_name FROM customer -- all;\n;", tables)
+    return sql_query(spark, "```sql\nSELECT c_custkey, c_name FROM customer -- all;\n;\n```", tables)
 
 
 sql(
@@ -324,12 +329,21 @@ sql(
 
 @query(
     "sql_asof",
-    "SELECT e.event_id, p.event_id AS last_purchase FROM events e ASOF JOIN "
-    "(SELECT user_id, ts, event_id FROM events WHERE event_type = 'purchase') p "
+    "SELECT e.event_id, p.event_id AS last_purchase FROM e ASOF JOIN "
+    "(SELECT user_id, ts, event_id FROM e WHERE event_type = 'purchase') p "
     "ON e.user_id = p.user_id AND e.ts >= p.ts",
+    "WITH e AS (SELECT event_id, event_type, CASE WHEN event_id % 11 <> 0 THEN user_id END AS user_id, "
+    "CASE WHEN event_id % 13 <> 0 THEN ts END AS ts FROM events)",
 )
 def sql_asof(spark, sf):
-    events = table(spark, sf, "events").select("event_id", "user_id", "ts", "event_type")
+    """Some keys and times are missing, on both sides: they match nothing."""
+    number = F.col("event_id")
+    events = table(spark, sf, "events").select(
+        "event_id",
+        "event_type",
+        F.when(number % 11 != 0, F.col("user_id")).alias("user_id"),
+        F.when(number % 13 != 0, F.col("ts")).alias("ts"),
+    )
     purchases = events.filter("event_type = 'purchase'")
     found = asof_join(events.drop("event_type"), purchases, "user_id", "ts", ["event_id"])
     return found.select("event_id", F.col("right_event_id").alias("last_purchase"))

@@ -90,24 +90,28 @@ def map_values_table(spark, sf):
 @query(
     "map_multi_table",
     "SELECT 'orders' AS target, count(*) AS n, sum(o_orderkey)::BIGINT AS checksum FROM orders "
-    "UNION ALL SELECT 'customers', count(*), sum(o_custkey)::BIGINT FROM orders",
+    "UNION ALL SELECT 'people', count(*), sum(o_custkey)::BIGINT FROM orders "
+    "UNION ALL SELECT 'people', count(*), sum(o_orderkey + 1)::BIGINT FROM orders",
 )
 def map_multi_table(spark, sf):
+    """Two of three frames go to one target, and both are there."""
     mapper = maps.multi_table(
-        {
-            "orders": {"key": "o_orderkey", "status": "o_orderstatus"},
-            "customers": {"key": "o_custkey"},
-        }
+        [
+            ("orders", {"key": "o_orderkey", "status": "o_orderstatus"}),
+            ("people", {"key": "o_custkey"}),
+            ("people", {"key": "next"}),
+        ]
     )
+    orders = table(spark, sf, "orders").withColumn("next", F.col("o_orderkey") + 1)
     parts = [
         df.agg(
             F.lit(target).alias("target"),
             F.count(F.lit(1)).alias("n"),
             F.sum("key").alias("checksum"),
         )
-        for target, df in mapper(table(spark, sf, "orders")).items()
+        for target, df in mapper(orders)
     ]
-    return parts[0].unionByName(parts[1])
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("map_project_only", "SELECT o_orderkey, o_totalprice FROM orders")
@@ -118,13 +122,21 @@ def map_project_only(spark, sf):
 
 @query(
     "map_date_format",
-    "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS order_day FROM orders",
+    "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS order_day, "
+    "strftime(o_orderdate, '%Y-%m-%d') AS order_moment FROM orders",
 )
 def map_date_format(spark, sf):
+    """Also with letters that stand for themselves, a T between date and time."""
     orders = table(spark, sf, "orders").select(
-        "o_orderkey", F.date_format("o_orderdate", "dd/MM/yyyy").alias("day")
+        "o_orderkey",
+        F.date_format("o_orderdate", "dd/MM/yyyy").alias("day"),
+        F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("moment"),
     )
-    rules = {"o_orderkey": "o_orderkey", "order_day": FieldMap("day", date_format="%d/%m/%Y")}
+    rules = {
+        "o_orderkey": "o_orderkey",
+        "order_day": FieldMap("day", date_format="%d/%m/%Y"),
+        "order_moment": FieldMap("moment", date_format="%Y-%m-%dT%H:%M:%S"),
+    }
     return maps.apply_mapping(orders, rules)
 
 
@@ -159,7 +171,7 @@ def mapping_clean(spark, sf):
 
 @query(
     "unmapped_fields",
-    "SELECT 'part_' || p_partkey AS path, 'part_' || p_partkey || ' has not been mapped' AS message "
+    "SELECT 'part_' || p_partkey AS target_field, 'source_field' AS path, 'part_' || p_partkey || ' has not been mapped' AS message "
     "FROM part WHERE 'part_' || p_partkey NOT IN (SELECT target_field FROM mapping "
     "WHERE target_field IS NOT NULL AND trim(source_field) <> '')",
     MAPPING_SQL,
@@ -195,7 +207,8 @@ def mapping_from_table(spark, sf):
         "segment": FieldMap("c_mktsegment", {"BUILDING": "Bau"}),
         "unused": "   ",
     }
-    made.save_mapping("customers", rules)
+    made.save_mapping("customers", {"cust_id": "c_nationkey"})
+    made.save_mapping("customers", rules)  # a later edition replaces the first
     return made.run_mapper("customers", table(spark, sf, "customer"))["table"]
 
 
@@ -326,15 +339,28 @@ def val_string(spark, sf):
 
 @query(
     "val_array",
-    "SELECT \"Row\", 'minItems' AS keyword FROM raw WHERE tags = 'a, b' "
-    "UNION ALL SELECT \"Row\", 'enum' FROM raw WHERE tags LIKE '[%]'",
+    "SELECT \"Row\", 'tags' AS path, 'minItems' AS keyword FROM raw WHERE tags = 'a, b' "
+    "UNION ALL SELECT \"Row\", 'tags', 'enum' FROM raw WHERE tags LIKE '[%]' "
+    "UNION ALL SELECT \"Row\", 'twins', k FROM raw, (VALUES ('uniqueItems'), ('maxItems'), ('contains')) v(k) "
+    "WHERE segment = 'BUILDING' "
+    "UNION ALL SELECT \"Row\", 'sums', 'uniqueItems' FROM raw WHERE segment = 'BUILDING'",
     STAGED_SQL,
 )
 def val_array(spark, sf):
-    spec = {"type": ["array", "string"], "minItems": 3, "items": {"enum": ["a", "b"]}}
-    schema = TableSchema({"properties": {"tags": spec}})
-    found = validate(staged(spark, sf).select("Row", "tags"), schema)
-    return found.select("Row", "keyword")
+    """Items of one building are equal though quoted or spelled differently."""
+    properties = {
+        "tags": {"type": ["array", "string"], "minItems": 3, "items": {"enum": ["a", "b"]}},
+        "twins": {"type": "array", "uniqueItems": True, "maxItems": 2, "contains": {"const": "z"}},
+        "sums": {"type": "array", "uniqueItems": True, "items": {"type": "number"}},
+    }
+    building = F.col("segment") == "BUILDING"
+    batch = staged(spark, sf).select(
+        "Row",
+        "tags",
+        F.when(building, "[a, 'a', b]").otherwise("[z, 'y']").alias("twins"),
+        F.when(building, "[1, 1.0]").otherwise("[1, 2]").alias("sums"),
+    )
+    return validate(batch, TableSchema({"properties": properties})).select("Row", "path", "keyword")
 
 
 @query("val_required", "SELECT \"Row\", '''email'' is a required property' AS message FROM raw", STAGED_SQL)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.operators.mapping import (
     Mapper,
+    TableFrames,
     apply_mapping,
     as_tables,
     mapping_frame,
@@ -41,24 +44,39 @@ class Project:
         return sorted({*self._mappers, *stored})
 
     def run_mapper(self, name: str, source: DataFrame, table: str = "table"):
-        """Target frames by table name. Stored mappings are mappers too."""
+        """(table, frame) pairs. Stored mappings are mappers too."""
         if name in self._mappers:
             return as_tables(self._mappers[name](source), table)
-        return {table: apply_mapping(source, self.load_mapping(name))}
+        return TableFrames([(table, apply_mapping(source, self.load_mapping(name)))])
 
     def save_mapping(self, name: str, mapping) -> None:
-        """Store a mapping (a dict of rules, or a mapping table)."""
+        """Store a mapping (a dict of rules, or a mapping table), as a new edition:
+        readers see the old one until the new one is complete."""
         if isinstance(mapping, DataFrame):
             frame = mapping
         else:
             frame = mapping_frame(self.spark, mapping)
-        frame.write.parquet(f"{self.root}/mappings/{name}")
+        folder, tag = f"{self.root}/mappings/{name}", uuid.uuid4().hex[:12]
+        frame.write.parquet(f"{folder}/edition-{tag}")
+        number = len(self._editions(name)) + 1
+        while True:
+            try:
+                entry = f"{folder}/_log/{number:06d}.json"
+                files.publish_text(self.spark, entry, json.dumps(f"edition-{tag}"), tag)
+                return
+            except files.FileExists:  # saved by someone else meanwhile
+                number += 1
+
+    def _editions(self, name: str) -> list[str]:
+        listed = files.names(self.spark, f"{self.root}/mappings/{name}/_log")
+        return [n for n in listed if n[0].isdigit()]
 
     def load_mapping(self, name: str):
-        path = f"{self.root}/mappings/{name}"
-        if not files.exists(self.spark, path):
+        folder, editions = f"{self.root}/mappings/{name}", self._editions(name)
+        if not editions:
             raise KeyError(f"no mapper '{name}'; there are {self.mappers()}")
-        return mapping_from_table(self.spark.read.parquet(path))
+        part = json.loads(files.read_text(self.spark, f"{folder}/_log/{editions[-1]}"))
+        return mapping_from_table(self.spark.read.parquet(f"{folder}/{part}"))
 
     # -- queries and reports -----------------------------------------------------
 

@@ -50,12 +50,28 @@ def missing_to_null(df: DataFrame, tokens: Sequence[str] = MISSING) -> DataFrame
     )
 
 
-def _has_line_breaks_in_cells(spark: SparkSession, path) -> bool:
-    """Whether some line has an odd number of quotes, so that a record may span
-    lines. One parallel pass over the raw lines that stops at the first hit."""
-    lines = spark.read.text(path)
+_RECORD = "__record"  # the text of a record with another number of cells
+
+
+def _kinds(spark: SparkSession, paths: str | list[str]) -> list[tuple[list[str], bool]]:
+    """Files grouped by their header line and by whether some line has an odd
+    number of quotes, so that a record may span lines. One parallel pass over the
+    raw lines; one short row per file comes back."""
+    lines = spark.read.text(paths).select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
+    )
     quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    return not lines.filter(quotes % 2 == 1).isEmpty()
+    per_file = lines.groupBy("file").agg(
+        F.bool_or(quotes % 2 == 1).alias("spans"),
+        F.min_by(F.when(F.col("block") == 0, F.col("value")), F.struct("block", "at")).alias("head"),
+    )
+    groups: dict[tuple, list[str]] = {}
+    for row in per_file.orderBy("file").collect():
+        groups.setdefault((row.head, row.spans), []).append(row.file)
+    return [(files, spans) for (_, spans), files in groups.items()]
 
 
 def read_csv_source(
@@ -65,28 +81,46 @@ def read_csv_source(
     missing: Sequence[str] = MISSING,
     columns: Sequence[str] | None = None,
 ) -> DataFrame:
-    """A CSV file with a header, all columns as text, missing tokens as null.
+    """CSV files with a header, all columns as text, missing tokens as null.
 
-    Types come later from the target schema, not from sampling the file.
-    ``multi_line=None`` looks whether any record spans lines: only then is a
-    file read by a single task, otherwise it is split. ``columns`` names the
-    columns when the header need not be read.
+    Types come later from the target schema, not from sampling the file. Several
+    files are brought together by the names in their headers, whatever their
+    order; a column that a file lacks is null there. A record with fewer cells
+    than the header is filled up with nulls, one with more fails the job.
+    ``multi_line=None`` looks whether any record of a file spans lines: only then
+    is that file read by a single task, otherwise it is split. With ``columns``
+    every header has to give these names in this order.
     """
     paths = path if isinstance(path, str) else list(path)
-    if multi_line is None:
-        multi_line = _has_line_breaks_in_cells(spark, paths)
-    reader = (
-        spark.read.option("header", True)
-        .option("inferSchema", False)
-        .option("multiLine", multi_line)
-        .option("escape", '"')
-        .option("mode", "PERMISSIVE")
-    )
-    if columns is not None:
-        reader = reader.schema(
-            T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    out = None
+    for files, spans in _kinds(spark, paths):
+        reader = (
+            spark.read.option("header", True)
+            .option("inferSchema", False)
+            .option("multiLine", spans if multi_line is None else multi_line)
+            .option("escape", '"')
+            .option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", _RECORD)
+            .option("columnPruning", False)  # else cells left out are not counted
         )
-    return missing_to_null(reader.csv(paths), missing)
+        names = reader.csv(files[:1]).columns
+        if columns is not None and names != list(columns):
+            raise ValueError(f"{files[0]} has the columns {names}, expected {list(columns)}")
+        layout = [T.StructField(c, T.StringType()) for c in [*names, _RECORD]]
+        rows = reader.schema(T.StructType(layout)).csv(files)
+        unquoted = F.regexp_replace(_RECORD, '"([^"]|"")*"', "")
+        cells = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(","), F.lit(""))) + 1
+        refused = F.raise_error(
+            F.concat(F.lit(f"more than {len(names)} cells in the record: "), F.col(_RECORD))
+        ).cast("boolean")
+        # a data column is named beside the record, since Spark refuses to read the latter alone
+        surplus = (cells > len(names)) & F.coalesce(named(names[0]) == named(names[0]), F.lit(True))
+        rows = rows.filter(F.when(surplus, refused).otherwise(F.lit(True))).drop(_RECORD)
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    if out is None:  # no lines at all
+        layout = [T.StructField(c, T.StringType()) for c in columns or []]
+        return spark.createDataFrame([], T.StructType(layout))
+    return missing_to_null(out, missing)
 
 
 def write_csv(df: DataFrame, path: str, keep_helpers: bool = False) -> str:

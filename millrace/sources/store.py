@@ -5,7 +5,7 @@ Layout under the project root::
     schemas/<table>.schema.json            target schema (optional)
     data/<table>/part-<n>-<kind>-<tag>/    Parquet written by commit n
     data/<table>/_log/<n>.json             parts, layout and facts of commit n
-    backup/<table>_<time>/                 timestamped copies
+    backup/<table>/<time>_<n>/             timestamped copies
 
 The newest log entry names the parts that make up the table, so a failed or
 racing write is never seen. Part folders are immutable:
@@ -50,6 +50,7 @@ class Backend(Enum):
     SQL = "sql"  # INSERT OR IGNORE / ON CONFLICT DO UPDATE semantics
 
 
+# Policy names and how they are spelled in settings.
 class WritePolicy(Enum):
     APPEND = "append"
     UPSERT = "upsert"
@@ -184,6 +185,13 @@ class TableStore:
                 f"commit {entry['version']} of table '{table}' was taken by another writer"
             ) from None
 
+    def catalog(self) -> DataFrame:
+        """One row per table: name, version, last_updated. Read from the newest
+        log entry of each table."""
+        entries = [(t, self._latest(t)) for t in files.names(self.spark, f"{self.root}/data")]
+        rows = [(t, e["version"], e["last_updated"]) for t, e in entries if e]
+        return self.spark.createDataFrame(rows, "table string, version long, last_updated string")
+
     def commit_log(self, table: str) -> DataFrame:
         """One row per commit: version, time, policy, rows written, parts."""
         return self.spark.read.schema(LOG_LAYOUT).json(
@@ -271,30 +279,36 @@ class TableStore:
 
     def commit_tables(
         self,
-        batches: Mapping[str, DataFrame] | Sequence[str],
+        batches: Mapping[str, DataFrame] | Sequence[tuple[str, DataFrame]] | Sequence[str],
         frames: Sequence[DataFrame | list[dict]] | None = None,
         **options,
     ) -> dict[str, dict | None]:
         """Commit several tables in turn, after checking all of them.
 
-        Takes a mapping, or parallel lists of names and frames (records are
-        accepted as frames). Tables commit one by one, not atomically together.
+        Takes a mapping, (table, frame) pairs, or parallel lists of names and
+        frames (records are accepted as frames). A table named several times gets
+        each of its frames, in order. Tables commit one by one, not atomically
+        together. Returns the last log entry of each table.
         """
         if frames is not None:
             if len(batches) != len(frames):
                 raise ValueError(
                     f"{len(batches)} table names but {len(frames)} datasets"
                 )
-            batches = dict(zip(batches, frames, strict=True))
-        ready = {}
-        for table, frame in batches.items():
+            batches = list(zip(batches, frames, strict=True))
+        pairs = batches.items() if isinstance(batches, Mapping) else batches
+        ready = []
+        for table, frame in pairs:
             if not isinstance(frame, DataFrame):
                 if not frame:
                     continue
                 frame = _from_records(self.spark, frame, self.schema(table))
             self._check_key(table, frame)
-            ready[table] = frame
-        return {t: self.commit_table(t, f, **options) for t, f in ready.items()}
+            ready.append((table, frame))
+        done: dict[str, dict | None] = {}
+        for table, frame in ready:
+            done[table] = self.commit_table(table, frame, **options) or done.get(table)
+        return done
 
     def _check_key(self, table: str, batch: DataFrame) -> list[str]:
         keys = key_list(self.key(table))
@@ -562,17 +576,13 @@ class TableStore:
 
     def _copy(self, table: str, entry: dict, commit_time: str) -> str:
         stamp = commit_time.replace(":", "-")
-        path = f"{self.root}/backup/{table}_{stamp}_{entry['version']:06d}"
+        path = f"{self.root}/backup/{table}/{stamp}_{entry['version']:06d}"
         self._read_parts(table, entry).write.parquet(path)
         return path
 
     def backups(self, table: str) -> list[str]:
-        folder = f"{self.root}/backup"
-        return [
-            f"{folder}/{n}"
-            for n in files.names(self.spark, folder)
-            if n.startswith(f"{table}_")
-        ]
+        folder = f"{self.root}/backup/{table}"
+        return [f"{folder}/{n}" for n in files.names(self.spark, folder)]
 
     def compact(self, table: str) -> dict | None:
         """Rewrite many small parts, as left by a stream, into one."""

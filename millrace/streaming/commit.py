@@ -27,13 +27,17 @@ def stream_commit(
     """Commit each micro-batch by the same rules as a batch commit.
 
     Rows that fail the table's schema go to the table ``rejects`` (with their
-    errors), the others into ``table``. Each commit records (name, batch id) in
-    its log entry, so a batch delivered again after a failure changes nothing.
+    errors), the others into ``table``. Each commit records the batch id in its
+    log entry, under the name and the query id that Spark keeps in the checkpoint.
+    So a batch delivered again after a failure changes nothing, while a new
+    checkpoint under an old name, whose batches count from 0 again, is a stream of
+    its own.
     """
 
     def commit_batch(batch: DataFrame, batch_id: int) -> None:
         rows = transform(batch) if transform else batch
-        options = {"source": name, "batch_id": batch_id}
+        query_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        options = {"source": f"{name}@{query_id}", "batch_id": batch_id}
         if rejects is None:
             store.commit_table(table, rows, policy=policy, order_by=order_by, **options)
             return

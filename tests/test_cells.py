@@ -68,13 +68,13 @@ def test_boolean(spark, text, expected):
 @pytest.mark.parametrize(
     ("text", "expected"),
     [
-        ("[1, 2, 3]", ["1", "2", "3"]),
-        ("[a]", ["a"]),
-        ("[a, b, c]", ["a", "b", "c"]),
-        ('["a", "b", "c"]', ["a", "b", "c"]),
-        ("'a', 'b', 'c'", ["a", "b", "c"]),
-        ("a, b, c", ["a", "b", "c"]),
-        ("a", None),
+        ("[7,8]", ["7", "8"]),
+        ("[fever]", ["fever"]),
+        ("[ fever ,cough ]", ["fever", "cough"]),
+        ('["fever", "dry cough"]', ["fever", "dry cough"]),
+        ("'fever', rash", ["fever", "rash"]),
+        ("fever,rash,", ["fever", "rash", ""]),
+        ("fever", None),
         ("[]", [""]),
     ],
 )

@@ -8,17 +8,17 @@ from millrace.sources.store import CommitConflict
 TABLE = {
     "type": "object",
     "properties": {
-        "col1": {"type": "integer", "PrimaryKey": True},
-        "col2": {"type": "integer"},
+        "site": {"type": "integer", "PrimaryKey": True},
+        "beds": {"type": "integer"},
     },
 }
-NO_KEY = {"properties": {"col1": {"type": "integer"}, "col2": {"type": "integer"}}}
-BASE = [(1, 4), (2, 5), (3, 6)]
-BATCH = [(1, 7), (3, 8), (4, 9), (5, 10)]
-T1, T2 = "2021-02-01T01:02:03", "2022-03-02T04:05:06"
+NO_KEY = {"properties": {"site": {"type": "integer"}, "beds": {"type": "integer"}}}
+BASE = [(1, 40), (2, 55), (3, 62)]
+BATCH = [(1, 71), (3, 18), (4, 90), (5, 33)]
+T1, T2 = "2023-05-11T08:00:00", "2023-06-30T17:45:10"
 
 
-def frame(spark, data, names="col1 long, col2 long"):
+def frame(spark, data, names="site long, beds long"):
     return spark.createDataFrame(data, names)
 
 
@@ -27,7 +27,7 @@ def make(spark, tmp_path):
     def build(backend=Backend.PARQUET, schema=TABLE, **options):
         store = TableStore(spark, str(tmp_path), backend, **options)
         if schema:
-            store.put_schema("table1", schema)
+            store.put_schema("clinics", schema)
         return store
 
     return build
@@ -39,128 +39,128 @@ def any_store(request, make):
 
 
 def test_new_table_reads_back(any_store, spark):
-    entry = any_store.commit_table("table1", frame(spark, BASE))
+    entry = any_store.commit_table("clinics", frame(spark, BASE))
     assert entry["rows"] == 3
-    assert any_store.tables() == ["table1"]
-    assert rows(any_store.read_table("table1")) == BASE
-    assert any_store.read_table("table1").columns == ["col1", "col2"]
-    assert rows(any_store.read_table_column("table1", "col2")) == [(4,), (5,), (6,)]
-    assert rows(any_store.primary_keys("table1")) == [(1,), (2,), (3,)]
+    assert any_store.tables() == ["clinics"]
+    assert rows(any_store.read_table("clinics")) == BASE
+    assert any_store.read_table("clinics").columns == ["site", "beds"]
+    assert rows(any_store.read_table_column("clinics", "beds")) == [(40,), (55,), (62,)]
+    assert rows(any_store.primary_keys("clinics")) == [(1,), (2,), (3,)]
 
 
 def test_upsert_replaces_rows(any_store, spark):
-    any_store.commit_table("table1", frame(spark, BASE))
-    any_store.commit_table("table1", frame(spark, BATCH))
-    assert rows(any_store.read_table("table1")) == [(1, 7), (2, 5), (3, 8), (4, 9), (5, 10)]
+    any_store.commit_table("clinics", frame(spark, BASE))
+    any_store.commit_table("clinics", frame(spark, BATCH))
+    assert rows(any_store.read_table("clinics")) == [(1, 71), (2, 55), (3, 18), (4, 90), (5, 33)]
 
 
 def test_append_keeps_old_rows(any_store, spark):
     any_store.set_write_policy(WritePolicy.APPEND)
-    any_store.commit_table("table1", frame(spark, BASE))
-    any_store.commit_table("table1", frame(spark, BATCH))
-    assert rows(any_store.read_table("table1")) == [(1, 4), (2, 5), (3, 6), (4, 9), (5, 10)]
+    any_store.commit_table("clinics", frame(spark, BASE))
+    any_store.commit_table("clinics", frame(spark, BATCH))
+    assert rows(any_store.read_table("clinics")) == [(1, 40), (2, 55), (3, 62), (4, 90), (5, 33)]
 
 
 @pytest.mark.parametrize("policy", list(WritePolicy))
 @pytest.mark.parametrize("backend", [Backend.PARQUET, Backend.SQL])
 def test_without_key_everything_is_added(make, spark, policy, backend):
     store = make(backend, NO_KEY)
-    store.commit_table("table1", frame(spark, BASE), policy)
-    store.commit_table("table1", frame(spark, BASE), policy)
-    assert rows(store.read_table("table1")) == sorted(BASE * 2)
-    assert store.primary_keys("table1").columns == []
+    store.commit_table("clinics", frame(spark, BASE), policy)
+    store.commit_table("clinics", frame(spark, BASE), policy)
+    assert rows(store.read_table("clinics")) == sorted(BASE * 2)
+    assert store.primary_keys("clinics").columns == []
 
 
 def test_first_write_keeps_repeats_of_a_key(make, spark):
     store = make()
-    store.commit_table("table1", frame(spark, [(1, 1), (1, 2)]))
-    assert rows(store.read_table("table1")) == [(1, 1), (1, 2)]
+    store.commit_table("clinics", frame(spark, [(1, 1), (1, 2)]))
+    assert rows(store.read_table("clinics")) == [(1, 1), (1, 2)]
 
 
 def test_append_keeps_repeats_inside_the_batch(make, spark):
     store = make(write_policy=WritePolicy.APPEND)
-    store.commit_table("table1", frame(spark, BASE))
-    store.commit_table("table1", frame(spark, [(1, 9), (7, 1), (7, 2)]))
-    assert rows(store.read_table("table1")) == [*BASE, (7, 1), (7, 2)]
+    store.commit_table("clinics", frame(spark, BASE))
+    store.commit_table("clinics", frame(spark, [(1, 90), (7, 1), (7, 2)]))
+    assert rows(store.read_table("clinics")) == [*BASE, (7, 1), (7, 2)]
 
 
 @pytest.mark.parametrize(
     ("policy", "expected"),
     [
-        (WritePolicy.UPSERT, [(1, 4), (None, 2)]),
-        (WritePolicy.APPEND, [(1, 4), (None, 1)]),
+        (WritePolicy.UPSERT, [(1, 40), (None, 2)]),
+        (WritePolicy.APPEND, [(1, 40), (None, 1)]),
     ],
 )
 def test_missing_keys_match_each_other(make, spark, policy, expected):
     store = make(write_policy=policy)
-    store.commit_table("table1", frame(spark, [(1, 4), (None, 1)]))
-    store.commit_table("table1", frame(spark, [(None, 2)]))
-    assert rows(store.read_table("table1")) == sorted(expected, key=repr)
+    store.commit_table("clinics", frame(spark, [(1, 40), (None, 1)]))
+    store.commit_table("clinics", frame(spark, [(None, 2)]))
+    assert rows(store.read_table("clinics")) == sorted(expected, key=repr)
 
 
 def test_columns_missing_from_a_batch_become_null(make, spark):
     store = make()
-    store.commit_table("table1", frame(spark, BASE))
-    store.commit_table("table1", frame(spark, [(1,)], "col1 long"))
-    assert rows(store.read_table("table1")) == sorted([(1, None), (2, 5), (3, 6)], key=repr)
+    store.commit_table("clinics", frame(spark, BASE))
+    store.commit_table("clinics", frame(spark, [(1,)], "site long"))
+    assert rows(store.read_table("clinics")) == sorted([(1, None), (2, 55), (3, 62)], key=repr)
 
 
 def test_extra_columns(make, spark):
-    extra = frame(spark, [(9, 9, "x")], "col1 long, col2 long, more string")
+    extra = frame(spark, [(9, 90, "x")], "site long, beds long, more string")
     store = make()
-    store.commit_table("table1", extra)
-    assert store.read_table("table1").columns == ["col1", "col2"]
+    store.commit_table("clinics", extra)
+    assert store.read_table("clinics").columns == ["site", "beds"]
     keeping = make(extra="keep")
-    keeping.commit_table("table1", extra)
-    assert rows(keeping.read_table("table1")) == [(9, 9, "x")]
+    keeping.commit_table("clinics", extra)
+    assert rows(keeping.read_table("clinics")) == [(9, 90, "x")]
 
 
 def test_extra_columns_join_later(make, spark):
     store = make(extra="keep")
-    store.commit_table("table1", frame(spark, BASE))
-    store.commit_table("table1", frame(spark, [(3, 1, "x")], "col1 long, col2 long, more string"))
-    assert rows(store.read_table("table1")) == sorted(
-        [(1, 4, None), (2, 5, None), (3, 1, "x")], key=repr
+    store.commit_table("clinics", frame(spark, BASE))
+    store.commit_table("clinics", frame(spark, [(3, 1, "x")], "site long, beds long, more string"))
+    assert rows(store.read_table("clinics")) == sorted(
+        [(1, 40, None), (2, 55, None), (3, 1, "x")], key=repr
     )
 
 
 def test_values_that_do_not_fit(make, spark):
     store = make()
-    bad = frame(spark, [("1", "x")], "col1 string, col2 string")
-    with pytest.raises(Exception, match="col2"):
-        store.commit_table("table1", bad)
+    bad = frame(spark, [("1", "x")], "site string, beds string")
+    with pytest.raises(Exception, match="beds"):
+        store.commit_table("clinics", bad)
     assert store.tables() == []
-    store.commit_table("table1", bad, on_error="null")
-    assert rows(store.read_table("table1")) == [(1, None)]
-    with pytest.raises(Exception, match="col2"):
-        store.commit_table("table1", frame(spark, [(1, 1.5)], "col1 long, col2 double"))
+    store.commit_table("clinics", bad, on_error="null")
+    assert rows(store.read_table("clinics")) == [(1, None)]
+    with pytest.raises(Exception, match="beds"):
+        store.commit_table("clinics", frame(spark, [(1, 1.5)], "site long, beds double"))
 
 
 def test_without_schema_the_batch_keeps_its_columns(make, spark):
     store = make(schema=None)
-    store.commit_table("table1", frame(spark, BASE))
-    store.commit_table("table1", frame(spark, BASE))
-    assert rows(store.read_table("table1")) == sorted(BASE * 2)
+    store.commit_table("clinics", frame(spark, BASE))
+    store.commit_table("clinics", frame(spark, BASE))
+    assert rows(store.read_table("clinics")) == sorted(BASE * 2)
 
 
 def test_empty_batch_changes_nothing(any_store, spark):
-    assert any_store.commit_table("table1", frame(spark, [])) is None
+    assert any_store.commit_table("clinics", frame(spark, [])) is None
     assert any_store.tables() == []
-    any_store.commit_table("table1", frame(spark, BASE))
-    assert any_store.commit_table("table1", frame(spark, [])) is None
-    assert any_store.commit_log("table1").count() == 1
+    any_store.commit_table("clinics", frame(spark, BASE))
+    assert any_store.commit_table("clinics", frame(spark, [])) is None
+    assert any_store.commit_log("clinics").count() == 1
 
 
 def test_key_has_to_be_present(any_store, spark):
     with pytest.raises(ValueError, match="primary key"):
-        any_store.commit_table("table1", frame(spark, [(1,)], "col2 long"))
+        any_store.commit_table("clinics", frame(spark, [(1,)], "beds long"))
 
 
 def test_two_keys_are_refused(make):
     spec = {"type": "integer", "PrimaryKey": True}
     store = make(schema={"properties": {"a": spec, "b": spec}})
     with pytest.raises(ValueError, match="more than one"):
-        store.key("table1")
+        store.key("clinics")
 
 
 def test_policies_are_checked(make, spark):
@@ -171,23 +171,23 @@ def test_policies_are_checked(make, spark):
         with pytest.raises(ValueError):
             call("upsert")
     with pytest.raises(ValueError):
-        store.commit_table("table1", frame(spark, BASE), policy="other")
+        store.commit_table("clinics", frame(spark, BASE), policy="other")
     with pytest.raises(ValueError):
-        store.commit_table("table1", frame(spark, BASE), backup="other")
+        store.commit_table("clinics", frame(spark, BASE), backup="other")
 
 
 def test_several_tables(make, spark):
     store = make()
     store.put_schema("table2", TABLE)
-    store.commit_tables(["table1", "table2"], [frame(spark, BASE), frame(spark, BATCH)])
-    assert store.tables() == ["table1", "table2"]
+    store.commit_tables(["clinics", "table2"], [frame(spark, BASE), frame(spark, BATCH)])
+    assert store.tables() == ["clinics", "table2"]
     store.commit_tables(
-        ["table1", "table2"], [[{"col2": 1, "col1": 1}], [{"col1": 1, "col2": 2}]]
+        ["clinics", "table2"], [[{"beds": 1, "site": 1}], [{"site": 1, "beds": 2}]]
     )
-    assert (1, 1) in rows(store.read_table("table1"))
+    assert (1, 1) in rows(store.read_table("clinics"))
     assert (1, 2) in rows(store.read_table("table2"))
     with pytest.raises(ValueError, match="2 table names"):
-        store.commit_tables(["table1", "table2"], [frame(spark, BASE)])
+        store.commit_tables(["clinics", "table2"], [frame(spark, BASE)])
 
 
 def test_nothing_is_written_when_one_batch_lacks_its_key(make, spark):
@@ -195,71 +195,71 @@ def test_nothing_is_written_when_one_batch_lacks_its_key(make, spark):
     store.put_schema("table2", TABLE)
     with pytest.raises(ValueError):
         store.commit_tables(
-            {"table1": frame(spark, BASE), "table2": frame(spark, [(1,)], "col2 long")}
+            {"clinics": frame(spark, BASE), "table2": frame(spark, [(1,)], "beds long")}
         )
     assert store.tables() == []
 
 
 def test_sql_rules_inside_a_batch(make, spark):
-    names = "col1 long, col2 long, ord long"
+    names = "site long, beds long, ord long"
     store = make(Backend.SQL)
-    store.commit_table("table1", frame(spark, BASE))
+    store.commit_table("clinics", frame(spark, BASE))
     store.commit_table(
-        "table1",
+        "clinics",
         frame(spark, [(1, 0, 1), (7, 1, 1), (7, 2, 2)], names),
         WritePolicy.APPEND,
         order_by="ord",
     )
-    assert rows(store.read_table("table1")) == [*BASE, (7, 1)]
+    assert rows(store.read_table("clinics")) == [*BASE, (7, 1)]
     store.commit_table(
-        "table1", frame(spark, [(7, 5, 2), (7, 4, 1), (8, 1, 1)], names), order_by="ord"
+        "clinics", frame(spark, [(7, 55, 2), (7, 40, 1), (8, 1, 1)], names), order_by="ord"
     )
-    assert rows(store.read_table("table1")) == [*BASE, (7, 5), (8, 1)]
+    assert rows(store.read_table("clinics")) == [*BASE, (7, 55), (8, 1)]
 
 
 def test_sql_upsert_leaves_other_columns(make, spark):
     store = make(Backend.SQL)
-    store.commit_table("table1", frame(spark, BASE))
-    store.commit_table("table1", frame(spark, [(1,), (9,)], "col1 long"))
-    assert rows(store.read_table("table1")) == sorted([*BASE, (9, None)], key=repr)
+    store.commit_table("clinics", frame(spark, BASE))
+    store.commit_table("clinics", frame(spark, [(1,), (9,)], "site long"))
+    assert rows(store.read_table("clinics")) == sorted([*BASE, (9, None)], key=repr)
 
 
 def test_upsert_rewrites_only_parts_with_matching_keys(make, spark):
     store = make()
-    first = store.commit_table("table1", frame(spark, BASE))["parts"]
-    second = store.commit_table("table1", frame(spark, [(4, 4)]))["parts"]
-    third = store.commit_table("table1", frame(spark, [(4, 5)]))["parts"]
+    first = store.commit_table("clinics", frame(spark, BASE))["parts"]
+    second = store.commit_table("clinics", frame(spark, [(4, 40)]))["parts"]
+    third = store.commit_table("clinics", frame(spark, [(4, 55)]))["parts"]
     assert first[0] in second and first[0] in third
     assert second[1] not in third
-    assert rows(store.read_table("table1")) == [*BASE, (4, 5)]
-    removed = store.drop_unused_parts("table1")
+    assert rows(store.read_table("clinics")) == [*BASE, (4, 55)]
+    removed = store.drop_unused_parts("clinics")
     assert second[1] in removed
-    assert rows(store.read_table("table1")) == [*BASE, (4, 5)]
+    assert rows(store.read_table("clinics")) == [*BASE, (4, 55)]
 
 
 @pytest.mark.parametrize("backend", [Backend.PARQUET, Backend.SQL])
 def test_upsert_rewrites_only_files_with_matching_keys(make, spark, backend):
     store = make(backend)
     # The first part has one file per quarter of the keys.
-    base = spark.range(100, numPartitions=4).selectExpr("id AS col1", "id AS col2")
+    base = spark.range(100, numPartitions=4).selectExpr("id AS site", "id AS beds")
     if backend is Backend.SQL:
         store.backend = Backend.PARQUET
-    part = store.commit_table("table1", base)["parts"][0]
+    part = store.commit_table("clinics", base)["parts"][0]
     store.backend = backend
     want = {i: i for i in range(100)}
     for round_no, keys in enumerate([[3, 5, 200], [4, 80, 200], [99]]):
         batch = [(k, -k - round_no) for k in keys]
-        entry = store.commit_table("table1", frame(spark, batch))
+        entry = store.commit_table("clinics", frame(spark, batch))
         want.update(batch)
-        assert rows(store.read_table("table1")) == sorted(want.items(), key=repr)
+        assert rows(store.read_table("clinics")) == sorted(want.items(), key=repr)
         assert part in entry["parts"]
     # Keys of the first and the last quarter were updated.
     assert len(entry["without"][part]) == 2
-    store.drop_unused_parts("table1")
-    assert rows(store.read_table("table1")) == sorted(want.items(), key=repr)
-    compacted = store.compact("table1")
+    store.drop_unused_parts("clinics")
+    assert rows(store.read_table("clinics")) == sorted(want.items(), key=repr)
+    compacted = store.compact("clinics")
     assert compacted["without"] == {} and len(compacted["parts"]) == 1
-    assert rows(store.read_table("table1")) == sorted(want.items(), key=repr)
+    assert rows(store.read_table("clinics")) == sorted(want.items(), key=repr)
 
 
 def test_typed_storage(make, spark):
@@ -276,39 +276,39 @@ def test_typed_storage(make, spark):
         [("1", "2024-01-02", "2024-01-02 03:04:05", "[x, 'y']"), ("2", None, None, None)],
         "k string, d string, t string, a string",
     )
-    store.commit_table("table1", batch)
-    out = store.read_table("table1")
+    store.commit_table("clinics", batch)
+    out = store.read_table("clinics")
     assert [t for _, t in out.dtypes] == ["bigint", "date", "timestamp_ntz", "array<string>"]
     first = out.filter("k = 1").first()
     assert (str(first.d), str(first.t), first.a) == ("2024-01-02", "2024-01-02 03:04:05", ["x", "y"])
     with pytest.raises(Exception, match="column 'a'"):
-        store.commit_table("table1", batch.withColumn("a", batch.k))
+        store.commit_table("clinics", batch.withColumn("a", batch.k))
 
 
 def test_keyless_tables_have_no_version_history(make, spark):
     store = make(Backend.PARQUET_VERSIONED, NO_KEY)
-    store.commit_table("table1", frame(spark, BASE))
+    store.commit_table("clinics", frame(spark, BASE))
     with pytest.raises(ValueError, match="key"):
-        store.version_history("table1")
+        store.version_history("clinics")
     with pytest.raises(ValueError, match="key"):
-        store.delete_keys("table1", frame(spark, BASE))
+        store.delete_keys("clinics", frame(spark, BASE))
 
 
 @pytest.mark.parametrize("when", ["before", "after"])
 def test_backups(make, spark, when):
     store = make(backup_policy=BackupPolicy.TIMESTAMPED_COPIES)
-    store.commit_table("table1", frame(spark, BASE), backup_when=when, commit_time=T1)
-    store.commit_table("table1", frame(spark, [(1, 9)]), backup_when=when, commit_time=T2)
-    copies = [rows(spark.read.parquet(p)) for p in store.backups("table1")]
-    after = [(1, 9), (2, 5), (3, 6)]
+    store.commit_table("clinics", frame(spark, BASE), backup_when=when, commit_time=T1)
+    store.commit_table("clinics", frame(spark, [(1, 90)]), backup_when=when, commit_time=T2)
+    copies = [rows(spark.read.parquet(p)) for p in store.backups("clinics")]
+    after = [(1, 90), (2, 55), (3, 62)]
     assert copies == ([BASE] if when == "before" else [BASE, after])
 
 
 def test_log(make, spark):
     store = make()
-    store.commit_table("table1", frame(spark, BASE), commit_time=T1)
-    store.commit_table("table1", frame(spark, BATCH), WritePolicy.APPEND, commit_time=T2)
-    assert rows(store.commit_log("table1"), "version", "last_updated", "policy", "rows") == [
+    store.commit_table("clinics", frame(spark, BASE), commit_time=T1)
+    store.commit_table("clinics", frame(spark, BATCH), WritePolicy.APPEND, commit_time=T2)
+    assert rows(store.commit_log("clinics"), "version", "last_updated", "policy", "rows") == [
         (1, T1, "upsert", 3),
         (2, T2, "append", 2),
     ]
@@ -316,8 +316,8 @@ def test_log(make, spark):
 
 def test_racing_writers(make, spark):
     store = make()
-    store.commit_table("table1", frame(spark, BASE))
-    entry = f"{store.root}/data/table1/_log/{2:012d}.json"
+    store.commit_table("clinics", frame(spark, BASE))
+    entry = f"{store.root}/data/clinics/_log/{2:012d}.json"
     original = store._merge
 
     def slow(*args):
@@ -327,115 +327,115 @@ def test_racing_writers(make, spark):
 
     store._merge = slow
     with pytest.raises(CommitConflict):
-        store.commit_table("table1", frame(spark, BATCH))
-    assert rows(store.read_table("table1")) == BASE
+        store.commit_table("clinics", frame(spark, BATCH))
+    assert rows(store.read_table("clinics")) == BASE
 
 
 def test_versioned_upsert(make, spark):
     store = make(Backend.PARQUET_VERSIONED)
-    store.commit_table("table1", frame(spark, BASE), commit_time=T1)
-    batch = frame(spark, [(1, 4), (3, 8), (4, 9), (5, 10)])
-    entry = store.commit_table("table1", batch, commit_time=T2)
+    store.commit_table("clinics", frame(spark, BASE), commit_time=T1)
+    batch = frame(spark, [(1, 40), (3, 18), (4, 90), (5, 33)])
+    entry = store.commit_table("clinics", batch, commit_time=T2)
     assert entry["rows"] == 3
     stamp = '{{"timestamp": "{}"}}'.format
-    assert rows(store.history("table1")) == sorted(
+    assert rows(store.history("clinics")) == sorted(
         [
-            (1, 4, 1, False, stamp(T1)),
-            (2, 5, 1, False, stamp(T1)),
-            (3, 6, 1, False, stamp(T1)),
-            (3, 8, 2, False, stamp(T2)),
-            (4, 9, 1, False, stamp(T2)),
-            (5, 10, 1, False, stamp(T2)),
+            (1, 40, 1, False, stamp(T1)),
+            (2, 55, 1, False, stamp(T1)),
+            (3, 62, 1, False, stamp(T1)),
+            (3, 18, 2, False, stamp(T2)),
+            (4, 90, 1, False, stamp(T2)),
+            (5, 33, 1, False, stamp(T2)),
         ]
     )
-    assert rows(store.read_table("table1")) == [(1, 4), (2, 5), (3, 8), (4, 9), (5, 10)]
-    assert rows(store.read_as_of("table1", T1)) == BASE
-    assert store.commit_table("table1", batch, commit_time=T2) is None
+    assert rows(store.read_table("clinics")) == [(1, 40), (2, 55), (3, 18), (4, 90), (5, 33)]
+    assert rows(store.read_as_of("clinics", T1)) == BASE
+    assert store.commit_table("clinics", batch, commit_time=T2) is None
 
 
 def test_versioned_change_detection_goes_by_name(make, spark):
     store = make(Backend.PARQUET_VERSIONED)
-    store.commit_table("table1", frame(spark, BASE))
-    swapped = frame(spark, [(4, 1), (6, None)], "col2 long, col1 long")
-    assert store.commit_table("table1", swapped)["rows"] == 1
+    store.commit_table("clinics", frame(spark, BASE))
+    swapped = frame(spark, [(40, 1), (62, None)], "beds long, site long")
+    assert store.commit_table("clinics", swapped)["rows"] == 1
 
 
 def test_versioned_append_skips_seen_keys(make, spark):
     store = make(Backend.PARQUET_VERSIONED, write_policy=WritePolicy.APPEND)
-    store.commit_table("table1", frame(spark, BASE), commit_time=T1)
-    store.commit_table("table1", frame(spark, BATCH), commit_time=T2)
-    assert rows(store.history("table1"), "col1", "col2", "_version") == [
-        (1, 4, 1),
-        (2, 5, 1),
-        (3, 6, 1),
-        (4, 9, 1),
-        (5, 10, 1),
+    store.commit_table("clinics", frame(spark, BASE), commit_time=T1)
+    store.commit_table("clinics", frame(spark, BATCH), commit_time=T2)
+    assert rows(store.history("clinics"), "site", "beds", "_version") == [
+        (1, 40, 1),
+        (2, 55, 1),
+        (3, 62, 1),
+        (4, 90, 1),
+        (5, 33, 1),
     ]
 
 
 def test_tombstones(make, spark):
     store = make(Backend.PARQUET_VERSIONED)
-    store.commit_table("table1", frame(spark, BASE), commit_time=T1)
-    store.commit_table("table1", frame(spark, [(1, 7)]), commit_time=T1)
-    store.delete_keys("table1", frame(spark, [(1,), (3,), (8,)], "col1 long"), commit_time=T2)
-    assert rows(store.read_table("table1")) == [(2, 5)]
+    store.commit_table("clinics", frame(spark, BASE), commit_time=T1)
+    store.commit_table("clinics", frame(spark, [(1, 71)]), commit_time=T1)
+    store.delete_keys("clinics", frame(spark, [(1,), (3,), (8,)], "site long"), commit_time=T2)
+    assert rows(store.read_table("clinics")) == [(2, 55)]
     store.tombstone = "skip"
-    assert rows(store.read_table("table1")) == [(1, 7), (2, 5), (3, 6)]
+    assert rows(store.read_table("clinics")) == [(1, 71), (2, 55), (3, 62)]
     store.tombstone = "hide"
-    store.commit_table("table1", frame(spark, [(1, 7)]), WritePolicy.APPEND)
-    assert rows(store.read_table("table1")) == [(2, 5)]
-    store.commit_table("table1", frame(spark, [(1, 7)]))
-    assert rows(store.read_table("table1")) == [(1, 7), (2, 5)]
-    assert (1, 7, 4) in rows(store.history("table1"), "col1", "col2", "_version")
+    store.commit_table("clinics", frame(spark, [(1, 71)]), WritePolicy.APPEND)
+    assert rows(store.read_table("clinics")) == [(2, 55)]
+    store.commit_table("clinics", frame(spark, [(1, 71)]))
+    assert rows(store.read_table("clinics")) == [(1, 71), (2, 55)]
+    assert (1, 71, 4) in rows(store.history("clinics"), "site", "beds", "_version")
 
 
 def test_repeats_of_a_key_share_a_version_and_the_last_row_counts(make, spark):
     store = make(Backend.PARQUET_VERSIONED)
-    names = "col1 long, col2 long, ord long"
-    store.commit_table("table1", frame(spark, BASE))
+    names = "site long, beds long, ord long"
+    store.commit_table("clinics", frame(spark, BASE))
     store.commit_table(
-        "table1", frame(spark, [(1, 4, 3), (1, 8, 1), (2, 5, 2)], names), order_by="ord"
+        "clinics", frame(spark, [(1, 40, 3), (1, 18, 1), (2, 55, 2)], names), order_by="ord"
     )
-    assert rows(store.history("table1"), "col1", "col2", "_version") == [
-        (1, 4, 1),
-        (1, 4, 2),
-        (1, 8, 2),
-        (2, 5, 1),
-        (3, 6, 1),
+    assert rows(store.history("clinics"), "site", "beds", "_version") == [
+        (1, 18, 2),
+        (1, 40, 1),
+        (1, 40, 2),
+        (2, 55, 1),
+        (3, 62, 1),
     ]
-    assert rows(store.read_table("table1")) == BASE
+    assert rows(store.read_table("clinics")) == BASE
 
 
 def test_versioned_without_key(make, spark):
     store = make(Backend.PARQUET_VERSIONED, NO_KEY)
-    store.commit_table("table1", frame(spark, [(1, 1), (1, 1)]), commit_time=T1)
-    store.commit_table("table1", frame(spark, [(1, 1)]), commit_time=T2)
-    assert rows(store.read_table("table1")) == [(1, 1), (1, 1)]
+    store.commit_table("clinics", frame(spark, [(1, 1), (1, 1)]), commit_time=T1)
+    store.commit_table("clinics", frame(spark, [(1, 1)]), commit_time=T2)
+    assert rows(store.read_table("clinics")) == [(1, 1), (1, 1)]
 
 
 def test_version_history(make, spark):
     store = make(Backend.PARQUET_VERSIONED)
-    store.commit_table("table1", frame(spark, BASE), commit_time=T1)
-    store.commit_table("table1", frame(spark, [(1, 7)]), commit_time=T2)
-    history = store.version_history("table1")
-    assert rows(history, "col1", "col2", "_version", "committed_at", "prev_col2", "n_versions") == sorted(
+    store.commit_table("clinics", frame(spark, BASE), commit_time=T1)
+    store.commit_table("clinics", frame(spark, [(1, 71)]), commit_time=T2)
+    history = store.version_history("clinics")
+    assert rows(history, "site", "beds", "_version", "committed_at", "prev_beds", "n_versions") == sorted(
         [
-            (1, 4, 1, T1, None, 2),
-            (1, 7, 2, T2, 4, 2),
-            (2, 5, 1, T1, None, 1),
-            (3, 6, 1, T1, None, 1),
+            (1, 40, 1, T1, None, 2),
+            (1, 71, 2, T2, 40, 2),
+            (2, 55, 1, T1, None, 1),
+            (3, 62, 1, T1, None, 1),
         ],
         key=repr,
     )
 
 
 def test_repeated_delivery_is_ignored(any_store, spark):
-    any_store.commit_table("table1", frame(spark, BASE))
-    batch = frame(spark, [(9, 9)])
-    assert any_store.commit_table("table1", batch, source="s", batch_id=0)
-    assert any_store.commit_table("table1", batch, source="s", batch_id=0) is None
-    assert any_store.committed_batch("table1", "s") == 0
-    assert any_store.committed_batch("table1", "other") == -1
+    any_store.commit_table("clinics", frame(spark, BASE))
+    batch = frame(spark, [(9, 90)])
+    assert any_store.commit_table("clinics", batch, source="s", batch_id=0)
+    assert any_store.commit_table("clinics", batch, source="s", batch_id=0) is None
+    assert any_store.committed_batch("clinics", "s") == 0
+    assert any_store.committed_batch("clinics", "other") == -1
 
 
 def test_missing_table(make):
@@ -446,32 +446,61 @@ def test_missing_table(make):
 @pytest.mark.parametrize("backend", [Backend.PARQUET, Backend.PARQUET_VERSIONED])
 def test_compaction_keeps_the_table(make, spark, backend):
     store = make(backend)
-    store.commit_table("table1", frame(spark, BASE))
-    assert store.compact("table1") is None
-    store.commit_table("table1", frame(spark, BATCH))
-    before = rows(store.read_table("table1"))
-    assert len(store.compact("table1")["parts"]) == 1
-    assert rows(store.read_table("table1")) == before
-    store.commit_table("table1", frame(spark, [(9, 9)]))
-    assert rows(store.read_table("table1")) == [*before, (9, 9)]
+    store.commit_table("clinics", frame(spark, BASE))
+    assert store.compact("clinics") is None
+    store.commit_table("clinics", frame(spark, BATCH))
+    before = rows(store.read_table("clinics"))
+    assert len(store.compact("clinics")["parts"]) == 1
+    assert rows(store.read_table("clinics")) == before
+    store.commit_table("clinics", frame(spark, [(9, 90)]))
+    assert rows(store.read_table("clinics")) == [*before, (9, 90)]
 
 
 def test_dominant_key_in_a_batch(make, spark):
     store = make(Backend.PARQUET_VERSIONED)
-    store.commit_table("table1", frame(spark, BASE))
+    store.commit_table("clinics", frame(spark, BASE))
     hot = [(1, i) for i in range(500)] + [(i, i) for i in range(10, 600)]
-    store.commit_table("table1", frame(spark, hot))
-    assert store.history("table1").filter("col1 = 1").count() == 501
-    assert rows(store.read_table("table1").filter("col1 = 1"))[0][1] in range(500)
-    assert store.read_table("table1").count() == 593
+    store.commit_table("clinics", frame(spark, hot))
+    assert store.history("clinics").filter("site = 1").count() == 501
+    assert rows(store.read_table("clinics").filter("site = 1"))[0][1] in range(500)
+    assert store.read_table("clinics").count() == 593
 
 
 def test_text_keys(make, spark):
     schema = {"properties": {"k": {"type": "string", "PrimaryKey": True}, "v": {"type": "integer"}}}
     store = make(schema=schema)
     names = "k string, v long"
-    store.commit_table("table1", frame(spark, [("a", 1), ("", 2), (None, 3)], names))
-    store.commit_table("table1", frame(spark, [("", 5), ("b", 6)], names))
-    assert rows(store.read_table("table1")) == sorted(
+    store.commit_table("clinics", frame(spark, [("a", 1), ("", 2), (None, 3)], names))
+    store.commit_table("clinics", frame(spark, [("", 5), ("b", 6)], names))
+    assert rows(store.read_table("clinics")) == sorted(
         [("a", 1), (None, 3), ("", 5), ("b", 6)], key=repr
     )
+
+
+def test_two_frames_for_one_table(make, spark):
+    store = make()
+    done = store.commit_tables(["clinics", "other", "clinics"], [frame(spark, [(1, 40)]), frame(spark, [(9, 1)]), frame(spark, [(2, 55)])])
+    assert rows(store.read_table("clinics")) == [(1, 40), (2, 55)]
+    assert set(done) == {"clinics", "other"} and done["clinics"]["version"] == 2
+    store.commit_tables([("clinics", frame(spark, [(3, 1)])), ("clinics", frame(spark, [(3, 2)]))])
+    assert rows(store.read_table("clinics")) == [(1, 40), (2, 55), (3, 2)]
+    assert rows(store.catalog(), "table", "version") == [("clinics", 4), ("other", 1)]
+
+
+def test_backups_of_one_table_only(make, spark):
+    store = make(schema=None, backup_policy=BackupPolicy.TIMESTAMPED_COPIES)
+    for name in ("visits", "visits_old"):
+        store.commit_table(name, frame(spark, [(1, 2)]), commit_time=T1)
+    assert len(store.backups("visits")) == len(store.backups("visits_old")) == 1
+
+
+def test_commits_take_the_spellings_of_coercion_only(make, spark):
+    schema = {"properties": {"site": {"type": "integer"}, "open": {"type": "boolean"}, "size": {"type": "number"}}}
+    texts = [(" 7 ", "TRUE", "1.5e3"), ("0x1", "yes", "1e5"), ("1.0", "t", "Infinity"), ("8", "0", "12")]
+    batch = spark.createDataFrame(texts, "site string, open string, size string")
+    store = make(schema=schema)
+    store.commit_table("clinics", batch, on_error="null")
+    wanted = [(7, True, 1500.0), (8, None, 12.0), (None, None, None), (None, None, None)]
+    assert rows(store.read_table("clinics")) == wanted
+    with pytest.raises(Exception, match="column 'open'"):
+        store.commit_table("clinics", batch.filter("size = '12'"))

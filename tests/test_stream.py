@@ -52,12 +52,30 @@ def test_stream_splits_good_and_bad_rows(spark, tmp_path, feed, backend):
 def test_batch_delivered_again_changes_nothing(spark, tmp_path, feed):
     send, stream = feed
     store = TableStore(spark, str(tmp_path / "store"))
-    for table in ("t",):
-        store.put_schema(table, {"properties": {"k": {"type": "string"}, "v": {"type": "string"}}})
+    store.put_schema("t", {"properties": {"k": {"type": "string"}, "v": {"type": "string"}}})
+    checkpoint = tmp_path / "checkpoint"
     send([("1", "5")])
+
+    def run():
+        stream_commit(stream, store, "t", str(checkpoint), "again", WritePolicy.APPEND).awaitTermination()
+
+    run()
+    assert rows(store.read_table("t")) == [("1", "5")]
+    # As after a failure between the commit and Spark's own note of it.
+    for note in (checkpoint / "commits").iterdir():
+        note.unlink()
+    run()
+    assert rows(store.read_table("t")) == [("1", "5")]
+
+
+def test_new_checkpoint_under_an_old_name_is_a_new_stream(spark, tmp_path, feed):
+    send, stream = feed
+    store = TableStore(spark, str(tmp_path / "store"))
+    store.put_schema("t", {"properties": {"k": {"type": "string"}, "v": {"type": "string"}}})
     for attempt in range(2):
-        # A new checkpoint each time: the stream starts over and sends batch 0 again.
+        send([(str(attempt), "5")])
+        part = stream.filter(F.col("k") == str(attempt))
         stream_commit(
-            stream, store, "t", str(tmp_path / f"checkpoint{attempt}"), "again", WritePolicy.APPEND
+            part, store, "t", str(tmp_path / f"checkpoint{attempt}"), "again", WritePolicy.APPEND
         ).awaitTermination()
-    assert rows(store.read_table("t")) == [("1", "5")]
+    assert rows(store.read_table("t")) == [("0", "5"), ("1", "5")]
