@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import contamination, html_text, lines, lm, mixing, near_vectors, simhash, tokens, toxicity
+from millrace.llm import contamination, html_text, lines, lm, mixing, near_vectors, quality, simhash, tokens, toxicity
 from millrace.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,11 @@ def near_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
 
 
+def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score_docs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scored.select("doc_id", "score", "posterior", "keep")
+
+
 def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_report(
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2
@@ -178,6 +183,7 @@ def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_vector_groups": vector_groups,
     "op2_near_texts": near_texts,
+    "op3_quality_scores": quality_scores,
     "op4_token_files": token_files,
     "op5_source_mix": source_mix,
     "op6_shared_lines": shared_lines,
