@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions.names import key_list, named, row_of
+from millrace.session import scratch_dir
 
 
 def asof_join(
@@ -17,31 +18,26 @@ def asof_join(
     key: str | Sequence[str],
     on: str,
     columns: Sequence[str],
-    bucket_seconds: int = 3600,
     how: str = "inner",
 ) -> DataFrame:
     """``left`` plus ``columns`` of the last ``right`` row with the same key
     and ``right.on <= left.on``. Among equal times the largest row counts. A null
     key or time matches nothing, on either side.
 
-    Time is cut into buckets and work is partitioned by (key, bucket), so a
-    key owning a third of all rows spreads over as many tasks as it has
-    buckets. What a bucket needs from earlier ones is a single row, carried
-    forward over the key's few bucket summaries. No pairs are formed.
+    Both sides are range-partitioned together by key and time, and written: load
+    follows the rows, however one key's rows crowd into a short span. What a range
+    needs from earlier ones is a single row per key, carried forward over the
+    key's range summaries (one row per key and range). No pairs are formed.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"unknown how {how!r}")
     keys = key_list(key)
     k = [f"__k{i}" for i in range(len(keys))]
 
-    def bucket(time: Column) -> Column:
-        return F.floor(F.unix_micros(time.cast("timestamp")) / (bucket_seconds * 1_000_000))
-
     def tagged(df: DataFrame, side: int, payload: Column, match: Column) -> DataFrame:
         return df.select(
             *[named(c).alias(a) for c, a in zip(keys, k, strict=True)],
             named(on).alias("__t"),
-            bucket(named(on)).alias("__b"),
             F.lit(side).alias("__side"),
             payload.alias("__left"),
             match.alias("__match"),
@@ -55,10 +51,17 @@ def asof_join(
     left = left.filter(known)
     left_type = left.select(row_of(left.columns).alias("x")).schema["x"].dataType
     match_type = right.select(row_of(columns).alias("x")).schema["x"].dataType
-    rights = tagged(right, 0, F.lit(None).cast(left_type), row_of(columns))
-    lefts = tagged(left, 1, row_of(left.columns), F.lit(None).cast(match_type))
+    both = tagged(right, 0, F.lit(None).cast(left_type), row_of(columns)).unionByName(
+        tagged(left, 1, row_of(left.columns), F.lit(None).cast(match_type))
+    )
+    # Equal keys and times stay in one range, and ranges are numbered in order.
+    ranged = both.repartitionByRange(*k, "__t").withColumn("__b", F.spark_partition_id())
+    path = scratch_dir(left.sparkSession, "asof")
+    ranged.write.parquet(path)
+    both = left.sparkSession.read.schema(ranged.schema).parquet(path)
+    rights, lefts = both.filter("__side = 0"), both.filter("__side = 1")
 
-    # The last right row of each bucket, then the last one before each bucket.
+    # The last right row of each range, then the last one before each range.
     closing = rights.groupBy(*k, "__b").agg(
         F.max_by("__match", F.struct("__t", "__match")).alias("__close")
     )
@@ -74,7 +77,7 @@ def asof_join(
             F.lit(None).cast(match_type).alias("__close"),
         )
     )
-    # A bucket's opening mark sorts before its own closing row.
+    # A range's opening mark sorts before its own closing row.
     carried = (
         marks.withColumn("__carry", F.last("__close", ignorenulls=True).over(by_key))
         .filter(F.col("__is_left") == 0)
@@ -88,13 +91,12 @@ def asof_join(
             F.col("__carry").alias("__match"),
         )
     )
-    # Inside a bucket: the carried row first (null time), then by time.
+    # Inside a range: the carried row first (null time), then by time.
     inside = W.partitionBy(*k, "__b").orderBy(
         F.col("__t").asc_nulls_first(), "__side", "__match"
     )
     joined = (
-        rights.unionByName(lefts)
-        .unionByName(carried)
+        both.unionByName(carried.select(*both.columns))
         .withColumn("__found", F.last("__match", ignorenulls=True).over(inside))
         .filter(F.col("__side") == 1)
     )

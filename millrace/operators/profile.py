@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from millrace.functions.cells import INTEGER, NUMBER, trimmed
 from millrace.functions.names import named
+from millrace.session import scratch_dir
 
 # Values of more bytes than this are counted by digest, so that long texts are
 # not shuffled; the few frequent ones are looked up again afterwards. A digest
@@ -54,8 +55,7 @@ def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
 
     One scan and one shuffle, combined on the map side: a value filling a third
     of a column leaves each task as a single row. ``long`` tells digests from
-    plain values; as an aggregate it keeps later filters above the shuffle, so
-    that everything derived from one profile shares it.
+    plain values.
     """
     cells = _melt(df, _fields(df, columns))
     keyed = cells.select("field", _digest().alias("digest"), _is_long().alias("long"))
@@ -64,26 +64,35 @@ def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     )
 
 
+def _written(df: DataFrame) -> DataFrame:
+    path = scratch_dir(df.sparkSession, "profile")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def common_values(
     df: DataFrame,
     columns: Sequence[str] | None = None,
     min_share: float = 0.05,
     k: int | None = None,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Frequent values: (field, val, n), those filling at least ``min_share``
-    of the rows, at most the first ``k`` of a column (ties by value)."""
+    of the rows, at most the first ``k`` of a column (ties by value).
+
+    Values are counted once (``counts`` brings counts that exist already); the
+    frequent ones are written, so that the lookup of long texts reads them and
+    Catalyst knows their size when it picks that join."""
     fields = _fields(df, columns)
     total = df.agg(F.count(F.lit(1)).alias("total")).scalar()
-    frequent = value_counts(df, columns).filter(F.col("n") >= F.lit(min_share) * total)
+    counts = value_counts(df, columns) if counts is None else counts
+    frequent = _written(counts.filter(F.col("n") >= F.lit(min_share) * total))
     out = frequent.filter(~F.col("long")).select("field", F.col("digest").alias("val"), "n")
     wide = [f for f in fields if _is_nested(f) or isinstance(f.dataType, T.StringType)]
     if wide:
         digests = frequent.filter("long").select(
             F.col("field").alias("__field"), F.col("digest").alias("__digest"), "n"
         )
-        if min_share > 0:
-            # At most 1/min_share values per column are left.
-            digests = F.broadcast(digests)
         cells = _melt(df, wide).filter(_is_long())
         texts = (
             cells.join(
@@ -178,10 +187,9 @@ def data_dictionary(
     if min_share <= 0 and k is None:
         raise ValueError("give a min_share above 0 or a k")
     stats = inferred_type(df, columns)
-    distinct = (
-        value_counts(df, columns).groupBy("field").agg(F.count(F.lit(1)).alias("n_distinct"))
-    )
-    common = common_values(df, columns, min_share, k)
+    counts = _written(value_counts(df, columns))  # two uses, one count
+    distinct = counts.groupBy("field").agg(F.count(F.lit(1)).alias("n_distinct"))
+    common = common_values(df, columns, min_share, k, counts)
     # At most 1/min_share values per column are gathered here.
     listed = common.groupBy("field").agg(
         F.transform(

@@ -154,18 +154,26 @@ def cell_diff(
     )
 
 
+def _sortable(kind: T.DataType) -> bool:
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
 def page_slice(df: DataFrame, page: int, size: int, order_by: str = "Row") -> DataFrame:
     """Page ``page`` (from 0) of ``size`` rows.
 
-    On ``Row``, which is contiguous, a range filter that Parquet can skip by;
-    on any other column a bounded top-k.
+    On ``Row``, which is contiguous, a range filter. On any other column, rows with
+    equal values follow each other by the whole row, so pages neither overlap nor
+    skip. A deep page sorts all rows before it: number a large batch once with
+    ``stage(df, order_by=...)`` and page by ``Row`` instead.
     """
     if page < 0 or size < 1:
         raise ValueError("page counts from 0 and size from 1")
     if order_by == "Row":
         row = F.col("Row")
         return df.filter((row > page * size) & (row <= (page + 1) * size))
-    return df.orderBy(named(order_by)).offset(page * size).limit(size)
+    rest = [named(c) for c in df.columns if c != order_by and _sortable(df.schema[c].dataType)]
+    order = [named(order_by), *rest]
+    return df.orderBy(*order).offset(page * size).limit(size)
 
 
 def kept_rows(df: DataFrame, *helpers: str) -> DataFrame:

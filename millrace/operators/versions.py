@@ -4,8 +4,8 @@ A history frame holds the data columns plus ``_version``, ``_deleted``,
 ``_metadata`` and, in the store, ``_seq`` (row order inside a commit, which
 breaks ties between repeats of a key). New versions are only ever added; old
 rows are never rewritten. Everything per key is a grouped aggregate or an
-equi-join on key, so one key owning much of the history is pre-reduced before
-any shuffle.
+equi-join on key. Aggregates of texts sort within tasks, combine there, and sort
+again after the shuffle, which carries one row per key and task.
 """
 
 from __future__ import annotations
@@ -157,14 +157,14 @@ def current_view(history: DataFrame, key, tombstone: str = "hide") -> DataFrame:
         return live.distinct().select(*[named(c) for c in columns])
     if tombstone == "skip":
         history = history.filter(~F.col("_deleted"))
-    rest = [c for c in columns if c not in keys]
-    latest = _latest(history, keys, rest)
-    return latest.filter(~F.col("__last").getField("_deleted")).select(
-        *[
-            named(c) if c in keys else F.col("__last").getField(c).alias(c)
-            for c in columns
-        ]
+    # One aggregate per column: those not asked for later drop out of the plan, so
+    # a read of one column scans the key, that column and the history columns.
+    order = _order(history)
+    latest = history.groupBy(*[named(k) for k in keys]).agg(
+        F.max_by("_deleted", order).alias("__deleted"),
+        *[F.max_by(named(c), order).alias(c) for c in columns if c not in keys],
     )
+    return latest.filter(~F.col("__deleted")).select(*[named(c) for c in columns])
 
 
 def committed_at(metadata: str = "_metadata") -> Column:

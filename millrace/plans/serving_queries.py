@@ -19,15 +19,21 @@ def _dictionary_sql() -> str:
     return " UNION ALL ".join(
         f"SELECT '{c}' AS field, '{kinds.get(c, 'string')}' AS type, count(*) AS n, "
         f"count(*) - count({c}) AS n_null, count(DISTINCT {c}) AS n_distinct, "
-        f"CAST(min({c}) AS VARCHAR) AS lo, CAST(max({c}) AS VARCHAR) AS hi FROM documents"
+        f"CAST(min({c}) AS VARCHAR) AS lo, CAST(max({c}) AS VARCHAR) AS hi, "
+        f"CASE WHEN '{c}' = 'lang' THEN 'language' END AS description, "
+        f"coalesce((SELECT string_agg(val, ',' ORDER BY n DESC, val) FROM (SELECT CAST({c} AS VARCHAR) AS val, "
+        f"count(*) AS n FROM documents WHERE {c} IS NOT NULL GROUP BY {c} "
+        f"HAVING count(*) >= 0.05 * (SELECT count(*) FROM documents))), '') AS common_values FROM documents"
         for c in DOC_COLUMNS
     )
 
 
 @query("data_dictionary", _dictionary_sql())
 def data_dictionary_query(spark, sf):
-    profile = data_dictionary(table(spark, sf, "documents"))
-    return profile.select("field", "type", "n", "n_null", "n_distinct", "lo", "hi")
+    profile = data_dictionary(table(spark, sf, "documents"), descriptions={"lang": "language"})
+    # texts are long and nearly unique: no common ones
+    listed = F.array_join("common_values", ",").alias("common_values")
+    return profile.select("field", "description", "type", "n", "n_null", "n_distinct", "lo", "hi", listed)
 
 
 @query(

@@ -94,6 +94,39 @@ def current_view(spark, sf):
     return made.store.read_table("customer").select("c_custkey", "c_acctbal")
 
 
+LATEST = (
+    "(SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY _version DESC) rn FROM hist WHERE NOT _deleted)"
+)
+
+
+@query("ver_column_scan", f"SELECT c_mktsegment FROM {LATEST} WHERE rn = 1", COMMIT_SQL)
+def ver_column_scan(spark, sf):
+    """One column of a versioned table."""
+    return with_history(spark, sf, "vercolumn").store.read_table_column("customer", "c_mktsegment")
+
+
+@query("ver_primary_keys", f"SELECT c_custkey FROM {LATEST} WHERE rn = 1", COMMIT_SQL)
+def ver_primary_keys(spark, sf):
+    return with_history(spark, sf, "verkeys").store.primary_keys("customer")
+
+
+@query(
+    "sql_versioned",
+    f"SELECT c_mktsegment, count(*) AS n FROM {LATEST} WHERE rn = 1 GROUP BY c_mktsegment",
+    COMMIT_SQL,
+)
+def sql_versioned(spark, sf):
+    """SQL over a versioned table reads its current rows."""
+    made = with_history(spark, sf, "versql")
+    return made.sql("SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment")
+
+
+@query("table_catalog", "SELECT 'customer' AS \"table\", CAST(2 AS BIGINT) AS version FROM (SELECT count(*) FROM customer)")
+def table_catalog(spark, sf):
+    """All tables with their version, as one frame."""
+    return with_history(spark, sf, "catalog").store.catalog().select("table", "version")
+
+
 @query("primary_keys", "SELECT c_custkey FROM customer")
 def primary_keys(spark, sf):
     return with_customers(spark, sf, "keys").store.primary_keys("customer")

@@ -329,13 +329,28 @@ class TableStore:
         source: str | None = None,
         batch_id: int | None = None,
         backup_when: str = "after",
+        retries: int = 2,
     ) -> dict | None:
         """Merge a batch into a table; returns the log entry, None for a no-op.
 
         ``order_by`` names a column giving row order inside the batch (it is
         not stored); repeats of a key are settled by it. ``source`` and
-        ``batch_id`` make a repeated delivery a no-op.
+        ``batch_id`` make a repeated delivery a no-op. When another writer
+        commits first, the batch is merged again, into what is there now, up to
+        ``retries`` times.
         """
+        for attempt in range(retries + 1):
+            try:
+                return self._commit(
+                    table, batch, policy, backup, commit_time, order_by, on_error, source, batch_id, backup_when
+                )
+            except CommitConflict:
+                if attempt == retries:
+                    raise
+
+    def _commit(
+        self, table, batch, policy, backup, commit_time, order_by, on_error, source, batch_id, backup_when
+    ) -> dict | None:
         policy = self.write_policy if policy is None else policy
         backup = self.backup_policy if backup is None else backup
         if not isinstance(policy, WritePolicy):
@@ -383,6 +398,9 @@ class TableStore:
             "without": without[0] if without else (entry or {}).get("without", {}),
         }
         self._publish(table, new_entry, tag)
+        staged = f"part-{number:012d}-batch-{tag}"
+        if staged not in parts:  # its rows went into other parts
+            files.delete(self.spark, f"{self._folder(table)}/{staged}")
         if backup is BackupPolicy.TIMESTAMPED_COPIES and backup_when == "after":
             self._copy(table, new_entry, commit_time)
         return new_entry

@@ -12,6 +12,7 @@ from millrace.operators.asof import asof_join
 from millrace.operators.profile import common_values, data_dictionary
 from millrace.operators.reports import MissingDataset, ReportRegistry
 from millrace.operators.shape import cast_to, conform, pad_missing, schema_order
+from millrace.operators.review import page_slice
 from millrace.operators.sql import QueryRefused, sql_query
 from millrace.operators.staging import stage
 
@@ -341,7 +342,7 @@ def test_asof_join_against_brute_force(spark, how):
         return df.withColumn("t", F.timestamp_seconds(F.col("s") * 50)).drop("s")
 
     left, right = events(200), events(60)
-    out = asof_join(frame(left, "a"), frame(right, "b"), "k", "t", ["b"], 100, how)
+    out = asof_join(frame(left, "a"), frame(right, "b"), "k", "t", ["b"], how)
     want = []
     for k, s, a in left:
         earlier = [(s2, b) for k2, s2, b in right if k2 == k and s2 <= s]
@@ -360,3 +361,10 @@ def test_asof_join_with_nulls(spark):
     assert rows(found) == [("a", "r")]
     everyone = asof_join(left, right, "k", "t", ["v"], how="left").select("l", "right_v")
     assert rows(everyone) == [("a", "r"), ("b", None), ("c", None), ("d", None)]
+
+
+def test_pages_of_equal_values_neither_overlap_nor_skip(spark):
+    df = spark.range(50).select((F.col("id") % 2).alias("v"), F.col("id").alias("x")).repartition(7)
+    pages = [[r.x for r in page_slice(df, k, 7, "v").collect()] for k in range(8)]
+    assert sorted(x for p in pages for x in p) == list(range(50))
+    assert [len(p) for p in pages] == [7] * 7 + [1]
