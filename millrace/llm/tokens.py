@@ -20,7 +20,9 @@ from millrace.llm.frames import column, saved
 from millrace.session import scratch_dir
 
 #: Chunks a worker remembers (two generations of this many), sequences of a batch.
-MEMO, BATCH_SEQUENCES = 100_000, 256
+MEMO, BATCH_SEQUENCES = 200_000, 256
+#: Characters of the texts that are encoded together.
+TOGETHER = 1 << 20
 SHARDS = "shard string, part int, seq int, n_docs long, n_tokens long, n_sequences long"
 
 # White space where cutting before a space or around a line break could differ
@@ -60,17 +62,22 @@ class Encoder:
     def _learn(self, chunks: list[str]) -> None:
         if len(self.young) + len(chunks) > MEMO:
             self.old, self.young = self.young, {"": b""}
-        plain = [c for c in chunks if c[0] == " " and c != " "]
+        mark, width = np.frombuffer(self.mark, self.dtype)[0], self.dtype.itemsize
+        plain = []
         for c in chunks:
-            if c[0] != " " or c == " ":
+            if c[0] == " " and c != " ":
+                plain.append(c)
+            else:
                 self.young[c] = self.whole(c)
-        for at in range(0, len(plain), 1000):
-            part = plain[at : at + 1000]
+        for at in range(0, len(plain), 4000):
+            part = plain[at : at + 4000]
             ids = self.tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids
             ids = np.array(ids, self.dtype)
-            ends = np.flatnonzero(ids == np.frombuffer(self.mark, self.dtype)[0])
-            for c, x in zip(part, np.split(ids, ends), strict=True):
-                self.young[c] = x.tobytes() if c is part[0] else x[1:].tobytes()
+            raw, begin = ids.tobytes(), 0
+            cuts = (np.flatnonzero(ids == mark) * width).tolist()
+            for c, end in zip(part, [*cuts, len(raw)], strict=True):
+                self.young[c] = raw[begin:end]
+                begin = end + width
 
     def chunks(self, chunks: list[str]) -> list[bytes]:
         """Ids of chunks, each a word with or without its leading space."""
@@ -82,13 +89,31 @@ class Encoder:
                 self._learn(list(fresh))
             self.young.update(found)
             young, old = self.young, self.old
-            out = [young[c] if c in young else old[c] for c in chunks]
+            out = [
+                x if x is not None else young[c] if c in young else old[c]
+                for c, x in zip(chunks, out, strict=True)
+            ]
+        return out
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of several texts; what the worker does not know is encoded together."""
+        out: list[bytes] = [b""] * len(texts)
+        flat: list[str] = []
+        places = []
+        for i, text in enumerate(texts):
+            if not self.joins or _CAREFUL.search(text):
+                out[i] = self.whole(text)
+            else:
+                own = text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+                places.append((i, len(flat), len(flat) + len(own)))
+                flat += own
+        ids = self.chunks(flat)
+        for i, begin, end in places:
+            out[i] = b"".join(ids[begin:end])
         return out
 
     def encode(self, text: str) -> bytes:
-        if not self.joins or _CAREFUL.search(text):
-            return self.whole(text)
-        return b"".join(self.chunks(text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")))
+        return self.encode_all([text])[0]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -177,6 +202,18 @@ class _ShardWriter:
         return self.name, self.n_docs, self.n_tokens, self.n_sequences
 
 
+def _encoded(enc: Encoder, texts: pa.Array) -> Iterator[bytes]:
+    """Ids of a column of texts, a bounded number of characters at a time."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text.as_py())
+        size += len(held[-1])
+        if size >= TOGETHER:
+            yield from enc.encode_all(held)
+            held, size = [], 0
+    yield from enc.encode_all(held)
+
+
 def write_tokens(
     docs: DataFrame,
     folder: str,
@@ -220,11 +257,11 @@ def write_tokens(
         part, shard, done = TaskContext.get().partitionId(), None, []
         for batch in batches:
             ids = batch.column(0)
-            for doc_id, text in zip(ids.to_pylist(), batch.column(1), strict=True):
+            for doc_id, encoded in zip(ids.to_pylist(), _encoded(enc, batch.column(1)), strict=True):
                 if shard is None:
                     fs.create_dir(path, recursive=True)
                     shard = _ShardWriter(fs, path, schema, enc.dtype, sequence_length, ids.type)
-                shard.add(doc_id, enc.encode(text.as_py()) + end)
+                shard.add(doc_id, encoded + end)
                 if shard.n_tokens >= shard_tokens:
                     done.append(shard.close())
                     shard = None
