@@ -18,10 +18,12 @@ from millrace.llm.tokens import encoder
 
 #: A window holds KEYS positions and scores the last STEP of them, so windows
 #: overlap by half and every position is scored once.
-STEP, KEYS = 16, 32
-WIDTH, INNER = 16, 48
+STEP, KEYS = 12, 24
+WIDTH, INNER = 16, 32
 #: Windows handled together, words that a task counts before it hands them on.
-BATCH_WINDOWS, COUNT_WORDS = 2048, 200_000
+BATCH_WINDOWS, COUNT_WORDS = 512, 200_000
+#: Positions whose next codes are looked at together.
+CODE_POSITIONS, SHARED_POSITIONS = 1 << 18, 48
 LOG10 = math.log(10.0)
 
 
@@ -68,6 +70,11 @@ class SubwordTree:
         self.size = np.array(sizes, np.int64)
         self.start = np.concatenate(([0], np.cumsum(self.size)[:-1]))
         self.n_codes = n
+        self.code_type = np.uint16 if n < 1 << 16 else np.int64  # short keys sort fast
+
+    def path(self, code: int) -> slice:
+        """Where the branches of one code lie."""
+        return slice(self.start[code], self.start[code] + self.size[code])
 
     def paths(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows, nodes and signs of the branches of all codes, one after another."""
@@ -99,6 +106,11 @@ _CAUSAL = (_DISTANCE >= 0).astype(np.float32)
 _NEAR = np.clip(KEYS - 1 - _DISTANCE, 0, KEYS - 1)
 
 
+def _bounded(rows: np.ndarray, most: float = 5.4) -> np.ndarray:
+    norm = np.linalg.norm(rows, axis=1, keepdims=True)
+    return np.ascontiguousarray(rows * np.minimum(1, most / np.maximum(norm, 1e-9)), np.float32)
+
+
 class Model:
     """The trained model in the form that scoring uses: projections of every
     embedding are tables, so attention needs no product per token for them."""
@@ -109,12 +121,16 @@ class Model:
         self.start, self.pad = tree.n_codes, tree.n_codes + 1
         one = np.ones((len(emb), 1), np.float32)
         one[self.pad] = 0
-        self.query = (emb @ p["q"] / math.sqrt(WIDTH)).astype(np.float32)
-        self.key = np.ascontiguousarray(emb @ p["k"])
+        # norms are bounded, so that no exponential of a product overflows
+        self.query = _bounded(emb @ p["q"] / math.sqrt(WIDTH))
+        self.key = _bounded(emb @ p["k"])
         self.value = np.concatenate((emb @ p["v"], one), 1)  # the last column adds up weights
         self.emb = emb
         self.near = (np.exp(p["near"][_NEAR]) * _CAUSAL).astype(np.float32)
         self.rare = math.log(tree.unseen)
+        # every branch of every path, turned towards its code
+        self.signed = p["node"].take(tree.nodes, 0) * -tree.signs[:, None]
+        self.signed_bias = p["bias"].take(tree.nodes) * -tree.signs
 
     def hidden(self, stream: np.ndarray, first: int, last: int) -> np.ndarray:
         """States of the windows first to last of a padded stream, by batched
@@ -127,7 +143,6 @@ class Model:
         )
         q = self.query.take(codes[STEP:], 0).reshape(n, STEP, d)
         a = q @ windows(k).transpose(0, 2, 1)
-        np.minimum(a, 30, out=a)
         np.exp(a, out=a)
         a *= self.near
         o = (a @ windows(v)).reshape(n * STEP, d + 1)
@@ -142,13 +157,31 @@ class Model:
 
     def log_probabilities(self, states: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Natural log probability of each next code after its state."""
-        rows, nodes, signs = self.tree.paths(codes)
-        z = np.einsum("pd,pd->p", self.p["node"].take(nodes, 0), states.take(rows, 0))
-        z += self.p["bias"].take(nodes)
-        z *= -signs
-        loss = np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z)))
-        out = -np.bincount(rows, loss, len(codes)).astype(float)
-        out[codes == self.tree.n_codes - 1] -= self.rare
+        # positions with one frequent code share a path: one product for each such
+        # code; branches of the others are looked up one by one
+        out = np.zeros(len(codes))
+        order = np.argsort(codes.astype(self.tree.code_type), kind="stable")
+        codes, states = codes.take(order), states.take(order, 0)
+        cuts = np.flatnonzero(np.diff(codes, prepend=-1))
+        sizes = np.diff(cuts, append=len(codes))
+        often = sizes >= SHARED_POSITIONS
+        for s, n in zip(cuts[often].tolist(), sizes[often].tolist(), strict=True):
+            path = self.tree.path(codes[s])
+            z = self.signed[path] @ states[s : s + n].T
+            z += self.signed_bias[path][:, None]
+            np.exp(np.clip(z, -17, 17, out=z), out=z)  # bounded, so the product is
+            z += 1
+            out[order[s : s + n]] = -np.log(np.multiply.reduce(z, axis=0, dtype=np.float64))
+        rest = np.flatnonzero(~np.repeat(often, sizes) & (self.tree.size.take(codes) > 0))
+        if len(rest):
+            size = self.tree.size.take(codes[rest])
+            begin = np.cumsum(size) - size
+            at = np.arange(size.sum()) + np.repeat(self.tree.start.take(codes[rest]) - begin, size)
+            z = np.einsum("pd,pd->p", self.signed.take(at, 0), states.take(np.repeat(rest, size), 0))
+            z += self.signed_bias.take(at)
+            factors = 1 + np.exp(np.clip(z, -17, 17), dtype=np.float64)
+            out[order[rest]] = -np.log(np.multiply.reduceat(factors, begin))
+        out[order[codes == self.tree.n_codes - 1]] -= self.rare
         return out
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -167,15 +200,16 @@ class Model:
         doc = np.repeat(np.arange(len(texts)), owner)
         total, done = np.zeros(len(texts)), 0
         n_windows = len(stream) // STEP - 1
+        states: list[np.ndarray] = []
+        held = 0
         for w in range(0, n_windows, BATCH_WINDOWS):
             end = min(n_windows, w + BATCH_WINDOWS)
-            use = valid[(w + 1) * STEP : (end + 1) * STEP]
-            n = int(use.sum())
-            if n:
-                states = self.hidden(stream, w, end)[use]
-                logs = self.log_probabilities(states, target[done : done + n])
-                total += np.bincount(doc[done : done + n], logs, len(texts))
-                done += n
+            states.append(self.hidden(stream, w, end)[valid[(w + 1) * STEP : (end + 1) * STEP]])
+            held += len(states[-1])
+            if held >= CODE_POSITIONS or end == n_windows:
+                logs = self.log_probabilities(np.concatenate(states), target[done : done + held])
+                total += np.bincount(doc[done : done + held], logs, len(texts))
+                states, done, held = [], done + held, 0
         return total / LOG10
 
 
@@ -439,7 +473,7 @@ def fit(
     vocabulary: str,
     text_col: str = "text",
     end_id: int = 50256,
-    one_in: int = 24,
+    one_in: int = 32,
     block_words: int = 96,
     rounds: int = 4,
     shards: int = 8,
@@ -469,13 +503,6 @@ def fit(
 
 
 def _scored(model: Broadcast, hot: Broadcast, vocabulary: str, end_id: int):
-    kind = pa.struct(
-        [
-            ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()),
-            ("rare", pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))),
-        ]
-    )
-
     @F.arrow_udf(
         "struct<n_tokens: bigint, known: bigint, base: double, score: double, "
         "rare: array<struct<word: binary, n: bigint>>>"
@@ -483,34 +510,35 @@ def _scored(model: Broadcast, hot: Broadcast, vocabulary: str, end_id: int):
     def run(texts: pa.Array) -> pa.Array:
         enc, table = encoder(vocabulary), hot.value
         tree = model.value.tree
-        out, held, size = [], [], 0
-
-        def flush() -> None:
-            nonlocal held, size
-            scores = model.value.score(held)
-            for row, s in zip(out[len(out) - len(held) :], scores.tolist(), strict=True):
-                row["score"] = s
-            held, size = [], 0
-
+        n_tokens, known, base, scores, held, size = [], [], [], [], [], 0
+        rare_words, rare_counts, ends = [], [], [0]
         for text in texts.cast(pa.binary()).to_pylist():
             words = lower_words(text)
             logs = list(map(table.get, words))
             rare = Counter(w for w, x in zip(words, logs, strict=True) if x is None) if None in logs else {}
-            known = len(words) - sum(rare.values())
-            out.append(
-                {
-                    "n_tokens": len(words) + 1,
-                    "known": known,
-                    "base": math.fsum(x for x in logs if x is not None),
-                    "rare": [{"word": w, "n": n} for w, n in rare.items()],
-                }
-            )
+            rare_words += rare
+            rare_counts += rare.values()
+            ends.append(len(rare_words))
+            n_tokens.append(len(words) + 1)
+            known.append(len(words) - sum(rare.values()))
+            base.append(math.fsum(x for x in logs if x is not None))
             held.append(_codes(enc, tree, words, end_id))
             size += len(held[-1])
-            if size > 1 << 17:
-                flush()
-        flush()
-        return pa.array(out, kind)
+            if size > CODE_POSITIONS:
+                scores.append(model.value.score(held))
+                held, size = [], 0
+        scores.append(model.value.score(held))
+        pairs = pa.StructArray.from_arrays(
+            [pa.array(rare_words, pa.binary()), pa.array(rare_counts, pa.int64())], ["word", "n"]
+        )
+        columns = {
+            "n_tokens": pa.array(n_tokens, pa.int64()),
+            "known": pa.array(known, pa.int64()),
+            "base": pa.array(base, pa.float64()),
+            "score": pa.array(np.concatenate(scores)),
+            "rare": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs),
+        }
+        return pa.StructArray.from_arrays(list(columns.values()), list(columns))
 
     return run
 

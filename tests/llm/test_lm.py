@@ -38,8 +38,8 @@ def reference(model, codes):
     for i, code in enumerate(codes.tolist()):
         first = max(0, i // lm.STEP * lm.STEP - lm.STEP)
         seen = before[first : i + 1]
-        q = model.emb[before[i]] @ p["q"] / math.sqrt(lm.WIDTH)
-        weight = np.array([math.exp(q @ (model.emb[c] @ p["k"]) + p["near"][lm.KEYS - 1 - (i - first - j)]) for j, c in enumerate(seen)])
+        q = model.query[before[i]]
+        weight = np.array([math.exp(q @ model.key[c] + p["near"][lm.KEYS - 1 - (i - first - j)]) for j, c in enumerate(seen)])
         o = sum(w * (model.emb[c] @ p["v"]) for w, c in zip(weight, seen)) / weight.sum()
         h = model.emb[before[i]] + o @ p["o"]
         g = h + np.maximum(h @ p["w1"] + p["b1"], 0) @ p["w2"]
