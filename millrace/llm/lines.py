@@ -68,11 +68,13 @@ def drop_shared_lines(
     held = saved(
         lines.mapInArrow(digests, f"doc {id_type}, line binary").distinct(), "lines"
     )
-    shared = (
+    # written, so that its join with a line held everywhere can be split
+    shared = saved(
         held.groupBy("line")
         .agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("keeper"))
         .filter(F.col("n") >= min_docs)
-        .select("line", "keeper")
+        .select("line", "keeper"),
+        "shared-lines",
     )
     lost = (
         held.join(shared, "line")
