@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -178,19 +179,26 @@ class Voter:
         return min(1.0, max(0.0, score)), evidence, names
 
 
-def _term_sets(text: F.Column) -> F.Column:
-    kind = pa.list_(pa.struct([("term", pa.binary()), ("context", pa.int64())]))
+def _term_rows(examples: DataFrame) -> DataFrame:
+    """(toxic, term, context) of the examples, a few hundred texts at a time."""
 
-    @F.arrow_udf("array<struct<term: binary, context: bigint>>")
-    def terms(texts: pa.Array) -> pa.Array:
-        short = lambda w: xxhash.xxh64_intdigest(w) >> 1
-        out = [
-            [{"term": t, "context": short(before)} for t, before in _terms(text).items()]
-            for text in texts.cast(pa.binary()).to_pylist()
-        ]
-        return pa.array(out, kind)
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                toxic, terms, contexts = [], [], []
+                texts = part.column(1).cast(pa.binary()).to_pylist()
+                for y, text in zip(part.column(0).to_pylist(), texts, strict=True):
+                    found = _terms(text)
+                    toxic += [y] * len(found)
+                    terms += found
+                    contexts += [xxhash.xxh64_intdigest(before) >> 1 for before in found.values()]
+                yield pa.record_batch(
+                    [pa.array(toxic, pa.int32()), pa.array(terms, pa.binary()), pa.array(contexts, pa.int64())],
+                    ["toxic", "term", "context"],
+                )
 
-    return terms(text)
+    return examples.select("toxic", "text").mapInArrow(rows, "toxic int, term binary, context long")
 
 
 def _signatures(text: F.Column) -> F.Column:
@@ -261,8 +269,8 @@ def fit(
         return Voter([], [], [], neighbours, {})
     n1, n0 = drawn.get(1, 0), drawn.get(0, 0)
     seen = (
-        examples.select("toxic", F.explode(_term_sets(F.col("text"))).alias("t"))
-        .groupBy("t.term", "t.context")
+        _term_rows(examples)
+        .groupBy("term", "context")
         .agg(F.max("toxic").alias("one"), F.max(1 - F.col("toxic")).alias("nil"))
         .groupBy("term")
         .agg(F.sum("one").alias("d1"), F.sum("nil").alias("d0"))
