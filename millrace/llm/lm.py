@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,10 +18,12 @@ from millrace.llm.tokens import encoder
 
 #: A window holds KEYS positions and scores the last STEP of them, so windows
 #: overlap by half and every position is scored once.
-STEP, KEYS = 12, 24
-WIDTH, INNER = 16, 32
+STEP, KEYS = 16, 32
+WIDTH, INNER = 16, 48
 #: Windows handled together, words that a task counts before it hands them on.
 BATCH_WINDOWS, COUNT_WORDS = 512, 200_000
+#: Blocks that one shard trains on in a round, sums of shards that reach the driver.
+SHARD_BLOCKS, SUMS = 25_000, 8
 #: Positions whose next codes are looked at together.
 CODE_POSITIONS, SHARED_POSITIONS = 1 << 18, 48
 LOG10 = math.log(10.0)
@@ -71,6 +73,7 @@ class SubwordTree:
         self.start = np.concatenate(([0], np.cumsum(self.size)[:-1]))
         self.n_codes = n
         self.code_type = np.uint16 if n < 1 << 16 else np.int64  # short keys sort fast
+        self.stored = "<u2" if n < 1 << 16 else "<i4"
 
     def path(self, code: int) -> slice:
         """Where the branches of one code lie."""
@@ -228,7 +231,7 @@ class Trainer:
             self.g2[name] += grad**2
             self.p[name] -= rate * grad / np.sqrt(self.g2[name])
             return
-        order = np.argsort(rows, kind="stable")
+        order = np.argsort(rows.astype(self.tree.code_type), kind="stable")
         own, first = np.unique(rows[order], return_index=True)
         total = np.add.reduceat(grad[order], first, axis=0)
         self.g2[name][own] += total**2
@@ -319,20 +322,26 @@ def _unpack(blob: bytes, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return out
 
 
-def _averaged(parts: list[tuple[dict, np.ndarray, np.ndarray]], old: dict) -> dict[str, np.ndarray]:
-    """Mean of the shards' parameters; rows of tables weigh by how often a shard
-    has met them, and rows nobody met stay."""
-    out = {}
-    for name in old:
+def _weighted(p: dict[str, np.ndarray], seen: np.ndarray, used: np.ndarray) -> dict[str, np.ndarray]:
+    """A shard's parameters times their weights: rows of tables weigh by how often
+    the shard has met them."""
+    weight = {"emb": seen[:, None], "node": used[:, None], "bias": used}
+    return {k: v * weight.get(k, np.float32(1)) for k, v in p.items()}
+
+
+def _averaged(parts: list[tuple[dict, np.ndarray, np.ndarray, int]], old: dict) -> dict[str, np.ndarray]:
+    """Mean of the shards' parameters from sums of weighted parameters, of weights
+    and of shards; rows nobody met stay."""
+    seen, used = sum(s for _, s, _, _ in parts), sum(u for _, _, u, _ in parts)
+    shards, out = sum(n for *_, n in parts), {}
+    for name, before in old.items():
+        total = sum(p[name].astype(np.float64) for p, *_ in parts)
         if name in ("emb", "node", "bias"):
-            w = np.stack([s if name == "emb" else u for _, s, u in parts])
-            total = w.sum(0)
-            w = w / np.maximum(total, 1e-9)
-            new = sum(p[name] * (x if p[name].ndim == 1 else x[:, None]) for (p, _, _), x in zip(parts, w, strict=True))
-            met = total > 0
-            out[name] = np.where(met if new.ndim == 1 else met[:, None], new, old[name]).astype(np.float32)
+            w = seen if name == "emb" else used
+            w = w if total.ndim == 1 else w[:, None]
+            out[name] = np.where(w > 0, total / np.maximum(w, 1e-9), before).astype(np.float32)
         else:
-            out[name] = np.mean([p[name] for p, _, _ in parts], axis=0).astype(np.float32)
+            out[name] = (total / shards).astype(np.float32)
     return out
 
 
@@ -388,14 +397,22 @@ def _codes(enc, tree: SubwordTree, words: list[bytes], end_id: int | None) -> np
 
 
 def _sample(docs: DataFrame, text_col: str, vocabulary: str, tree: Broadcast, end_id: int, block: int, one_in: int):
-    """Blocks of ``block`` words that the model trains on: one in ``one_in`` of all
-    blocks of all texts, picked by the hash of their words, as codes."""
+    """Blocks of ``block`` words that the model trains on, as codes: all blocks of
+    all texts, or one in ``one_in``, picked by the hash of their words. Copies of a
+    block get keys of their own, so that they are dealt to all shards."""
     import xxhash
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
+        enc, kind, copies = encoder(vocabulary), tree.value.stored, Counter()
         for batch in batches:
-            keys, starts, out = [], [], []
+            keys, starts, out, size = [], [], [], 0
+
+            def blocks() -> pa.RecordBatch:
+                return pa.record_batch(
+                    [pa.array(keys, pa.int64()), pa.array(starts, pa.bool_()), pa.array(out, pa.binary())],
+                    ["key", "start", "codes"],
+                )
+
             for text in batch.column(0).cast(pa.binary()).to_pylist():
                 words = lower_words(text)
                 for at in range(0, max(1, len(words)), block):
@@ -404,13 +421,20 @@ def _sample(docs: DataFrame, text_col: str, vocabulary: str, tree: Broadcast, en
                     if h % one_in == 0:
                         last = at + block >= len(words)
                         codes = _codes(enc, tree.value, part, end_id if last else None)
-                        keys.append(h // one_in % (1 << 62))
+                        if copies[h]:
+                            keys.append(xxhash.xxh64_intdigest(h.to_bytes(8, "little"), copies[h]) >> 2)
+                        else:
+                            keys.append(h // one_in % (1 << 62))
+                        copies[h] += 1
                         starts.append(at == 0)
-                        out.append(codes.astype("<i4").tobytes())
-            yield pa.record_batch(
-                [pa.array(keys, pa.int64()), pa.array(starts, pa.bool_()), pa.array(out, pa.binary())],
-                ["key", "start", "codes"],
-            )
+                        out.append(codes.astype(kind).tobytes())
+                        size += len(out[-1])
+                if size > 1 << 24:
+                    yield blocks()
+                    keys, starts, out, size = [], [], [], 0
+            yield blocks()
+            if len(copies) > COUNT_WORDS:
+                copies.clear()
 
     return docs.select(column(text_col)).mapInArrow(cut, "key long, start boolean, codes binary")
 
@@ -419,11 +443,15 @@ def _trained(
     blocks: DataFrame, tree: Broadcast, params: dict, shards: int, batch_windows: int, rates: tuple[float, float]
 ) -> dict:
     """One pass: each shard of the blocks trains its own copy of the parameters,
-    with a rate that falls evenly over the pass, and the copies are averaged.
-    ``shards`` copies reach the driver."""
+    with a rate that falls evenly over the pass, and the copies are averaged. There
+    are ``shards`` of them, and more where a shard would get over SHARD_BLOCKS
+    blocks; SUMS sums of copies at most reach the driver."""
     shared = blocks.sparkSession.sparkContext.broadcast(params)
-    n_windows = F.sum(F.ceil(F.octet_length("codes") / (4 * STEP)))
-    planned = max(1.0, (blocks.agg(n_windows.alias("n")).first().n or 0) / shards / batch_windows)
+    width = np.dtype(tree.value.stored).itemsize
+    n_windows = F.sum(F.ceil(F.octet_length("codes") / (width * STEP)))
+    size = blocks.agg(n_windows.alias("n"), F.count(F.lit(1)).alias("blocks")).first()
+    shards = max(shards, -(-size.blocks // SHARD_BLOCKS))
+    planned = max(1.0, (size.n or 0) / shards / batch_windows)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trainer, keys, targets, n = Trainer(tree.value, shared.value), [], [], 0
@@ -440,7 +468,7 @@ def _trained(
 
         for batch in batches:
             for start, codes in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                codes = np.frombuffer(codes, "<i4").astype(np.int64)
+                codes = np.frombuffer(codes, tree.value.stored).astype(np.int64)
                 if len(codes) > 1:
                     k, t = trainer.block(codes, start)
                     keys.append(k)
@@ -451,18 +479,44 @@ def _trained(
         if n:
             step()
         if steps:
-            blobs = [_pack(trainer.p), trainer.seen.astype("<f4").tobytes(), trainer.used.astype("<f4").tobytes()]
-            yield pa.record_batch([pa.array([b], pa.binary()) for b in blobs], ["p", "seen", "used"])
+            weighted = _weighted(trainer.p, trainer.seen, trainer.used)
+            yield rows(weighted, trainer.seen, trainer.used, 1, TaskContext.get().partitionId())
 
-    dealt = blocks.repartition(shards, F.pmod("key", F.lit(shards))).sortWithinPartitions("key", "codes")
-    rows = dealt.mapInArrow(train, "p binary, seen binary, used binary").collect()
-    shared.unpersist()
-    if not rows:
+    def rows(p, seen, used, n, shard) -> pa.RecordBatch:
+        blobs = [_pack(p), seen.astype("<f4").tobytes(), used.astype("<f4").tobytes()]
+        arrays = [pa.array([b], pa.binary()) for b in blobs]
+        return pa.record_batch([*arrays, pa.array([n], pa.int64()), pa.array([shard], pa.int64())], names)
+
+    def parted(row) -> tuple:
+        p, seen, used, n = row
+        return _unpack(p, shared.value), np.frombuffer(seen, "<f4"), np.frombuffer(used, "<f4"), n
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, shard = None, 0
+        for batch in batches:
+            for *row, shard in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                p, seen, used, n = parted(row)
+                if total is None:
+                    total = ({k: v.copy() for k, v in p.items()}, seen.copy(), used.copy(), n)
+                    continue
+                for k, v in p.items():
+                    total[0][k][...] += v
+                total = (total[0], total[1] + seen, total[2] + used, total[3] + n)
+        if total:
+            yield rows(*total, shard)
+
+    names = ["p", "seen", "used", "n", "shard"]
+    schema = "p binary, seen binary, used binary, n long, shard long"
+    dealt = blocks.repartition(shards, "key").sortWithinPartitions("key", "codes")
+    sums = dealt.mapInArrow(train, schema)
+    if shards > SUMS:
+        sums = sums.repartition(SUMS, "shard").sortWithinPartitions("shard").mapInArrow(add, schema)
+    found = sums.collect()
+    if not found:
+        shared.unpersist()
         return params
-    parts = [
-        (_unpack(r.p, params), np.frombuffer(r.seen, "<f4"), np.frombuffer(r.used, "<f4"))
-        for r in sorted(rows, key=lambda r: bytes(r.seen))
-    ]
+    parts = [parted(r[:4]) for r in sorted(found, key=lambda r: r.shard)]
+    shared.unpersist()
     return _averaged(parts, params)
 
 
@@ -473,7 +527,7 @@ def fit(
     vocabulary: str,
     text_col: str = "text",
     end_id: int = 50256,
-    one_in: int = 32,
+    one_in: int = 1,
     block_words: int = 96,
     rounds: int = 4,
     shards: int = 8,
@@ -483,9 +537,9 @@ def fit(
     """Train on ``docs``, whose word counts are given.
 
     Subword counts of the whole corpus make the tree and its first biases. The
-    weights are learnt from one block in ``one_in``, spread over all texts, so
-    what training reads grows with the corpus. Shards train in parallel and are
-    averaged after each of ``rounds`` passes, each over its own part of the
+    weights are learnt from all blocks of all texts (from one in ``one_in``, where
+    asked for), each read once. At least ``shards`` shards train in parallel and
+    are averaged after each of ``rounds`` passes, each over its own part of the
     blocks; the learning rate falls from ``rate`` to a tenth over all passes.
     """
     enc = encoder(vocabulary)

@@ -140,3 +140,26 @@ def test_nothing_to_learn_from(spark):
     assert {(r.n_tokens, r.n_known, r.train_tokens) for r in out} == {(3, 0, 0), (1, 0, 0)}
     assert all(r.score < 0 for r in out)
     assert lm.score(docs(spark, []), F.lit(True), PATH).count() == 0
+
+
+def test_production_parameters_train_on_every_block(spark, monkeypatch):
+    rows = corpus(400) + [(1000 + i, "one repeated text of a few words") for i in range(40)]
+    df, seen, train = docs(spark, rows), Counter(), lm._trained
+
+    def watched(blocks, tree, *rest):
+        got = blocks.select("codes", F.pmod(F.hash("key"), F.lit(8)).alias("shard")).collect()
+        seen["codes"] += sum(len(r.codes) // np.dtype(tree.value.stored).itemsize for r in got)
+        same = Counter(bytes(r.codes) for r in got).most_common(1)[0][0]
+        seen["shards"] = max(seen["shards"], len({r.shard for r in got if bytes(r.codes) == same}))
+        return train(blocks, tree, *rest)
+
+    monkeypatch.setattr(lm, "_trained", watched)
+    monkeypatch.setattr(lm, "SUMS", 3)
+    held = F.col("doc_id") % 10 == 0
+    out = lm.score(df, ~held, PATH).collect()
+    enc = lm.encoder(PATH)
+    ids = sum(len(enc.chunks([" " + w])[0]) // enc.dtype.itemsize for i, t in rows if i % 10 for w in t.lower().split())
+    assert seen["codes"] == ids + sum(i % 10 > 0 for i, _ in rows)
+    assert seen["shards"] > 1  # copies do not meet in one shard
+    own = [r for r in out if r.doc_id % 10 == 0 and r.doc_id < 1000]
+    assert sum(r.score for r in own) > 0.75 * sum(r.base_score for r in own)
