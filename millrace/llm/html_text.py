@@ -255,31 +255,59 @@ def path(page: Page, e: int) -> str:
     return ">".join(reversed(names))
 
 
+def voted_container(page: Page) -> int:
+    """The best container, or the one around it and its siblings where they share
+    an article: where it is a section beside others, or where what lies around it
+    has at least a quarter of its text. -1 when no container has text."""
+    best = best_container(page)
+    if best < 0 or page.tag[best] in ("article", "main"):
+        return best
+    before = [0] * (len(page.tag) + 1)
+    for owner, text, linked in blocks(page):
+        before[owner + 1] += max(0, len(text) - 2 * linked)
+    for e in range(len(page.tag)):
+        before[e + 1] += before[e]
+    worth = lambda e: before[page.end[e]] - before[e]
+    split = {}  # sections with text, by what they lie in
+    for e, tag in enumerate(page.tag):
+        if tag == "section" and not page.drop[e] and worth(e) > 0:
+            split[page.parent[e]] = split.get(page.parent[e], 0) + 1
+    e = page.parent[best]
+    below = best
+    while e >= 0:
+        beside = page.tag[below] == "section" and split.get(e, 0) > 1
+        if page.tag[e] in _CONTAINER and (beside or 4 * (worth(e) - worth(best)) >= worth(best)):
+            best = e
+        below, e = e, page.parent[e]
+    return best
+
+
+def covering_container(page: Page) -> int:
+    """The article or main element around the best container; without one, the
+    smallest container that covers all kept text, or -1 for the whole page."""
+    best = best_container(page)
+    if best < 0 or page.tag[best] in ("article", "main"):
+        return best
+    owners = [b[0] for b in blocks(page)]
+    first, last, e = min(owners), max(owners), best
+    while e >= 0 and not (page.tag[e] in _CONTAINER and e <= first and last < page.end[e]):
+        e = page.parent[e]
+    return e
+
+
 def extract(source: str, winners: list[str]) -> str:
-    """Text of the elements on the first winning path that the page has (those
-    with at least a quarter of the best one's text); without one, of the page's
-    own best container, and of the whole body where none stands out."""
+    """Text of all elements on the first winning path that the page has; without
+    one, of the article or main element, or else of the smallest container that
+    covers the text of the page, or of the whole body."""
     page = parse(source)
-    chosen: list[int] = []
     if winners:
         kept = [e for e in range(len(page.tag)) if page.tag[e] in _CONTAINER and not page.drop[e]]
         paths = {e: path(page, e) for e in kept}
         for winner in winners:
-            texts = {e: "\n\n".join(b[1] for b in blocks(page, e)) for e in kept if paths[e] == winner}
-            most = max(map(len, texts.values()), default=0)
-            if most:
-                chosen = [e for e in texts if 4 * len(texts[e]) >= most]
-                break
-    if not chosen and (own := best_container(page)) >= 0:
-        chosen = [own]
-    if not chosen:
-        return "\n\n".join(b[1] for b in blocks(page))
-    found, until = [], -1
-    for e in chosen:
-        if e >= until:  # not inside the one before
-            found += [b[1] for b in blocks(page, e)]
-            until = page.end[e]
-    return "\n\n".join(found)
+            found = [b[1] for e in kept if paths[e] == winner for b in blocks(page, e)]
+            if found:
+                return "\n\n".join(found)
+    return "\n\n".join(b[1] for b in blocks(page, covering_container(page)))
 
 
 def main_texts(
@@ -291,12 +319,12 @@ def main_texts(
     """Input columns with ``text`` (and ``n_chars``) of each page's article.
 
     Every page scores its containers and votes for the generalised path of the
-    best one. Paths with at least ``min_share`` of a host's votes win, in order of
+    best one, or of the one around it where an article is split. Paths with at least ``min_share`` of a host's votes win, in order of
     their votes, and all pages of the host are extracted again by them.
 
     * A null or empty page, and one without text, gives an empty text.
-    * Pages without a host in their url form one group and keep their own best
-      container.
+    * Pages without a host in their url, and those without a winning path, keep
+      their article or main element, or else all text outside boilerplate.
     * Pages have no length limit; rows that repeat are treated alike; an empty
       table gives an empty result.
 
@@ -335,7 +363,7 @@ def _voted(source: F.Column) -> F.Column:
         out = []
         for text in pages.to_pylist():
             page = parse(text or "")
-            best = best_container(page)
+            best = voted_container(page)
             out.append(path(page, best) if best >= 0 else "")
         return pa.array(out, pa.string())
 

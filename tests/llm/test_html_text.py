@@ -57,3 +57,18 @@ def test_hosts_agree_on_a_path(spark):
     assert all(n == len(t) for t, n in plain(out.select("text", "n_chars")))
     assert out.columns == ["page_id", "url", "html", "host", "text", "n_chars"]
     assert main_texts(df.limit(0)).count() == 0
+
+
+def test_article_in_unequal_sibling_sections(spark):
+    long, short = "a long part of the article " * 10, "a brief end"
+    split = f'<body><div class="page"><section class="a"><p>{long}</p></section><section class="b"><p>{short}</p></section></div></body>'
+    whole = f"{long.strip()}\n\n{short}"
+    assert extract(split, []) == extract(split, ["no>such"]) == whole
+    same = f'<body><div class="part"><p>{long}</p></div><div class="part"><p>{short}</p></div></body>'
+    assert extract(same, ["body>div.part"]) == whole
+    middle = "the rest of the article, not as long " * 4
+    deep = f'<body><div class="x"><div class="l"><div><p>{long}</p></div></div><div class="r"><div><p>{middle}</p></div></div></div></body>'
+    rows = [(i, f"http://{h}.example/{i}", page) for h, page in (("a", split), ("b", deep)) for i in range(3)]
+    out = main_texts(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = {(u[7], t) for u, t in plain(out.select("url", "text"))}
+    assert got == {("a", whole), ("b", f"{long.strip()}\n\n{middle.strip()}")}
