@@ -8,7 +8,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,26 +22,10 @@ MEMO = 200_000
 RESULT = "struct<score: double, evidence: array<struct<example: string, toxic: double, cosine: double>>, terms: array<string>>"
 
 
-def _terms(text: bytes | None) -> dict[bytes, bytes]:
-    """Words and beginnings of longer words (marked ^), each with the word before
-    its first occurrence."""
-    found: dict[bytes, bytes] = {}
-    before = b""
-    for word in normal_words(text):
-        found.setdefault(word, before)
-        for size in PREFIXES:
-            if len(word) > size:
-                found.setdefault(b"^" + word[:size], before)
-        before = word
-    return found
-
-
-def _signature(text: bytes | None) -> int:
-    """Smallest hash of five consecutive words; near copies mostly share it."""
-    words = normal_words(text)
-    n = min(5, len(words))
-    spans = (b" ".join(words[i : i + n]) for i in range(len(words) - n + 1))
-    return min(map(xxhash.xxh64_intdigest, spans), default=0) >> 1
+def _terms(text: bytes | None) -> set[bytes]:
+    """Words and beginnings of longer words (marked ^)."""
+    words = set(normal_words(text))
+    return words | {b"^" + w[:size] for w in words for size in PREFIXES if len(w) > size}
 
 
 class BlockMaxIndex:
@@ -104,20 +87,22 @@ class Voter:
     def __init__(self, terms: list[bytes], idf: list[float], examples: list[tuple], k: int, counts: dict[int, int]):
         self.term_of = {t: i for i, t in enumerate(terms)}
         self.names, self.idf, self.k = terms, idf, k
-        drawn = Counter(e[1] for e in examples)
+        drawn: Counter = Counter()
+        for _, y, _, _, n in examples:
+            drawn[y] += n
         # what an example stands for, as classes are sampled at their own rates
         share = {y: counts[y] / drawn[y] for y in drawn}
-        mean = sum(counts[y] for y in drawn) / max(1, len(examples))
+        mean = sum(counts[y] for y in drawn) / max(1, sum(drawn.values()))
         worth, toxic = Counter(), Counter()
         self.ids: list[str] = []
         places: dict[tuple, int] = {}
         # examples with equal vectors are one entry of the index with all their votes
-        for name, y, t, c in examples:
+        for name, y, t, c, n in examples:
             at = places.setdefault((tuple(t), tuple(c)), len(places))
             if at == len(self.ids):
                 self.ids.append(name)
-            worth[at] += share[y] / mean
-            toxic[at] += y * share[y] / mean
+            worth[at] += n * share[y] / mean
+            toxic[at] += y * n * share[y] / mean
         self.worth = np.array([worth[i] for i in range(len(places))])
         self.toxic = np.array([toxic[i] / worth[i] for i in range(len(places))])
         total = float(self.worth.sum())
@@ -180,33 +165,26 @@ class Voter:
 
 
 def _term_rows(examples: DataFrame) -> DataFrame:
-    """(toxic, term, context) of the examples, a few hundred texts at a time."""
+    """(toxic, term, n) of the examples, a few hundred texts at a time; n is the
+    number of labelled documents with the example's text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                toxic, terms, contexts = [], [], []
-                texts = part.column(1).cast(pa.binary()).to_pylist()
-                for y, text in zip(part.column(0).to_pylist(), texts, strict=True):
+                toxic, terms, times = [], [], []
+                texts = part.column(2).cast(pa.binary()).to_pylist()
+                for y, n, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts, strict=True):
                     found = _terms(text)
                     toxic += [y] * len(found)
                     terms += found
-                    contexts += [xxhash.xxh64_intdigest(before) >> 1 for before in found.values()]
+                    times += [n] * len(found)
                 yield pa.record_batch(
-                    [pa.array(toxic, pa.int32()), pa.array(terms, pa.binary()), pa.array(contexts, pa.int64())],
-                    ["toxic", "term", "context"],
+                    [pa.array(toxic, pa.int32()), pa.array(terms, pa.binary()), pa.array(times, pa.int64())],
+                    ["toxic", "term", "n"],
                 )
 
-    return examples.select("toxic", "text").mapInArrow(rows, "toxic int, term binary, context long")
-
-
-def _signatures(text: F.Column) -> F.Column:
-    @F.arrow_udf("bigint")
-    def signature(texts: pa.Array) -> pa.Array:
-        return pa.array([_signature(t) for t in texts.cast(pa.binary()).to_pylist()], pa.int64())
-
-    return signature(text)
+    return examples.select("toxic", "n", "text").mapInArrow(rows, "toxic int, term binary, n long")
 
 
 def labelled_rows(
@@ -235,12 +213,12 @@ def fit(
     """Learn from ``labelled(id, toxic)``.
 
     Up to half of ``max_examples`` of each class, in hash order of their ids, are
-    the examples; this is the documented bound of the sample. Of near copies (with
-    the same smallest shingle hash) one per class is used. Terms are words and
+    the examples; this is the documented bound of the sample. Equal texts of a
+    class are one example with the votes of all. Terms are words and
     word beginnings that one class has ``min_lift`` times as often as the other,
-    with a likelihood ratio of at least ``min_gain`` (the best ``max_terms``). A
-    term counts once for each word found before it, so a passage that many
-    documents share does not make its words look typical. An example is a short
+    with a likelihood ratio of at least ``min_gain`` (the best ``max_terms``),
+    counted in documents. A passage that many documents share, toxic or clean,
+    counts in each of them. An example is a short
     vector, and the index is bounded by ``max_examples`` times ``max_terms``.
     Document frequencies and class sizes are reweighted to all labelled rows.
     """
@@ -258,22 +236,19 @@ def fit(
         texts.join(F.broadcast(picked), "id")
         .groupBy("id")
         .agg(F.max("toxic").alias("toxic"), F.max("text").alias("text"), F.min(order).alias("place"))
-        .withColumn("signature", _signatures(F.col("text")))
-        .groupBy("toxic", "signature")
-        .agg(F.min_by(F.struct("id", "text", "place"), F.struct("place", "id")).alias("x"))
-        .select("x.*", "toxic"),
+        .groupBy("toxic", "text")
+        .agg(F.min_by(F.struct("id", "place"), F.struct("place", "id")).alias("x"), F.count(F.lit(1)).alias("n"))
+        .select("x.*", "toxic", "text", "n"),
         "examples",
     )
-    drawn = {r.toxic: r.n for r in examples.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    drawn = {r.toxic: r.n for r in examples.groupBy("toxic").agg(F.sum("n").alias("n")).collect()}
     if not drawn:
         return Voter([], [], [], neighbours, {})
     n1, n0 = drawn.get(1, 0), drawn.get(0, 0)
     seen = (
         _term_rows(examples)
-        .groupBy("term", "context")
-        .agg(F.max("toxic").alias("one"), F.max(1 - F.col("toxic")).alias("nil"))
         .groupBy("term")
-        .agg(F.sum("one").alias("d1"), F.sum("nil").alias("d0"))
+        .agg(F.sum(F.col("toxic") * F.col("n")).alias("d1"), F.sum((1 - F.col("toxic")) * F.col("n")).alias("d0"))
         .filter(F.col("d1") + F.col("d0") >= 3)
     )
 
@@ -305,12 +280,12 @@ def fit(
     ]
     known = docs.sparkSession.sparkContext.broadcast(Voter(terms, idf, [], neighbours, {}))
     rows = (
-        examples.select("id", "toxic", "place", _matches(known)(F.col("text")).alias("m"))
+        examples.select("id", "toxic", "place", "n", _matches(known)(F.col("text")).alias("m"))
         .orderBy("place", "id")
-        .select(F.col("id").cast("string").alias("id"), "toxic", "m.terms", "m.counts")
+        .select(F.col("id").cast("string").alias("id"), "toxic", "m.terms", "m.counts", "n")
         .collect()  # at most max_examples short vectors
     )
-    return Voter(terms, idf, [(r.id, r.toxic, r.terms, r.counts) for r in rows], neighbours, counts)
+    return Voter(terms, idf, [(r.id, r.toxic, r.terms, r.counts, r.n) for r in rows], neighbours, counts)
 
 
 def _matches(voter: Broadcast):

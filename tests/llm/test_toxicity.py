@@ -84,3 +84,28 @@ def test_no_labels_and_no_documents(spark):
     voter = toxicity.fit(docs(spark, [(1, "a")]), toxicity.labelled_rows(empty))
     assert [r.score for r in toxicity.score(docs(spark, [(1, "a"), (2, None)]), voter).collect()] == [0.0, 0.0]
     assert toxicity.score(docs(spark, []), voter).count() == 0
+
+
+def test_one_toxic_passage_in_many_documents(spark):
+    rng = random.Random(11)
+    words = [f"word{k}" for k in range(300)]
+    rows, labels = [], []
+    for i in range(400):
+        text, y = rng.choices(words, k=rng.randint(10, 40)), int(i % 5 == 0)
+        if y:
+            text += "vermin should all be driven out".split()
+        rows.append((i, " ".join(text)))
+        labels.append((i, y))
+    # equal texts keep the votes of all
+    rows += [(1000 + i, "some toxic line nobody else has") for i in range(60)]
+    labels += [(1000 + i, 1) for i in range(60)]
+    df = docs(spark, rows)
+    voter = toxicity.fit(df, toxicity.labelled_rows(spark.createDataFrame(labels, "doc_id long, toxic int")))
+    new = [(1, "a new text with vermin should all be driven out at its end"), (2, "some toxic line nobody else has"),
+           (3, " ".join(words[:20]))]
+    out = {r.doc_id: r for r in toxicity.score(docs(spark, new), voter).collect()}
+    assert out[1].score > 0.5 and "vermin" in out[1].terms
+    assert out[2].score > 0.5 and out[3].score < 0.1
+    assert abs(voter.worth.sum() - len(labels)) < 1e-6
+    kept = toxicity.reject_toxic(df, voter).collect()
+    assert {r.doc_id for r in kept} == {i for i, y in labels if not y}
