@@ -204,9 +204,8 @@ def fit(
     id_col: str = "doc_id",
     text_col: str = "text",
     max_examples: int = 20_000,
-    max_terms: int = 1_024,
-    min_gain: float = 30.0,
-    min_lift: float = 3.0,
+    max_terms: int = 4_096,
+    min_gain: float = 20.0,
     neighbours: int = 16,
     seed: int = 5,
 ) -> Voter:
@@ -214,11 +213,10 @@ def fit(
 
     Up to half of ``max_examples`` of each class, in hash order of their ids, are
     the examples; this is the documented bound of the sample. Equal texts of a
-    class are one example with the votes of all. Terms are words and
-    word beginnings that one class has ``min_lift`` times as often as the other,
-    with a likelihood ratio of at least ``min_gain`` (the best ``max_terms``),
-    counted in documents. A passage that many documents share, toxic or clean,
-    counts in each of them. An example is a short
+    class are one example with the votes of all. Terms are words and word
+    beginnings that tell the classes apart with a likelihood ratio of at least
+    ``min_gain`` (the best ``max_terms``), counted in documents. A passage that
+    many documents share, toxic or clean, counts in each of them. An example is a short
     vector, and the index is bounded by ``max_examples`` times ``max_terms``.
     Document frequencies and class sizes are reweighted to all labelled rows.
     """
@@ -263,11 +261,9 @@ def fit(
         + part(n1 - one, n1, n0 - nil, n0)
         + part(n0 - nil, n0, n1 - one, n1)
     )
-    lift = ((one + 0.5) / float(n1 + 1)) / ((nil + 0.5) / float(n0 + 1))
     best = (
         seen.withColumn("gain", gain)
         .filter(F.col("gain") >= min_gain)
-        .filter((F.greatest(lift, 1 / lift)) >= min_lift)
         .orderBy(F.col("gain").desc(), "term")
         .limit(max_terms)
         .collect()

@@ -109,3 +109,17 @@ def test_one_toxic_passage_in_many_documents(spark):
     assert abs(voter.worth.sum() - len(labels)) < 1e-6
     kept = toxicity.reject_toxic(df, voter).collect()
     assert {r.doc_id for r in kept} == {i for i, y in labels if not y}
+
+
+def test_terms_below_three_times_as_frequent_count(spark):
+    rng = random.Random(13)
+    rows, labels = [], []
+    for i in range(600):
+        y = i % 2
+        text = rng.choices([f"word{k}" for k in range(50)], k=20)
+        if rng.random() < (0.5 if y else 0.25):
+            text.append("blockhead")
+        rows.append((i, " ".join(text)))
+        labels.append((i, y))
+    labelled = toxicity.labelled_rows(spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert b"blockhead" in toxicity.fit(docs(spark, rows), labelled).term_of
