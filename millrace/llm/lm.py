@@ -109,11 +109,6 @@ _CAUSAL = (_DISTANCE >= 0).astype(np.float32)
 _NEAR = np.clip(KEYS - 1 - _DISTANCE, 0, KEYS - 1)
 
 
-def _bounded(rows: np.ndarray, most: float = 5.4) -> np.ndarray:
-    norm = np.linalg.norm(rows, axis=1, keepdims=True)
-    return np.ascontiguousarray(rows * np.minimum(1, most / np.maximum(norm, 1e-9)), np.float32)
-
-
 class Model:
     """The trained model in the form that scoring uses: projections of every
     embedding are tables, so attention needs no product per token for them."""
@@ -124,9 +119,8 @@ class Model:
         self.start, self.pad = tree.n_codes, tree.n_codes + 1
         one = np.ones((len(emb), 1), np.float32)
         one[self.pad] = 0
-        # norms are bounded, so that no exponential of a product overflows
-        self.query = _bounded(emb @ p["q"] / math.sqrt(WIDTH))
-        self.key = _bounded(emb @ p["k"])
+        self.query = (emb @ p["q"] / math.sqrt(WIDTH)).astype(np.float32)
+        self.key = np.ascontiguousarray(emb @ p["k"])
         self.value = np.concatenate((emb @ p["v"], one), 1)  # the last column adds up weights
         self.emb = emb
         self.near = (np.exp(p["near"][_NEAR]) * _CAUSAL).astype(np.float32)
@@ -146,7 +140,7 @@ class Model:
         )
         q = self.query.take(codes[STEP:], 0).reshape(n, STEP, d)
         a = q @ windows(k).transpose(0, 2, 1)
-        np.exp(a, out=a)
+        np.exp(np.minimum(a, 30, out=a), out=a)  # the bound of training
         a *= self.near
         o = (a @ windows(v)).reshape(n * STEP, d + 1)
         o = o[:, :d] / np.maximum(o[:, d:], 1e-9)

@@ -163,3 +163,13 @@ def test_production_parameters_train_on_every_block(spark, monkeypatch):
     assert seen["shards"] > 1  # copies do not meet in one shard
     own = [r for r in out if r.doc_id % 10 == 0 and r.doc_id < 1000]
     assert sum(r.score for r in own) > 0.75 * sum(r.base_score for r in own)
+
+
+def test_scores_come_from_the_trained_model():
+    tree, p = small_model(4)
+    p["q"], p["k"] = p["q"] * 4, p["k"] * 4  # long rows, some products above the bound
+    codes = np.random.default_rng(6).integers(0, tree.n_codes - 1, 100)
+    model, trainer = lm.Model(tree, p), lm.Trainer(tree, p)
+    assert (model.query @ model.key.T).max() > 30
+    loss = trainer.step(*trainer.block(codes, True), 0.1)
+    assert model.score([codes])[0] * math.log(10) == pytest.approx(-loss * len(codes), rel=1e-3)
