@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import contamination, html_text, lines, lm, mixing, near_vectors, quality, simhash, tokens, toxicity
+from millrace.llm import contamination, html_text, lines, lm, mixing, near_vectors, quality, simhash, tokens, toxicity, url_filter
 from millrace.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -180,6 +180,42 @@ def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", "n_chars")
 
 
+URL_RULES = (
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+)
+
+
+def url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+URL_VERDICTS_SQL = r"""
+WITH p AS (
+  SELECT page_id,
+    translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)([^?#]*)', 1),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)([^?#]*)', 2) AS path
+  FROM pages
+),
+rules(rule, host, path, verdict) AS (VALUES
+  ('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'),
+  ('www.example.com/en/', 'www.example.com', '/en/', 'allow'),
+  ('net/es/', 'net', '/es/', 'block'), ('net/fr/', 'net', '/fr/', 'block')
+),
+fit AS (
+  SELECT p.page_id, p.host, p.path, arg_max(r.rule, length(r.rule)) AS rule,
+    arg_max(r.verdict, length(r.rule)) AS verdict
+  FROM p LEFT JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+  GROUP BY ALL
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fit
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_vector_groups": vector_groups,
     "op2_near_texts": near_texts,
@@ -191,9 +227,11 @@ QUERIES: dict[str, Query] = {
     "op8_toxic_scores": toxic_scores,
     "op9_benchmark_hits": benchmark_hits,
     "op10_page_texts": page_texts,
+    "op12_url_verdicts": url_verdicts,
 }
 ORACLES: dict[str, str] = {
     "op1_vector_groups": VECTOR_GROUPS_SQL,
     "op6_shared_lines": SHARED_LINES_SQL,
     "op9_benchmark_hits": BENCHMARK_HITS_SQL,
+    "op12_url_verdicts": URL_VERDICTS_SQL,
 }
