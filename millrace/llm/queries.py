@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import contamination, html_text, lines, lm, mixing, near_vectors, quality, simhash, tokens, toxicity, url_filter
+from millrace.llm import contamination, html_text, lines, lm, mixing, near_vectors, quality, runs, simhash, tokens, toxicity, url_filter
 from millrace.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -216,6 +216,43 @@ fit AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fit
 """
 
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """Documents, a tenth of which (by the CRC of their id) repeat from some word on.
+    Rows without an id stay as they are."""
+    crc = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(crc / 10)
+    words = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
+    chosen = docs.select("doc_id", "text", g.alias("g"), F.when(crc % 10 == 0, words).alias("words"))
+    n = F.size("words")
+    placed = chosen.filter(n > 0).select(
+        "doc_id", "words", n.alias("n"), (F.col("g") % n).cast("int").alias("a"), (F.col("g") % 8 + 3).alias("parts")
+    )
+    left = F.col("n") - F.col("a")
+    period = (F.floor(left / F.col("parts")) + 1).cast("int")
+    block = F.slice("words", F.col("a") + 1, period)
+    tail = F.slice(F.flatten(F.array_repeat(block, F.ceil(left / period).cast("int"))), F.lit(1), left)
+    text = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), tail), " ")
+    others = chosen.filter(F.coalesce(n <= 0, F.lit(True))).select("doc_id", "text")
+    return others.unionByName(placed.select("doc_id", text.alias("text")))
+
+
+def run_report(docs: DataFrame) -> DataFrame:
+    found = runs.periodic_runs(planted_runs(docs), min_length=6, min_exponent=4)
+    best = found.withColumn("best", runs.strongest("runs"))
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.floor(F.col("best.length") * 1000 / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(runs.runs_text("runs"), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def periodic_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_vector_groups": vector_groups,
     "op2_near_texts": near_texts,
@@ -228,6 +265,7 @@ QUERIES: dict[str, Query] = {
     "op9_benchmark_hits": benchmark_hits,
     "op10_page_texts": page_texts,
     "op12_url_verdicts": url_verdicts,
+    "op13_periodic_words": periodic_words,
 }
 ORACLES: dict[str, str] = {
     "op1_vector_groups": VECTOR_GROUPS_SQL,
