@@ -253,6 +253,56 @@ def periodic_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+PERIODIC_WORDS_SQL = r"""
+WITH w0 AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS o,
+    xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda acc, b: list_reduce(list_concat([xor(acc, b)], range(8)),
+        lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)), 4294967295::BIGINT) AS h
+  FROM documents
+),
+w1 AS (
+  SELECT doc_id, o, len(o) AS n, h // 10 AS g, h % 10 = 0 AND len(o) > 0 AS planted,
+    CASE WHEN len(o) > 0 THEN (h // 10) % len(o) ELSE 0 END AS a FROM w0
+),
+w2 AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM w1),
+w AS (
+  SELECT doc_id, n, CASE WHEN planted THEN list_concat(o[1:a], list_transform(range(a, n), lambda i: o[1 + a + (i - a) % p])) ELSE o END AS words FROM w2
+),
+gram AS (
+  SELECT doc_id, i, n, hash(words[i + 1:i + 5]) AS gram
+  FROM (SELECT doc_id, n, words, unnest(range(n - 4)) AS i FROM w WHERE n >= 6)
+),
+pair AS (
+  SELECT a.doc_id, a.i, b.i - a.i AS q FROM gram a JOIN gram b USING (doc_id, gram)
+  WHERE b.i > a.i AND 4 * (b.i - a.i) <= a.n
+),
+island AS (
+  SELECT doc_id, q, min(i) AS start, max(i) - min(i) + 5 + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM pair) GROUP BY doc_id, q, k
+),
+long AS (SELECT * FROM island WHERE length >= greatest(6, 4 * q)),
+run AS (
+  SELECT * FROM long l WHERE NOT EXISTS (
+    SELECT 1 FROM long s WHERE s.doc_id = l.doc_id AND s.q < l.q AND s.start <= l.start AND s.start + s.length >= l.start + l.length)
+),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + q, start + length)) AS i FROM run),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text
+  FROM (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS i FROM w) ANTI JOIN gone USING (doc_id, i)
+  GROUP BY doc_id
+),
+report AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS lines FROM run GROUP BY doc_id
+),
+best AS (
+  SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length::DOUBLE / q DESC, start, q) = 1
+)
+SELECT w.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, q::BIGINT AS period,
+  (1000 * length // q)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM w LEFT JOIN report USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_vector_groups": vector_groups,
     "op2_near_texts": near_texts,
@@ -272,4 +322,5 @@ ORACLES: dict[str, str] = {
     "op6_shared_lines": SHARED_LINES_SQL,
     "op9_benchmark_hits": BENCHMARK_HITS_SQL,
     "op12_url_verdicts": URL_VERDICTS_SQL,
+    "op13_periodic_words": PERIODIC_WORDS_SQL,
 }
