@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +65,18 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def portions(texts: pa.Array, size: int = 4_000_000) -> Iterator[slice]:
+    """Row ranges of a batch with about ``size`` bytes of text each; a longer text
+    is a range of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    begin = 0
+    while begin < len(texts):
+        before = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield slice(begin, end)
+        begin = end
+
+
 # Archives by application; they are served as long as the interpreter lives.
 _shipped: dict[str, tempfile.TemporaryDirectory] = {}
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import contamination, html_text, lines, lm, mixing, near_vectors, quality, runs, simhash, tokens, toxicity, url_filter
+from millrace.llm import contamination, html_text, lines, lm, mixing, near_vectors, phrases, quality, runs, simhash, tokens, toxicity, url_filter
 from millrace.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -180,6 +180,46 @@ def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", "n_chars")
 
 
+def phrase_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("lang", "text")
+    return phrases.collocations(docs, max_words=5, min_count=100, share=100, limit=2000)
+
+
+PHRASE_RANKS_SQL = r"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+),
+total AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM piece GROUP BY lang),
+f AS (
+  SELECT lang, phrase, m, count(*)::HUGEINT AS f FROM (
+    SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase
+    FROM piece, range(1, 6) AS sizes(m) WHERE len(w) >= m)
+  GROUP BY ALL HAVING count(*) >= 100
+),
+cand AS (SELECT lang, phrase, m, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m >= 2),
+cut AS (
+  SELECT c.lang, c.phrase, c.a, k, l.f AS l, r.f AS r, t.n, 1000 * c.a * t.n // (l.f * r.f) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM cand) c
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:c.k], ' ')
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[c.k + 1:c.m], ' ')
+  JOIN total t ON t.lang = c.lang
+),
+low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT DISTINCT lang, a, array_to_string(w[i:j], ' ') AS phrase
+  FROM (SELECT *, unnest(range(i + 1, m + 1)) AS j FROM (SELECT *, unnest(range(1, m)) AS i FROM cand)) WHERE j - i + 1 < m
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM low
+  WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = low.lang AND i.phrase = low.phrase AND 100 * i.a >= 100 * low.a)
+)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked WHERE rank <= 2000
+"""
+
+
 URL_RULES = (
     ("allow", "com/"),
     ("block", "example.com/en/"),
@@ -314,6 +354,7 @@ QUERIES: dict[str, Query] = {
     "op8_toxic_scores": toxic_scores,
     "op9_benchmark_hits": benchmark_hits,
     "op10_page_texts": page_texts,
+    "op11_phrase_ranks": phrase_ranks,
     "op12_url_verdicts": url_verdicts,
     "op13_periodic_words": periodic_words,
 }
@@ -321,6 +362,7 @@ ORACLES: dict[str, str] = {
     "op1_vector_groups": VECTOR_GROUPS_SQL,
     "op6_shared_lines": SHARED_LINES_SQL,
     "op9_benchmark_hits": BENCHMARK_HITS_SQL,
+    "op11_phrase_ranks": PHRASE_RANKS_SQL,
     "op12_url_verdicts": URL_VERDICTS_SQL,
     "op13_periodic_words": PERIODIC_WORDS_SQL,
 }

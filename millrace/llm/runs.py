@@ -10,12 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.frames import column, packed, unpacked
+from millrace.llm.frames import column, packed, portions, unpacked
 
 _RUN = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())])
 _OUT = "struct<n_words: bigint, runs: array<struct<start: bigint, length: bigint, period: bigint>>, collapsed: string>"
-#: Texts are worked on in portions of about so many bytes (a longer text is one portion).
-_PORTION = 4_000_000
 
 
 def bands(longest: int, min_length: int, min_exponent: int) -> Iterator[tuple[int, int]]:
@@ -148,16 +146,6 @@ def _report(texts: pa.Array, min_length: int, min_exponent: int) -> pa.StructArr
     )
 
 
-def _portions(texts: pa.Array) -> Iterator[pa.Array]:
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
-    begin = 0
-    while begin < len(texts):
-        before = sizes[begin - 1] if begin else 0
-        end = max(begin + 1, int(np.searchsorted(sizes, before + _PORTION, "right")))
-        yield texts.slice(begin, end - begin)
-        begin = end
-
-
 def periodic_runs(
     docs: DataFrame, text_col: str = "text", min_length: int = 6, min_exponent: int = 4
 ) -> DataFrame:
@@ -186,7 +174,7 @@ def periodic_runs(
 
     @F.arrow_udf(_OUT)
     def report(texts: pa.Array) -> pa.Array:
-        parts = [_report(p, min_length, min_exponent) for p in _portions(texts)]
+        parts = [_report(texts[rows], min_length, min_exponent) for rows in portions(texts)]
         return pa.concat_arrays(parts) if parts else _report(texts, min_length, min_exponent)
 
     rows = packed(docs, found=report(column(text_col)))
