@@ -37,6 +37,37 @@ def size(spark: SparkSession, path: str) -> int:
     return int(fs.getContentSummary(target).getLength())
 
 
+def length(spark: SparkSession, path: str) -> int:
+    """Bytes of a file."""
+    target, fs = _open(spark, path)
+    return int(fs.getFileStatus(target).getLen())
+
+
+def is_compressed(spark: SparkSession, path: str) -> bool:
+    """Whether a codec belongs to the file's name, so that it is read in one go."""
+    target, _ = _open(spark, path)
+    codecs = spark._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(spark._jsc.hadoopConfiguration())
+    return codecs.getCodec(target) is not None
+
+
+def first_line(spark: SparkSession, path: str) -> str | None:
+    """The first line of a text file that is not blank, with a carriage return it may
+    end with; decompressed by the file's name. None if there is no such line."""
+    jvm, (target, fs) = spark._jvm, _open(spark, path)
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(spark._jsc.hadoopConfiguration())
+    stream = fs.open(target)
+    try:
+        codec = codecs.getCodec(target)
+        lines = jvm.java.util.Scanner(codec.createInputStream(stream) if codec else stream, "UTF-8").useDelimiter("\n")
+        while lines.hasNext():
+            line = lines.next()
+            if line.strip():
+                return line
+        return None
+    finally:
+        stream.close()
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     target, fs = _open(spark, path)
     stream = fs.open(target)
