@@ -231,6 +231,9 @@ def sql_readonly_guard(spark, sf):
         f"SELECT * FROM parquet.`{sf}/customer.parquet`",
         "SELECT * FROM customer WHERE EXISTS (SELECT 1 FROM text.`/etc/hosts`)",
         "SELECT * FROM somebody_elses_view",
+        "SELECT * FROM IDENTIFIER('text.`/etc/hostname`')",
+        "SELECT * FROM IDENTIFIER('text.' || '`/etc/hostname`')",
+        "SELECT IDENTIFIER('refl' || 'ect')('java.lang.System', 'getProperty', 'user.home') FROM customer",
     ):
         try:
             sql_query(spark, text, tables)

@@ -310,6 +310,10 @@ def test_sql_only_reads(spark, text):
         "WITH w AS (SELECT * FROM theirs) SELECT * FROM w",
         "SELECT * FROM theirs",
         "SELECT 1 WHERE 1 IN (SELECT id FROM theirs)",
+        "SELECT * FROM IDENTIFIER('text.`/etc/hostname`')",
+        "SELECT * FROM IDENTIFIER('text.' || '`/etc/hostname`')",
+        "SELECT IDENTIFIER('refl' || 'ect')('java.lang.System', 'getProperty', 'user.home')",
+        "SELECT id FROM t WHERE id IN (SELECT IDENTIFIER('id') FROM IDENTIFIER('theirs'))",
     ],
 )
 def test_sql_reaches_nothing_but_its_tables(spark, text):
@@ -318,6 +322,23 @@ def test_sql_reaches_nothing_but_its_tables(spark, text):
         sql_query(spark, text, {"t": spark.range(1)})
 
 
+def test_sql_is_checked_again_once_names_are_known(spark, monkeypatch):
+    from millrace.operators import sql
+
+    monkeypatch.setattr(sql, "_check", lambda *a: None)  # as if a spelling got past the parsed plan
+    spark.range(5).write.mode("overwrite").saveAsTable("stored_theirs")
+    for text in (
+        "SELECT value FROM IDENTIFIER('text.`/etc/hostname`')",
+        "SELECT id FROM t WHERE id IN (SELECT id FROM stored_theirs)",
+        "SELECT upper(IDENTIFIER('refl' || 'ect')('java.lang.System', 'getProperty', 'user.home')) FROM t",
+    ):
+        with pytest.raises(QueryRefused):
+            sql_query(spark, text, {"t": spark.range(1)})
+    spark.sql("DROP TABLE stored_theirs")
+    own = spark.range(3).selectExpr("id", "reflect('java.lang.Math', 'abs', -1) AS one")
+    assert sql_query(spark, "SELECT one FROM t JOIN (VALUES (1)) v(id) USING (id)", {"t": own}).count() == 1
+
+
 def test_sql_leaves_views_alone_and_takes_fences_off(spark):
     spark.range(5).createOrReplaceTempView("t")
     out = sql_query(spark, "```sql\nWITH w AS (SELECT id FROM t) SELECT * FROM w\n```\n", {"t": spark.range(1)})
