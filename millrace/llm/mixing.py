@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -91,7 +91,7 @@ def _groups(pdf: pd.DataFrame):
 
 
 def _leaf(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["draw", "id", "size", "n"], kind="stable", ignore_index=True)
+    pdf = pdf.sort_values(["turn", "id", "size", "n"], kind="stable", ignore_index=True)
     size = pdf["size"].to_numpy("f8") * pdf["n"].to_numpy("f8")
     mass, draw = size * pdf["part"].to_numpy("f8"), pdf["draw"].to_numpy("f8")
     state = np.zeros(len(pdf), "i4")
@@ -100,7 +100,7 @@ def _leaf(pdf: pd.DataFrame) -> pd.DataFrame:
         state[at], _ = _round(m, size[at], draw[at])
         mass[at] = m
     return pdf.assign(state=state, mass=mass)[
-        ["bucket", "id", "source", "size", "n", "whole", "state", "mass", "draw"]
+        ["bucket", "id", "source", "size", "n", "whole", "state", "mass"]
     ]
 
 
@@ -112,7 +112,12 @@ def _node(pdf: pd.DataFrame) -> pd.DataFrame:
         m = mass[at]
         state[at], _ = _round(m, size[at], draw[at])
         mass[at] = m
-    return pdf.assign(state=state, mass=mass)[["bucket", "source", "size", "draw", "state", "mass", "up"]]
+    return pdf.assign(state=state, mass=mass)[["bucket", "source", "size", "state", "mass"]]
+
+
+def _uniform(hashed: Column) -> Column:
+    """A hash as a number from 0 to below 1."""
+    return F.pmod(hashed, F.lit(1 << 53)) / float(1 << 53)
 
 
 def copies(
@@ -131,8 +136,9 @@ def copies(
 
     Leaves of the tree are hash buckets over all sources, so a hot source is
     spread over all of them, and each sends one open document per source upwards
-    at most. Draws and order come from hashes of the rows: reruns agree on any
-    layout. Rows equal in id, source and size are one unit. Documents without
+    at most; above the leaves each source has nodes of its own. Order and draws
+    come from hashes of their own, draws from one for each level: reruns agree on
+    any layout, and what a document has survived says nothing about its next draw. Rows equal in id, source and size are one unit. Documents without
     words take the floor of the expectation.
     """
     rows = saved(
@@ -153,36 +159,39 @@ def copies(
             F.pmod(hashed, F.lit(n_buckets)).alias("bucket"),
             F.floor("expected").cast("long").alias("whole"),
             F.when(F.col("size") > 0, F.col("expected") - F.floor("expected")).otherwise(0.0).alias("part"),
-            (F.pmod(F.xxhash64(F.lit(seed + 1), "id", "source", "size"), F.lit(1 << 53)) / float(1 << 53)).alias("draw"),
+            F.xxhash64(F.lit(seed + 2), "id", "source", "size").alias("turn"),
+            _uniform(F.xxhash64(F.lit(seed + 1), "id", "source", "size")).alias("draw"),
         )
     )
     kinds = {f.name: f.dataType.simpleString() for f in unit.schema}
     leaf_schema = (
         f"bucket long, id {kinds['id']}, source {kinds['source']}, size long, n long, "
-        "whole long, state int, mass double, draw double"
+        "whole long, state int, mass double"
     )
     leaves = saved(unit.groupBy("bucket").applyInPandas(_leaf, leaf_schema), "leaves")
 
-    node_schema = f"bucket long, source {kinds['source']}, size double, draw double, state int, mass double, up long"
+    node_schema = f"bucket long, source {kinds['source']}, size double, state int, mass double"
     open_rows = leaves.filter("state = -1").select(
-        "bucket", "source", (F.col("size") * F.col("n")).cast("double").alias("size"), "mass", "draw"
+        "bucket", "source", (F.col("size") * F.col("n")).cast("double").alias("size"), "mass"
     )
+    # a source has one open document in a leaf at most, so this tells them apart
+    draw = lambda level: _uniform(F.xxhash64(F.lit(seed + 2 + level), "bucket", "source"))
     decided, n_nodes, level = [], n_buckets, 0
     while n_nodes > 1:
         level += 1
         n_nodes = -(-n_nodes // FAN_IN)
         step = F.pow(F.lit(float(FAN_IN)), F.lit(float(level))).cast("long")
         solved = saved(
-            open_rows.withColumn("up", F.floor(F.col("bucket") / step).cast("long"))
-            .groupBy("up")
+            open_rows.withColumns({"up": F.floor(F.col("bucket") / step).cast("long"), "draw": draw(level)})
+            .groupBy("up", "source")
             .applyInPandas(_node, node_schema),
             "nodes",
         )
         decided.append(solved.filter("state >= 0").select("bucket", "source", "state"))
-        open_rows = solved.filter("state = -1").select("bucket", "source", "size", "mass", "draw")
+        open_rows = solved.filter("state = -1").select("bucket", "source", "size", "mass")
     # one open document per source at the root: full with the probability it holds
     decided.append(
-        open_rows.select("bucket", "source", (F.col("draw") * F.col("size") < F.col("mass")).cast("int").alias("state"))
+        open_rows.select("bucket", "source", (draw(level + 1) * F.col("size") < F.col("mass")).cast("int").alias("state"))
     )
     final = decided[0]
     for more in decided[1:]:

@@ -89,3 +89,36 @@ def test_mix_repeats_rows_and_keeps_columns(spark):
     n = sum(t // s for s, t in plain(report.select("size", "taken")) if s)
     assert out.filter("length(text) > 0").count() == n
     assert mixing.mix(docs(spark, [])).count() == 0 and mixing.mix_report(docs(spark, [])).count() == 0
+
+
+def test_every_size_keeps_its_expectation_over_seeds(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "LEAF_ROWS", 16)
+    monkeypatch.setattr(mixing, "FAN_IN", 3)
+    rows = [(i, s, z) for i in range(400) for s, z in (("a", 50 if i % 2 else 400), ("b", 7))]
+    df = spark.createDataFrame(rows, "id long, source string, size long")
+    for share in (0.3, 0.7):
+        taken, seen = Counter(), Counter()
+        for seed in range(100, 112):
+            out = mixing.copies(df, weights=(1, 1e-6), share=share, limit=5.0, seed=seed).filter("source = 'a'")
+            for r in out.groupBy("size").sum("copies").collect():
+                taken[r.size] += r[1]
+                seen[r.size] += 200
+        expected = share * sum(z for *_, z in rows) / sum(z for _, s, z in rows if s == "a")
+        for z in (50, 400):  # 2400 draws, negatively dependent: four standard errors at most
+            assert abs(taken[z] / seen[z] - expected) < 0.04
+
+
+def test_leaves_draw_apart_from_their_order():
+    rng = np.random.default_rng(3)
+    sizes, part, n = np.tile([50, 400], 200), 0.3, 400
+    full = Counter()
+    for _ in range(300):
+        pdf = mixing.pd.DataFrame({
+            "bucket": 0, "id": np.arange(n), "source": "a", "size": sizes, "n": 1, "whole": 0, "part": part,
+            "turn": rng.permutation(n), "draw": rng.random(n),
+        })
+        out = mixing._leaf(pdf)
+        assert abs(out.mass.sum() - part * sizes.sum()) < 1e-6
+        for z in (50, 400):
+            full[z] += int((out.state[out["size"] == z] == 1).sum())
+    assert all(abs(full[z] / (300 * 200) - part) < 0.006 for z in (50, 400))
