@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,6 +52,11 @@ _DROPPED_WORDS = frozenset(
     "newsletter subscribe subscription signup login comment comments disqus respond replies reply "
     "share sharing social related recommended recommendations pagination pager skip".split()
 )
+# What a compound class name may add to them ("comment-list", "site_header").
+_PLACES = frozenset(
+    "area bar block body bottom box buttons container content form group inner item items left line link "
+    "links list main outer page panel post posts right row section site thread title top wrap wrapper zone".split()
+)
 
 
 @dataclass
@@ -80,8 +86,16 @@ def _dropped(tag: str, attributes: dict[str, str]) -> int:
         return 2
     if tag in ("html", "body", "main", "article"):
         return 0
-    words = re.split(r"[\s_-]+", f"{attributes.get('class', '')} {attributes.get('id', '')}".lower())
-    return int(not _DROPPED_WORDS.isdisjoint(words))
+    names = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split()
+    return int(any(map(_boilerplate, names)))
+
+
+@lru_cache(4096)
+def _boilerplate(name: str) -> bool:
+    """Whether a whole class name says so: all of its parts do, or only add a place.
+    One that also names something else ("related-work", "article-header") does not."""
+    parts = [p for p in re.split(r"[_-]+|\d+", name) if p]
+    return not _DROPPED_WORDS.isdisjoint(parts) and (_DROPPED_WORDS | _PLACES).issuperset(parts)
 
 
 def parse(source: str) -> Page:
@@ -159,8 +173,8 @@ def parse(source: str) -> Page:
 
 def _resolve(page: Page) -> None:
     """Settle which elements are left out: those marked, and all below them. A
-    class alone does not remove the element that holds the article, and a header
-    inside an article that carries its title stays."""
+    class alone does not remove the element that holds the article, and what
+    carries the title inside an article stays, be it a header by element or class."""
     n = len(page.tag)
     holds, title = [0] * (n + 1), [0] * (n + 1)
     for e in range(n):
@@ -173,7 +187,8 @@ def _resolve(page: Page) -> None:
         drop = page.drop[e]
         if drop == 1 and holds[page.end[e]] > holds[e]:
             drop = 0
-        if page.tag[e] == "header" and inside[e] and title[page.end[e]] > title[e]:
+        titled = inside[e] and title[page.end[e]] > title[e]
+        if titled and (page.tag[e] == "header" or drop == 1):
             drop = 0
         page.drop[e] = 1 if drop or p >= 0 and page.drop[p] else 0
 

@@ -22,6 +22,17 @@ def test_article_of_a_page():
     assert extract(PAGE, ["html>body.has-sidebar>div.post-#.wrap>article"]) == "\n\n".join(TEXT)
 
 
+def test_parts_of_class_names_do_not_remove_text():
+    kept = ('<article><div class="article-header"><h1>Title</h1></div><section class="related-work"><p>Others did so.</p></section>'
+            '<p class="sharing-economy">Cars.</p><p class="share-price noticeable">Up.</p><div class="header2"><h1>Late</h1></div>')
+    gone = "".join(
+        f'<div class="x {c}"><p>gone</p></div>'
+        for c in ("ad", "comment-list", "site_header", "related-posts", "ad-42", "Share-Buttons", "sidebar-left-2", "nav")
+    )
+    text = ["Title", "Others did so.", "Cars.", "Up.", "Late"]
+    assert extract(f"<body>{gone}{kept}{gone}</article>{gone}</body>", []) == "\n\n".join(text)
+
+
 def test_broken_and_empty_pages():
     assert extract("", []) == extract("<html></html>", []) == extract("<script>x", []) == ""
     assert extract("just text &eacute; &am", []) == "just text é &am"
