@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,6 +65,39 @@ def _latest(history: DataFrame, keys: Sequence[str], columns: Sequence[str]):
     )
 
 
+def newest(history: DataFrame, key) -> DataFrame:
+    """Of each key the newest row and, where that deletes, the newest live one too:
+    what the current view, in either mode, and the next commit need to know.
+
+    Rows without a whole key have no successor and all stay."""
+    keys, order = key_list(key), _order(history)
+    rest = [c for c in history.columns if c not in keys]
+    known = reduce(lambda a, b: a & b, [named(k).isNotNull() for k in keys])
+    row, live = row_of(rest), ~F.col("_deleted")
+    tops = history.filter(known).groupBy(*[named(k) for k in keys]).agg(
+        F.max_by(row, order).alias("__top"), F.max_by(row, F.when(live, order)).alias("__live")
+    )
+    both = F.when(F.col("__top._deleted") & F.col("__live").isNotNull(), F.array("__top", "__live"))
+    kept = tops.select(*[named(k) for k in keys], F.explode(F.coalesce(both, F.array("__top"))).alias("__row"))
+    kept = kept.select(*[named(c) if c in keys else F.col("__row").getField(c).alias(c) for c in history.columns])
+    return kept.unionByName(history.filter(~known))
+
+
+def closed(dated: DataFrame, key, start: str, end: str) -> DataFrame:
+    """History rows, dated by column ``start``, with ``end``: when the next version of
+    their key was committed (null for the newest). The next one is found by an
+    equi-join on (key, version), so that no task holds a key's whole history."""
+    keys = key_list(key)
+    after = dated.groupBy(*[named(k) for k in keys], F.col("_version")).agg(F.min(start).alias(end))
+    after = after.select(
+        *[named(k).alias(f"__n_{i}") for i, k in enumerate(keys)], (F.col("_version") - 1).alias("__n_version"), end
+    )
+    same = F.col("_version") == F.col("__n_version")
+    for i, k in enumerate(keys):
+        same = same & (named(k) == F.col(f"__n_{i}"))
+    return dated.join(after, same, "left").select(*[named(c) for c in dated.columns], end)
+
+
 def compare_with_latest(history: DataFrame, batch: DataFrame, key) -> DataFrame:
     """Batch rows with ``__status`` (new, changed, unchanged) and ``__version``,
     the highest version of the key so far.

@@ -5,15 +5,23 @@ Layout under the project root::
     schemas/<table>.schema.json            target schema (optional)
     data/<table>/part-<n>-<kind>-<tag>/    Parquet written by commit n
     data/<table>/_log/<n>.json             parts, layout and facts of commit n
+    data/<table>/_log/_newest              number of a recent commit
     backup/<table>/<time>_<n>/             timestamped copies
 
 The newest log entry names the parts that make up the table, so a failed or
-racing write is never seen. Part folders are immutable:
+racing write is never seen. It is found from a recent number on, whatever the
+length of the log. Part folders are immutable:
 
 * appends add one part and leave the rest alone;
-* upserts rewrite only those older files that hold a key of the batch (the log
-  entry lists the files of a part that no longer count);
-* versioned tables only ever add parts.
+* a keyed table beyond ``bucket_bytes`` lies in hash buckets of its key, one
+  folder each in every part. Commits look keys up in the buckets of the batch's
+  keys alone, and upserts rewrite these buckets; the log entry says which buckets
+  of a part still count, however many files they have;
+* versioned tables only ever add parts. Every ``snapshot_every`` commits the
+  newest row of each key is written aside; reads of the current state and lookups
+  of later commits take this snapshot and the parts after it. The log knows when
+  each part was committed, and compaction closes each row's interval of validity,
+  so a read as of a moment opens no part that is younger.
 
 A batch is computed once, into a part folder, before it is merged. That cuts
 its lineage, gives its exact row count, and gives Catalyst its true size when
@@ -28,7 +36,7 @@ from collections.abc import Mapping, Sequence
 from datetime import datetime
 from enum import Enum
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +48,9 @@ from millrace.schema import TableSchema
 from millrace.sources import files
 
 FORMAT = "1"
+_BUCKET = "__bucket"
+#: Intervals of validity, held by compacted parts of versioned tables only.
+_FROM, _TO = "_valid_from", "_valid_to"
 
 
 class Backend(Enum):
@@ -99,10 +110,6 @@ def _from_records(
     return spark.createDataFrame(rows, layout)
 
 
-def _data_files(spark: SparkSession, folder: str) -> list[str]:
-    return [n for n in files.names(spark, folder) if n.endswith(".parquet")]
-
-
 class TableStore:
     def __init__(
         self,
@@ -114,6 +121,8 @@ class TableStore:
         storage: str = "text",
         extra: str = "drop",
         tombstone: str = "hide",
+        bucket_bytes: int = 128 << 20,
+        snapshot_every: int = 16,
     ):
         self.spark = spark
         self.root = root.rstrip("/")
@@ -121,6 +130,8 @@ class TableStore:
         self.storage = storage
         self.extra = extra
         self.tombstone = tombstone
+        self.bucket_bytes = bucket_bytes
+        self.snapshot_every = snapshot_every
         self.set_write_policy(write_policy)
         self.set_backup_policy(backup_policy)
 
@@ -162,11 +173,22 @@ class TableStore:
         return f"{self.root}/data/{table}"
 
     def _latest(self, table: str) -> dict | None:
+        """The newest log entry, from a recent one on. Only without a trace of that
+        the whole log is listed."""
         folder = f"{self._folder(table)}/_log"
-        entries = [n for n in files.names(self.spark, folder) if n[0].isdigit()]
-        if not entries:
-            return None
-        return json.loads(files.read_text(self.spark, f"{folder}/{entries[-1]}"))
+        entry = lambda n: f"{folder}/{n:012d}.json"
+        try:
+            newest = int(files.read_text(self.spark, f"{folder}/_newest"))
+        except Exception:  # not there, or being written
+            newest = None
+        if newest is None or not files.exists(self.spark, entry(newest)):
+            found = [n for n in files.names(self.spark, folder) if n[0].isdigit()]
+            if not found:
+                return None
+            newest = int(found[-1].partition(".")[0])
+        while files.exists(self.spark, entry(newest + 1)):
+            newest += 1
+        return json.loads(files.read_text(self.spark, entry(newest)))
 
     def tables(self) -> list[str]:
         folder = f"{self.root}/data"
@@ -181,9 +203,13 @@ class TableStore:
         try:
             files.publish_text(self.spark, path, json.dumps(entry), tag)
         except files.FileExists:
+            for part in files.names(self.spark, self._folder(table)):
+                if part.endswith(tag):  # written by this attempt, never seen
+                    files.delete(self.spark, f"{self._folder(table)}/{part}")
             raise CommitConflict(
                 f"commit {entry['version']} of table '{table}' was taken by another writer"
             ) from None
+        files.write_text(self.spark, f"{self._folder(table)}/_log/_newest", str(entry["version"]))
 
     def catalog(self) -> DataFrame:
         """One row per table: name, version, last_updated. Read from the newest
@@ -205,28 +231,33 @@ class TableStore:
 
     # -- reading -------------------------------------------------------------
 
-    def _paths(self, table: str, entry: dict) -> list[str]:
-        """What a log entry says to read: whole parts, or the files left of
-        a part after upserts."""
+    def _paths(
+        self, table: str, entry: dict, parts: Sequence[str] | None = None, buckets: Sequence[int] | None = None
+    ) -> list[str]:
+        """Folders that a log entry says to read: parts, or where only some buckets
+        of a part count or are wanted, these."""
         out = []
-        for part in entry["parts"]:
+        for part in entry["parts"] if parts is None else parts:
             folder = f"{self._folder(table)}/{part}"
-            gone = set(entry.get("without", {}).get(part, ()))
-            if gone:
-                left = [n for n in _data_files(self.spark, folder) if n not in gone]
-                out += [f"{folder}/{n}" for n in left]
-            else:
+            live = entry.get("live", {}).get(part)
+            wanted = live if live is None or buckets is None else [b for b in live if b in set(buckets)]
+            if live is None or wanted == live and part not in entry.get("cut", ()):
                 out.append(folder)
+            else:
+                out += [f"{folder}/{_BUCKET}={b}" for b in wanted]
         return out
 
-    def _read_parts(self, table: str, entry: dict, paths: Sequence[str] | None = None):
+    def _read_parts(self, table: str, entry: dict, paths: Sequence[str] | None = None, more: str = ""):
         """Read with the layout of the log entry: columns that an older part
-        lacks come back null, and no footer is opened to infer."""
+        lacks come back null, and no footer is opened to infer. Folders of buckets
+        are looked into, but are no column."""
         layout = T.StructType.fromJson(json.loads(entry["layout"]))
+        for name in more.split():
+            layout = layout.add(name, "string")
         paths = self._paths(table, entry) if paths is None else paths
         if not paths:
             return self.spark.createDataFrame([], layout)
-        return self.spark.read.schema(layout).parquet(*paths)
+        return self.spark.read.schema(layout).option("recursiveFileLookup", True).parquet(*paths)
 
     def _stored(self, table: str) -> DataFrame:
         entry = self._latest(table)
@@ -243,10 +274,18 @@ class TableStore:
 
     def read_table(self, table: str) -> DataFrame:
         """The table; for a versioned store, the latest live rows."""
-        stored = self._stored(table)
         if self.backend is Backend.PARQUET_VERSIONED:
-            return versions.current_view(stored, self.key(table), self.tombstone)
-        return stored
+            return versions.current_view(self._head(table), self.key(table), self.tombstone)
+        return self._stored(table)
+
+    def _head(self, table: str, entry: dict | None = None) -> DataFrame:
+        """Rows of a versioned table that can be the newest of their key: those of the
+        snapshot and of the parts after it. Without a snapshot, all."""
+        entry = entry or self._latest(table)
+        if entry is None or not entry.get("snapshot") or not self.key(table):
+            return self._stored(table)
+        parts = [entry["snapshot"], *entry["after"]]
+        return self._read_parts(table, entry, self._paths(table, entry, parts))
 
     def read_table_column(self, table: str, column: str) -> DataFrame:
         return self.read_table(table).select(named(column))
@@ -262,10 +301,22 @@ class TableStore:
         return self.read_table_column(table, key)
 
     def read_as_of(self, table: str, moment: str) -> DataFrame:
+        """The table as it was at ``moment``. The log tells which parts were there;
+        of a compacted part the rows that were valid then are read."""
         self._need_versions()
-        return versions.as_of(
-            self._stored(table), self.key(table), moment, self.tombstone
-        )
+        entry = self._latest(table)
+        if entry is None or len(entry.get("times", {})) < len(entry["parts"]) - bool(entry.get("closed")):
+            return versions.as_of(self._stored(table), self.key(table), moment, self.tombstone)
+        closed = entry.get("closed")
+        parts = [p for p in entry["parts"] if p != closed and entry["times"][p] <= moment]
+        rows = self._read_parts(table, entry, self._paths(table, entry, parts))
+        if closed:
+            old = self._read_parts(table, entry, self._paths(table, entry, [closed]), f"{_FROM} {_TO}")
+            valid = F.col(_FROM) <= moment
+            if self.tombstone == "hide":  # else a deleted row lets the one before it through
+                valid = valid & (F.col(_TO).isNull() | (F.col(_TO) > moment))
+            rows = old.filter(valid).drop(_FROM, _TO).unionByName(rows)
+        return versions.current_view(rows, self.key(table), self.tombstone)
 
     def version_history(self, table: str, columns: Sequence[str] | None = None):
         self._need_versions()
@@ -375,7 +426,7 @@ class TableStore:
             return None
         if merged is None and entry is None:
             return None
-        parts, rows, layout, *without = merged or (entry["parts"], 0, layout)
+        parts, rows, layout, *laid = merged or (entry["parts"], 0, layout)
         if (
             backup is BackupPolicy.TIMESTAMPED_COPIES
             and backup_when == "before"
@@ -395,16 +446,35 @@ class TableStore:
             "layout": layout.json(),
             "rows": rows,
             "batches": batches,
-            "without": without[0] if without else (entry or {}).get("without", {}),
+            **{k: entry[k] for k in ("buckets", "live", "cut", "snapshot", "closed") if entry and k in entry},
+            **(laid[0] if laid else {}),
         }
+        self._note_parts(new_entry, entry)
         self._publish(table, new_entry, tag)
         staged = f"part-{number:012d}-batch-{tag}"
         if staged not in parts:  # its rows went into other parts
             files.delete(self.spark, f"{self._folder(table)}/{staged}")
         if backup is BackupPolicy.TIMESTAMPED_COPIES and backup_when == "after":
             self._copy(table, new_entry, commit_time)
+        if len(new_entry.get("after", ())) >= self.snapshot_every:
+            try:
+                self.snapshot(table)
+            except CommitConflict:  # the next commit makes it
+                pass
         return new_entry
 
+    def _note_parts(self, new_entry: dict, entry: dict | None) -> None:
+        """When the parts of a versioned table were committed, and which came after its
+        snapshot. A part's rows share one commit."""
+        if self.backend is not Backend.PARQUET_VERSIONED:
+            return
+        times = (entry or {}).get("times", {})
+        old = set((entry or {}).get("parts", ()))
+        came = [p for p in new_entry["parts"] if p not in old]
+        new_entry["times"] = {p: times[p] for p in new_entry["parts"] if p in times}
+        new_entry["times"] |= {p: new_entry["last_updated"] for p in came}
+        new_entry["after"] = [*(entry or {}).get("after", ()), *came]
+
     def _prepare(self, table, batch, keys, entry, order_by, on_error, policy):
         """Cast and pad the batch; returns the table's layout and the batch."""
         schema = self.schema(table)
@@ -447,15 +517,26 @@ class TableStore:
         ]
         return T.StructType([*old.fields, *added]), full
 
-    def _write(self, df: DataFrame, table: str, number: int, kind: str, tag: str):
+    def _write(self, df: DataFrame, table: str, number: int, kind: str, tag: str, buckets: Column | None = None, n: int = 1):
+        """Write a part; with ``buckets`` into a folder for each of ``n`` of them."""
         part = f"part-{number:012d}-{kind}-{tag}"
-        df.write.parquet(f"{self._folder(table)}/{part}")
+        path = f"{self._folder(table)}/{part}"
+        if n > 1:
+            bucketed = df.withColumn(_BUCKET, buckets).repartition(n, _BUCKET)
+            bucketed.write.partitionBy(_BUCKET).parquet(path)
+        else:
+            df.write.parquet(path)
         return part
 
+    def _buckets_of(self, table: str, part: str) -> list[int]:
+        """The buckets that a part has rows in."""
+        names = files.names(self.spark, f"{self._folder(table)}/{part}")
+        return sorted(int(n.partition("=")[2]) for n in names if n.startswith(_BUCKET + "="))
+
     def _rows(self, table: str, parts: Sequence[str], layout: T.StructType) -> int:
         """Row count from Parquet footers."""
         paths = [f"{self._folder(table)}/{p}" for p in parts]
-        return self.spark.read.schema(layout).parquet(*paths).count()
+        return self.spark.read.schema(layout).option("recursiveFileLookup", True).parquet(*paths).count()
 
     def _merge(self, table, batch, layout, keys, entry, policy, commit_time, number, tag):
         """Write what the commit adds; returns (parts, rows added, layout)."""
@@ -490,76 +571,69 @@ class TableStore:
         batch = self.spark.read.schema(batch.schema).parquet(
             f"{self._folder(table)}/{staged}"
         )
-        old = self._read_parts(table, entry)
-
         if versioned:
             rule = (
                 versions.append_versions
                 if policy is WritePolicy.APPEND
                 else versions.upsert_versions
             )
-            added = rule(old, batch, keys, commit_time)
+            added = rule(self._head(table, entry), batch, keys, commit_time)
             return self._add_rows(table, added, layout, entry, number, tag)
-        if policy is WritePolicy.APPEND:
-            null_safe = self.backend is not Backend.SQL
-            added = merge.unseen(batch, old, keys, null_safe)
-            return self._add_rows(table, added, layout, entry, number, tag)
-        return self._upsert(
-            table, batch, staged, n_batch, layout, keys, entry, old, number, tag
-        )
+        return self._merge_buckets(table, batch, n_batch, layout, keys, entry, policy, number, tag)
 
     def _add_rows(self, table, added, layout, entry, number, tag):
         part = self._write(added, table, number, "new", tag)
         rows = self._rows(table, [part], added.schema)
         return ([*entry["parts"], part], rows, layout) if rows else None
 
-    def _upsert(self, table, batch, staged, n_batch, layout, keys, entry, old, number, tag):
-        sql = self.backend is Backend.SQL
-        # Which files hold a key of the batch? Only key columns are scanned, and
-        # the answer is at most one row per file (metadata-sized).
-        hits = merge.with_keys(
-            old.select(
-                *[named(k) for k in keys],
-                F.regexp_extract(
-                    F.input_file_name(), r"/(part-[^/]+/[^/]+)$", 1
-                ).alias("__file"),
-            ),
-            batch,
-            keys,
-            null_safe=not sql,
-        )
-        touched = [r[0] for r in hits.select("__file").distinct().collect()]
-        parts = list(entry["parts"])
-        without = {p: list(f) for p, f in entry.get("without", {}).items()}
-        if touched:
-            folder = self._folder(table)
-            target = self._read_parts(table, entry, [f"{folder}/{t}" for t in touched])
-            if sql:
-                rest = merge.overlay_columns(target, batch, keys)
-            else:
-                rest = merge.without_keys(target, batch, keys)
-            for t in touched:
-                part, _, name = t.partition("/")
-                without.setdefault(part, []).append(name)
-            for part in {t.partition("/")[0] for t in touched}:
-                if self._is_used_up(f"{folder}/{part}", without[part], target.schema):
-                    parts.remove(part)
-                    del without[part]
-            parts.append(self._write(rest, table, number, "kept", tag))
+    def _wanted_buckets(self, table: str, entry: dict) -> int:
+        """Buckets for a table of this size. They change when those it has have grown
+        fourfold, and never get fewer."""
+        size = sum(files.size(self.spark, p) for p in self._paths(table, entry))
+        wanted, now = -(-size // self.bucket_bytes), entry.get("buckets", 1)
+        return wanted if wanted > (4 * now if now > 1 else 1) else now
+
+    def _merge_buckets(self, table, batch, n_batch, layout, keys, entry, policy, number, tag):
+        """Merge a batch into the buckets that its keys fall into.
+
+        A table without buckets is one bucket. When the number of buckets changes,
+        an upsert rewrites the whole table; at most one row a bucket is collected."""
+        sql, append = self.backend is Backend.SQL, policy is WritePolicy.APPEND
+        now = entry.get("buckets", 1)
+        n = now if append else self._wanted_buckets(table, entry)
+        bucket = F.pmod(F.hash(*[named(k) for k in keys]), F.lit(n))
+        touched = None
+        if n > 1 and n == now:
+            touched = sorted(r[0] for r in batch.select(bucket).distinct().collect())
+        target = self._read_parts(table, entry, self._paths(table, entry, buckets=touched))
+        if append:
+            added = merge.unseen(batch, target, keys, null_safe=not sql)
+            part = self._write(added, table, number, "new", tag, bucket, n)
+            rows = self._rows(table, [part], added.schema)
+            if not rows:
+                return None
+            live = {**entry.get("live", {}), part: self._buckets_of(table, part)} if n > 1 else {}
+            return [*entry["parts"], part], rows, layout, {"live": live}
         if sql:
-            fresh = merge.unseen(batch, old, keys, null_safe=False)
-            parts.append(self._write(fresh, table, number, "new", tag))
+            rest = merge.overlay_columns(target, batch, keys)
+            fresh = merge.unseen(batch, target, keys, null_safe=False)
         else:
-            parts.append(staged)
-        return parts, n_batch, layout, without
-
-    def _is_used_up(self, folder: str, gone: Sequence[str], layout: T.StructType) -> bool:
-        """Whether no rows are left in a part. Spark may have written its first
-        file without rows, which no key can ever touch."""
-        left = sorted(set(_data_files(self.spark, folder)) - set(gone))
-        if len(left) == 1:
-            return self.spark.read.schema(layout).parquet(f"{folder}/{left[0]}").isEmpty()
-        return not left
+            rest, fresh = merge.without_keys(target, batch, keys), batch
+        whole = rest.unionByName(fresh, allowMissingColumns=True)
+        part = self._write(whole, table, number, "merged", tag, bucket, n)
+        if touched is None:
+            live = {part: self._buckets_of(table, part)} if n > 1 else {}
+            return [part], n_batch, layout, {"buckets": n, "live": live, "cut": []}
+        live, cut = {}, set(entry.get("cut", ()))
+        for old, held in entry["live"].items():
+            left = [b for b in held if b not in set(touched)]
+            if left:
+                live[old] = left
+            if left and left != held:
+                cut.add(old)
+        live[part] = self._buckets_of(table, part)
+        parts = [p for p in [*entry["parts"], part] if p in live]
+        return parts, n_batch, layout, {"live": live, "cut": [p for p in parts if p in cut]}
 
     def delete_keys(
         self, table: str, doomed: DataFrame, commit_time: str | None = None
@@ -575,7 +649,7 @@ class TableStore:
         commit_time = commit_time or datetime.now().isoformat(timespec="seconds")
         number, tag = entry["version"] + 1, uuid.uuid4().hex[:12]
         layout = T.StructType.fromJson(json.loads(entry["layout"]))
-        rows = versions.tombstones(self._stored(table), doomed, keys, commit_time)
+        rows = versions.tombstones(self._head(table, entry), doomed, keys, commit_time)
         added = self._add_rows(table, rows, layout, entry, number, tag)
         if added is None:
             return None
@@ -587,6 +661,7 @@ class TableStore:
             "parts": added[0],
             "rows": added[1],
         }
+        self._note_parts(new_entry, entry)
         self._publish(table, new_entry, tag)
         return new_entry
 
@@ -602,24 +677,71 @@ class TableStore:
         folder = f"{self.root}/backup/{table}"
         return [f"{folder}/{n}" for n in files.names(self.spark, folder)]
 
+    def snapshot(self, table: str) -> dict | None:
+        """Write the newest row of each key of a versioned table aside, and the newest
+        live one where that is another. Made from the snapshot before it and the parts
+        since. None when the table has no key or nothing new."""
+        self._need_versions()
+        entry, keys = self._latest(table), key_list(self.key(table))
+        if entry is None or not keys or (entry.get("snapshot") and not entry["after"]):
+            return None
+        number, tag = entry["version"] + 1, uuid.uuid4().hex[:12]
+        rows = versions.newest(self._head(table, entry), keys)
+        part = self._write(rows, table, number, "snapshot", tag)
+        new_entry = {**entry, "version": number, "policy": "snapshot", "rows": 0, "snapshot": part, "after": []}
+        self._publish(table, new_entry, tag)
+        return new_entry
+
     def compact(self, table: str) -> dict | None:
-        """Rewrite many small parts, as left by a stream, into one."""
+        """Rewrite many small parts, as left by a stream, into one. A keyed table gets
+        as many buckets as it needs; rows of a versioned table get the interval in
+        which they were valid, and a snapshot is made."""
         entry = self._latest(table)
         if entry is None or len(self._paths(table, entry)) < 2:
             return None
+        keys, n, changes = key_list(self.key(table)), 1, {}
         number, tag = entry["version"] + 1, uuid.uuid4().hex[:12]
-        part = self._write(self._read_parts(table, entry), table, number, "compact", tag)
+        rows, bucket = self._read_parts(table, entry), None
+        if self.backend is Backend.PARQUET_VERSIONED:
+            if keys and len(entry.get("times", {})) == len(entry["parts"]) - bool(entry.get("closed")):
+                rows = versions.closed(self._dated(table, entry), keys, _FROM, _TO)
+                changes["closed"] = f"part-{number:012d}-compact-{tag}"
+        elif keys:
+            n = self._wanted_buckets(table, entry)
+            bucket = F.pmod(F.hash(*[named(k) for k in keys]), F.lit(n))
+        part = self._write(rows, table, number, "compact", tag, bucket, n)
+        live = {part: self._buckets_of(table, part)} if n > 1 else {}
         new_entry = {
             **entry,
             "version": number,
             "policy": "compact",
             "parts": [part],
-            "without": {},
             "rows": 0,
+            **({"buckets": n, "live": live, "cut": []} if bucket is not None else {}),
+            **changes,
         }
+        if changes:
+            new_entry |= {"times": {}, "snapshot": entry.get("snapshot"), "after": []}
+            newest = versions.newest(self._head(table, entry), keys)
+            new_entry["snapshot"] = self._write(newest, table, number, "snapshot", tag)
         self._publish(table, new_entry, tag)
         return new_entry
 
+    def _dated(self, table: str, entry: dict) -> DataFrame:
+        """All versions with the time of their commit: by row in a compacted part, by
+        the log for every other."""
+        closed = entry.get("closed")
+        later = [p for p in entry["parts"] if p != closed]
+        times = self.spark.createDataFrame([(p, entry["times"][p]) for p in later], "__part string, __time string")
+        rows = self._read_parts(table, entry, self._paths(table, entry, later))
+        part = F.regexp_extract(F.input_file_name(), r"/(part-[^/]+)/[^/]+$", 1)
+        dated = rows.withColumn("__in", part).join(times, F.col("__in") == F.col("__part"))
+        dated = dated.withColumn(_FROM, F.col("__time")).drop("__in", "__part", "__time")
+        if closed:
+            old = self._read_parts(table, entry, self._paths(table, entry, [closed]), _FROM)
+            dated = old.unionByName(dated)
+        return dated
+
     def drop_unused_parts(self, table: str) -> list[str]:
         """Delete part folders the newest commit no longer names.
 
@@ -627,7 +749,7 @@ class TableStore:
         would lose them.
         """
         entry = self._latest(table)
-        used = set(entry["parts"]) if entry else set()
+        used = {*entry["parts"], entry.get("snapshot")} if entry else set()
         folder = self._folder(table)
         unused = [
             n

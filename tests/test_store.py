@@ -1,7 +1,11 @@
+import json
+import random
+
 import pytest
 from conftest import rows
 
 from millrace import Backend, BackupPolicy, TableStore, WritePolicy
+from millrace.operators.versions import as_of
 from millrace.sources import files
 from millrace.sources.store import CommitConflict
 
@@ -224,42 +228,165 @@ def test_sql_upsert_leaves_other_columns(make, spark):
     assert rows(store.read_table("clinics")) == sorted([*BASE, (9, None)], key=repr)
 
 
-def test_upsert_rewrites_only_parts_with_matching_keys(make, spark):
-    store = make()
-    first = store.commit_table("clinics", frame(spark, BASE))["parts"]
-    second = store.commit_table("clinics", frame(spark, [(4, 40)]))["parts"]
-    third = store.commit_table("clinics", frame(spark, [(4, 55)]))["parts"]
-    assert first[0] in second and first[0] in third
-    assert second[1] not in third
-    assert rows(store.read_table("clinics")) == [*BASE, (4, 55)]
-    removed = store.drop_unused_parts("clinics")
-    assert second[1] in removed
-    assert rows(store.read_table("clinics")) == [*BASE, (4, 55)]
-
-
 @pytest.mark.parametrize("backend", [Backend.PARQUET, Backend.SQL])
-def test_upsert_rewrites_only_files_with_matching_keys(make, spark, backend):
-    store = make(backend)
-    # The first part has one file per quarter of the keys.
+def test_commits_touch_only_buckets_of_their_keys(make, spark, backend):
+    store = make(backend, bucket_bytes=300)
     base = spark.range(100, numPartitions=4).selectExpr("id AS site", "id AS beds")
-    if backend is Backend.SQL:
-        store.backend = Backend.PARQUET
-    part = store.commit_table("clinics", base)["parts"][0]
-    store.backend = backend
+    store.commit_table("clinics", base)
     want = {i: i for i in range(100)}
-    for round_no, keys in enumerate([[3, 5, 200], [4, 80, 200], [99]]):
+    first = store.commit_table("clinics", frame(spark, [(0, -1)]))  # too large for one bucket now
+    want[0] = -1
+    n = first["buckets"]
+    assert n > 2 and sorted(first["live"][first["parts"][0]]) == list(range(n))
+    for round_no, keys in enumerate([[3, 200], [4, 80, 200], [99]]):
         batch = [(k, -k - round_no) for k in keys]
         entry = store.commit_table("clinics", frame(spark, batch))
         want.update(batch)
+        touched = {r[0] for r in frame(spark, batch).selectExpr(f"pmod(hash(site), {n})").collect()}
+        new = entry["parts"][-1]
+        assert set(entry["live"][new]) == touched and len(touched) < n
+        assert all(not touched & set(b) for p, b in entry["live"].items() if p != new)
         assert rows(store.read_table("clinics")) == sorted(want.items(), key=repr)
-        assert part in entry["parts"]
-    # Keys of the first and the last quarter were updated.
-    assert len(entry["without"][part]) == 2
+    assert first["parts"][0] in entry["parts"] and entry["cut"][0] == first["parts"][0]
+    appended = store.commit_table("clinics", frame(spark, [(3, 7), (300, 7), (301, 7)]), WritePolicy.APPEND)
+    want.update({300: 7, 301: 7})
+    assert appended["rows"] == 2 and rows(store.read_table("clinics")) == sorted(want.items(), key=repr)
+    store.drop_unused_parts("clinics")
+    everything = spark.createDataFrame([(k, 1) for k in want], "site long, beds long")
+    assert len(store.commit_table("clinics", everything)["parts"]) == 1
+    assert rows(store.read_table("clinics")) == sorted(((k, 1) for k in want), key=repr)
+    store.commit_table("clinics", frame(spark, [(5, 5)]))
+    compacted = store.compact("clinics")
+    assert len(compacted["parts"]) == 1 and compacted["cut"] == []
+    assert rows(store.read_table("clinics")) == sorted(((k, 5 if k == 5 else 1) for k in want), key=repr)
+
+
+def test_missing_and_repeated_keys_in_buckets(make, spark):
+    store = make(bucket_bytes=200)
+    store.commit_table("clinics", spark.range(60).selectExpr("id AS site", "id AS beds").union(frame(spark, [(None, 1)])))
+    store.commit_table("clinics", frame(spark, [(None, 2), (7, 70), (7, 71)]))
+    assert store.commit_table("clinics", frame(spark, [(None, 3)]))["buckets"] > 1
+    got = rows(store.read_table("clinics"))
+    assert [r for r in got if r[0] in (None, 7)] == [(7, 70), (7, 71), (None, 3)] and len(got) == 62
+    store.commit_table("clinics", frame(spark, [(7, 1), (None, 9)]), WritePolicy.APPEND)
+    assert rows(store.read_table("clinics")) == got
+
+
+def test_a_log_entry_is_as_long_for_many_files_as_for_few(make, spark):
+    sizes = {}
+    for n_files in (2, 40):
+        store = make(bucket_bytes=1500)
+        store.root += f"/{n_files}"
+        store.put_schema("clinics", TABLE)
+        store.commit_table("clinics", spark.range(0, 4000, 1, n_files).selectExpr("id AS site", "id % 9 AS beds"))
+        store.bucket_bytes = files.size(spark, f"{store.root}/data/clinics") // 5
+        for k in range(3):
+            entry = store.commit_table("clinics", frame(spark, [(k, -1)]))
+        sizes[n_files] = len(str({k: v for k, v in entry.items() if k != "live"})), entry["buckets"]
+        assert sum(map(len, entry["live"].values())) <= entry["buckets"]
+    assert sizes[2][0] == sizes[40][0]
+
+
+def test_the_newest_entry_is_found_without_listing_the_log(make, spark, monkeypatch):
+    store = make()
+    entry = store.commit_table("clinics", frame(spark, BASE))
+    log = f"{store.root}/data/clinics/_log"
+    for version in range(2, 10_001):  # as ten thousand commits would leave it
+        with open(f"{log}/{version:012d}.json", "w") as out:
+            out.write(json.dumps({**entry, "version": version}))
+    files.write_text(spark, f"{log}/_newest", "9998")
+    real, reads = files.read_text, []
+    monkeypatch.setattr(files, "read_text", lambda s, path: reads.append(path) or real(s, path))
+    names = files.names
+    monkeypatch.setattr(files, "names", lambda s, path: 1 / 0 if path.endswith("_log") else names(s, path))
+    assert store.commit_table("clinics", frame(spark, BATCH))["version"] == 10_001
+    assert len([r for r in reads if "/_log/" in r]) <= 4
+    monkeypatch.setattr(files, "names", names)
+    files.write_text(spark, f"{log}/_newest", "")  # being written
+    assert store._latest("clinics")["version"] == 10_001
+
+
+def test_a_refused_attempt_leaves_no_parts(make, spark, monkeypatch):
+    store = make()
+    store.commit_table("clinics", frame(spark, BASE))
+    real, stale = store._latest, store._latest("clinics")
+    seen = iter([stale])
+    other = make()
+    other.commit_table("clinics", frame(spark, [(8, 8)]))
+    monkeypatch.setattr(store, "_latest", lambda t: next(seen, None) or real(t))
+    store.commit_table("clinics", frame(spark, BATCH))
+    assert rows(store.read_table("clinics")) == [(1, 71), (2, 55), (3, 18), (4, 90), (5, 33), (8, 8)]
+    kept = [n for n in files.names(spark, f"{store.root}/data/clinics") if n.startswith("part-")]
+    assert len(kept) == 3  # one a commit
+
+
+def history_of(store, spark, days=8):
+    """Inserts, changes, deletions and returns, a commit a day."""
+    rng = random.Random(5)
+    for day in range(days):
+        when = f"2024-01-{day + 1:02d}T00:00:00"
+        if day and day % 3 == 0:
+            store.delete_keys("clinics", frame(spark, [(k, 0) for k in rng.sample(range(12), 4)]), when)
+        else:
+            batch = [(rng.randrange(12), rng.randrange(4)) for _ in range(6)] + [(None, 9)] * (day == 0)
+            store.commit_table("clinics", frame(spark, batch), commit_time=when)
+
+
+def parts_read(df):
+    return {f.split("/part-")[1].split("/")[0] for f in df.inputFiles()}
+
+
+@pytest.mark.parametrize("tombstone", ["hide", "skip"])
+def test_current_view_reads_the_snapshot_and_later_parts(make, spark, tombstone):
+    store = make(Backend.PARQUET_VERSIONED, tombstone=tombstone, snapshot_every=3)
+    plain = make(Backend.PARQUET_VERSIONED, tombstone=tombstone, snapshot_every=10**6)
+    plain.root += "/plain"
+    plain.put_schema("clinics", TABLE)
+    for s in (store, plain):
+        history_of(s, spark)
+    entry = store._latest("clinics")
+    assert entry["snapshot"] and len(entry["after"]) < 3 and "snapshot" not in plain._latest("clinics")
+    # the same rows and versions, whether commits looked at the snapshot or at all history
+    assert rows(store.history("clinics")) == rows(plain.history("clinics"))
+    current = store.read_table("clinics")
+    assert rows(current) == rows(plain.read_table("clinics"))
+    read = parts_read(current)
+    assert read == {p[5:] for p in [entry["snapshot"], *entry["after"]]} and len(read) < len(entry["parts"])
     store.drop_unused_parts("clinics")
-    assert rows(store.read_table("clinics")) == sorted(want.items(), key=repr)
+    assert rows(store.read_table("clinics")) == rows(plain.read_table("clinics"))
+    assert store.snapshot("clinics")["after"] == [] and store.snapshot("clinics") is None
+    assert rows(store.read_table("clinics")) == rows(plain.read_table("clinics"))
+
+
+@pytest.mark.parametrize("tombstone", ["hide", "skip"])
+def test_as_of_reads_only_parts_up_to_the_moment(make, spark, tombstone):
+    store = make(Backend.PARQUET_VERSIONED, tombstone=tombstone, snapshot_every=4)
+    history_of(store, spark, 5)
+    moments = [f"2024-01-{d:02d}T00:00:00" for d in range(1, 10)] + ["2023-01-01", "2024-01-03T12:00:00"]
+
+    def check():
+        whole = store._stored("clinics")
+        for moment in moments:
+            got = store.read_as_of("clinics", moment)
+            assert rows(got) == rows(as_of(whole, "site", moment, tombstone))
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert "get_json_object" not in plan
+
+    check()
+    first = store.read_as_of("clinics", "2024-01-02T00:00:00")
+    assert len(parts_read(first)) == 2
+    before = rows(store.history("clinics"))
     compacted = store.compact("clinics")
-    assert compacted["without"] == {} and len(compacted["parts"]) == 1
-    assert rows(store.read_table("clinics")) == sorted(want.items(), key=repr)
+    assert len(compacted["parts"]) == 1 and rows(store.history("clinics")) == before
+    check()
+    for day in (6, 7):
+        store.commit_table("clinics", frame(spark, [(1, day), (2, 0)]), commit_time=f"2024-01-{day:02d}T00:00:00")
+    check()
+    assert parts_read(store.read_as_of("clinics", moments[5])) == {p[5:] for p in [compacted["parts"][0], store._latest("clinics")["parts"][1]]}
+    store.compact("clinics")  # intervals that were open are closed
+    store.drop_unused_parts("clinics")
+    check()
+    assert rows(store.read_table("clinics")) == rows(store.read_as_of("clinics", "2025"))
 
 
 def test_typed_storage(make, spark):
@@ -472,6 +599,7 @@ def test_compaction_keeps_the_table(make, spark, backend):
     store.commit_table("clinics", frame(spark, BASE))
     assert store.compact("clinics") is None
     store.commit_table("clinics", frame(spark, BATCH))
+    store.commit_table("clinics", frame(spark, [(8, 8)]), WritePolicy.APPEND)
     before = rows(store.read_table("clinics"))
     assert len(store.compact("clinics")["parts"]) == 1
     assert rows(store.read_table("clinics")) == before
