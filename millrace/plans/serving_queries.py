@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from millrace.operators import charts, reports
 from millrace.operators.asof import asof_join
 from millrace.operators.profile import common_values, data_dictionary
+from millrace.operators.ranges import range_join
 from millrace.operators.sql import sql_query
 from millrace.plans.registry import query
 from millrace.plans.relations import project, table
@@ -275,6 +276,20 @@ sql(
     "orders",
     "customer",
 )
+@query(
+    "range_join",
+    "SELECT o.o_orderkey, c.c_custkey FROM orders o JOIN customer c "
+    "ON o.o_totalprice BETWEEN c.c_acctbal * 40 AND c.c_acctbal * 40 + 20",
+)
+def range_of_prices(spark, sf):
+    """A join by a range alone: no key is equal."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    low = F.col("c_acctbal") * 40
+    customers = table(spark, sf, "customer").select("c_custkey", low.alias("low"), (low + 20).alias("high"))
+    met = range_join(orders, customers, ("o_totalprice", "o_totalprice"), ("low", "high"))
+    return met.select("o_orderkey", "c_custkey")
+
+
 sql(
     "sql_semi_anti",
     "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey "
