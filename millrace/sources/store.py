@@ -32,7 +32,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 from datetime import datetime
 from enum import Enum
 
@@ -203,14 +203,18 @@ class TableStore:
         try:
             files.publish_text(self.spark, path, json.dumps(entry), tag)
         except files.FileExists:
-            for part in files.names(self.spark, self._folder(table)):
-                if part.endswith(tag):  # written by this attempt, never seen
-                    files.delete(self.spark, f"{self._folder(table)}/{part}")
+            self._drop_attempt(table, tag)
             raise CommitConflict(
                 f"commit {entry['version']} of table '{table}' was taken by another writer"
             ) from None
         files.write_text(self.spark, f"{self._folder(table)}/_log/_newest", str(entry["version"]))
 
+    def _drop_attempt(self, table: str, tag: str, keep: Collection[str] = ()) -> None:
+        """Delete what an attempt to commit has written and no log entry names."""
+        for part in files.names(self.spark, self._folder(table)):
+            if part.endswith(tag) and part not in keep:
+                files.delete(self.spark, f"{self._folder(table)}/{part}")
+
     def catalog(self) -> DataFrame:
         """One row per table: name, version, last_updated. Read from the newest
         log entry of each table."""
@@ -422,9 +426,9 @@ class TableStore:
         merged = self._merge(
             table, prepared, layout, keys, entry, policy, commit_time, number, tag
         )
-        if merged is None and source is None:
-            return None
-        if merged is None and entry is None:
+        if merged is None:
+            self._drop_attempt(table, tag)
+        if merged is None and (source is None or entry is None):
             return None
         parts, rows, layout, *laid = merged or (entry["parts"], 0, layout)
         if (
@@ -451,9 +455,7 @@ class TableStore:
         }
         self._note_parts(new_entry, entry)
         self._publish(table, new_entry, tag)
-        staged = f"part-{number:012d}-batch-{tag}"
-        if staged not in parts:  # its rows went into other parts
-            files.delete(self.spark, f"{self._folder(table)}/{staged}")
+        self._drop_attempt(table, tag, parts)  # the batch, if its rows went into other parts
         if backup is BackupPolicy.TIMESTAMPED_COPIES and backup_when == "after":
             self._copy(table, new_entry, commit_time)
         if len(new_entry.get("after", ())) >= self.snapshot_every:

@@ -449,7 +449,8 @@ def test_racing_writers(make, spark):
 
     def slow(*args):
         merged = original(*args)
-        files.write_text(spark, entry, files.read_text(spark, entry.replace("2.json", "1.json")))
+        theirs = json.loads(files.read_text(spark, entry.replace("2.json", "1.json"))) | {"version": 2}
+        files.write_text(spark, entry, json.dumps(theirs))
         return merged
 
     store._merge = slow
