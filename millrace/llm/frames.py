@@ -77,6 +77,12 @@ def portions(texts: pa.Array, size: int = 4_000_000) -> Iterator[slice]:
         begin = end
 
 
+def own_copy(texts: pa.Array) -> pa.Array:
+    """The texts in buffers of their own: some of Arrow's text functions misread an
+    array that is a slice of another."""
+    return texts.take(pa.array(np.arange(len(texts))))
+
+
 # Archives by application; they are served as long as the interpreter lives.
 _shipped: dict[str, tempfile.TemporaryDirectory] = {}
 

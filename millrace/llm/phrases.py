@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.frames import column, portions, saved
+from millrace.llm.frames import column, own_copy, portions, saved
 
 #: What ends a piece; also the token that stands for it (no word can be one).
 _BREAKS, _BREAK = r"[.,;:!?\x0A-\x0D]+", "."
@@ -54,7 +54,7 @@ def parse(texts: pa.Array, overlap: int, one_in: int = _ONE_IN) -> tuple[np.ndar
     one trigger to the next, both included, so neighbours share ``overlap`` tokens and
     equal passages give equal chunks wherever they stand.
     """
-    plain = pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string()))
+    plain = pc.ascii_lower(pc.fill_null(own_copy(texts), "").cast(pa.large_string()))
     tokens, _, prints, lengths = _split(pc.replace_substring_regex(plain, _BREAKS, f" {_BREAK} "))
     ends = np.cumsum(lengths)
     begins, n = ends - lengths, len(tokens)
@@ -100,7 +100,7 @@ class _Phrases:
     def __init__(self, batch: pa.RecordBatch, overlap: int):
         langs = batch.column(0).dictionary_encode()
         self.langs = langs.dictionary
-        self.tokens, self.codes, self.words, lengths = _split(batch.column(1).cast(pa.large_string()))
+        self.tokens, self.codes, self.words, lengths = _split(own_copy(batch.column(1)).cast(pa.large_string()))
         last = batch.column(2).to_numpy(zero_copy_only=False)
         chunk, n = np.repeat(np.arange(len(batch)), lengths), len(self.tokens)
         self.lang = langs.indices.to_numpy().astype(np.int64)[chunk]

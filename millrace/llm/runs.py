@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.frames import column, packed, portions, unpacked
+from millrace.llm.frames import column, own_copy, packed, portions, unpacked
 
 _RUN = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())])
 _OUT = "struct<n_words: bigint, runs: array<struct<start: bigint, length: bigint, period: bigint>>, collapsed: string>"
@@ -117,7 +117,7 @@ def find_runs(
 
 def _report(texts: pa.Array, min_length: int, min_exponent: int) -> pa.StructArray:
     """Word counts, runs and collapsed texts of a portion of texts."""
-    split = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
+    split = pc.ascii_split_whitespace(pc.fill_null(own_copy(texts), "").cast(pa.large_string()))
     owner, flat = pc.list_parent_indices(split), pc.list_flatten(split)
     real = pc.not_equal(flat, "")  # white space at the ends gives empty words
     owner, flat = owner.filter(real).to_numpy(), flat.filter(real)

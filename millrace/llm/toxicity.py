@@ -12,7 +12,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.frames import column, packed, portions, saved, unpacked
+from millrace.llm.frames import column, own_copy, packed, portions, saved, unpacked
 
 #: Lengths of word beginnings that can be terms beside whole words.
 PREFIXES = (4, 5, 6, 7)
@@ -28,7 +28,7 @@ _NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Of all words of texts (A-Z lower-cased, parted by ASCII other than letters and
     digits): the text, the number of the word, and the distinct words by number."""
-    plain = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    plain = pc.ascii_lower(pc.fill_null(own_copy(texts).cast(pa.large_string()), ""))
     lists = pc.ascii_split_whitespace(pc.replace_substring_regex(plain, _NO_WORD, " "))
     owner, flat = pc.list_parent_indices(lists), pc.list_flatten(lists)
     real = pc.not_equal(flat, "")

@@ -79,6 +79,16 @@ def test_chunks_cover_texts_and_share_their_ends():
     assert len(chunks) > 100
 
 
+def test_slices_of_texts_are_read_like_whole_arrays():
+    rows = [t for *_, t in texts(random.Random(8), 90)]
+    _, chunks, last = parse(pa.array(rows)[40:], overlap=4, one_in=3)
+    _, wanted, its_last = parse(pa.array(rows[40:]), overlap=4, one_in=3)
+    assert chunks.to_pylist() == wanted.to_pylist() and last.tolist() == its_last.tolist()
+    table = pa.record_batch([pa.array(["en"] * len(chunks)), chunks, pa.array(last), pa.array(np.ones(len(chunks), np.int64))], ["l", "c", "e", "u"])
+    part, whole = phrases._Phrases(table.slice(50), 4), phrases._Phrases(table, 4)
+    assert part.tokens.to_pylist() == whole.tokens.to_pylist()[-len(part.tokens) :]
+
+
 def test_equal_passages_give_equal_chunks():
     rng = random.Random(2)
     passage = " ".join(str(rng.randint(0, 999)) for _ in range(2000))

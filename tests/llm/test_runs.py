@@ -3,13 +3,14 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import clashing, docs, plain
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from millrace.llm.queries import planted_runs, run_report
-from millrace.llm.runs import bands, find_runs, periodic_runs
+from millrace.llm.runs import _report, bands, find_runs, periodic_runs
 
 
 def brute(words, min_length=6, min_exponent=4):
@@ -114,6 +115,13 @@ def test_operator(spark):
         periodic_runs(docs(spark, rows), min_exponent=2)
 
 
+def test_slices_of_texts_are_read_like_whole_arrays():
+    texts = [" ".join(["é", "à", "日本"] * (i % 9)) + " ça" * (i % 3) for i in range(200)] + [None]
+    whole, part = _report(pa.array(texts), 6, 4), _report(pa.array(texts)[77:], 6, 4)
+    assert part.to_pylist() == whole.to_pylist()[77:]
+    assert [tuple(r.values()) for r in part[3].as_py()["runs"]] == brute((texts[80]).split())
+
+
 def test_empty_table(spark):
     assert periodic_runs(docs(spark, [])).count() == 0
 

@@ -42,6 +42,14 @@ def test_block_max_search_is_exact():
     assert index.opened < index.seen
 
 
+def test_words_of_a_slice_are_those_of_its_texts():
+    texts = ["é à Ça", None, "日本 x_Y\x7fz", "", "ÀB c"] * 40
+    owner, code, words = toxicity._words(pa.array(texts)[63:])
+    got = [(int(o), words[int(c)].as_py()) for o, c in zip(owner, code)]
+    low = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+    assert got == [(i, w) for i, t in enumerate(texts[63:]) for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t))]
+
+
 def brute(voter, examples, text):
     """Score of one text by all cosines over whole vectors, in plain Python."""
     def words(t):
