@@ -129,7 +129,7 @@ class BlockMaxIndex:
                     break
                 self.opened += 1
                 dots = self.matrix[b * self.width : (b + 1) * self.width] @ query[q] + part[q, b]
-                hit = np.flatnonzero(dots > (scores[-1] - 1e-6 if len(scores) == k else 0))
+                hit = np.flatnonzero(dots > (max(0.0, scores[-1] - 1e-6) if len(scores) == k else 0.0))
                 if len(hit):
                     found = np.concatenate((found, self.order[b * self.width + hit]))
                     scores = np.concatenate((scores, dots[hit]))

@@ -40,6 +40,9 @@ def test_block_max_search_is_exact():
         best = best[exact[best] > 0]
         assert np.allclose(scores, exact[best], atol=1e-5) and found.tolist() == best.tolist()
     assert index.opened < index.seen
+    faint = toxicity.BlockMaxIndex(20, np.arange(20), np.zeros(20, int), np.full(20, 1e-8), 1, width=16)
+    found, _ = next(faint.search(1, np.zeros(1, int), np.zeros(1, int), np.ones(1), 4))
+    assert set(found.tolist()) <= set(range(20)) and len(found) == 4  # never the filling of the last block
 
 
 def test_words_of_a_slice_are_those_of_its_texts():
