@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -70,6 +71,29 @@ def _written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Values that a frequent-items summary can track.
+_MOST_TRACKED = 1_000_000
+
+
+def _candidates(df: DataFrame, fields: Sequence[T.StructField], tracked: int) -> DataFrame:
+    """(field, digest) of all values that can fill 8 / ``tracked`` of the rows.
+
+    One mergeable frequent-items summary a column, so that a task sends its summaries
+    and no values. A count in it is too high by 3.5 / ``tracked`` of the rows at most
+    and never too low: the values wanted are among the first ``tracked`` / 4."""
+    texts = df.select(*[_as_text(f).alias(f.name) for f in fields])
+    short = lambda c: F.when(F.octet_length(c) > _SHORT, F.sha2(c, 256)).otherwise(c)
+    first = lambda c: F.call_function("approx_top_k", short(c), F.lit(tracked // 4), F.lit(tracked))
+    tops = texts.agg(*[first(named(f.name)).alias(f"__{i}") for i, f in enumerate(fields)])
+
+    def named_items(i: int, f: T.StructField) -> Column:
+        return F.transform(F.col(f"__{i}"), lambda t: F.struct(F.lit(f.name).alias("field"), t["item"].alias("digest")))
+
+    each = [named_items(i, f) for i, f in enumerate(fields)]
+    found = tops.select(F.explode(F.concat(*each)).alias("c")).select("c.field", "c.digest")
+    return found.filter(F.col("digest").isNotNull())
+
+
 def common_values(
     df: DataFrame,
     columns: Sequence[str] | None = None,
@@ -80,29 +104,29 @@ def common_values(
     """Frequent values: (field, val, n), those filling at least ``min_share``
     of the rows, at most the first ``k`` of a column (ties by value).
 
-    Values are counted once (``counts`` brings counts that exist already); the
-    frequent ones are written, so that the lookup of long texts reads them and
-    Catalyst knows their size when it picks that join."""
+    Two scans: summaries of the columns give the values that can be frequent, a few
+    for each column, and only these are counted, exactly. Where ``min_share`` asks for
+    more values than a summary tracks, or ``counts`` brings counts that exist already,
+    all values count."""
     fields = _fields(df, columns)
     total = df.agg(F.count(F.lit(1)).alias("total")).scalar()
-    counts = value_counts(df, columns) if counts is None else counts
-    frequent = _written(counts.filter(F.col("n") >= F.lit(min_share) * total))
-    out = frequent.filter(~F.col("long")).select("field", F.col("digest").alias("val"), "n")
-    wide = [f for f in fields if _is_nested(f) or isinstance(f.dataType, T.StringType)]
-    if wide:
-        digests = frequent.filter("long").select(
-            F.col("field").alias("__field"), F.col("digest").alias("__digest"), "n"
-        )
-        cells = _melt(df, wide).filter(_is_long())
-        texts = (
-            cells.join(
-                digests,
-                (F.col("field") == F.col("__field")) & (_digest() == F.col("__digest")),
-            )
-            .groupBy("field", "__digest")
-            .agg(F.min("text").alias("val"), F.min("n").alias("n"))
-        )
-        out = out.unionByName(texts.select("field", "val", "n"))
+    tracked = max(64, math.ceil(8 / min_share)) if min_share > 0 else _MOST_TRACKED + 1
+    if not fields:
+        candidates = value_counts(df, columns)
+    elif counts is not None:
+        candidates = _written(counts.filter(F.col("n") >= F.lit(min_share) * total))
+    elif tracked > _MOST_TRACKED:
+        candidates = _written(value_counts(df, columns).filter(F.col("n") >= F.lit(min_share) * total))
+    else:
+        candidates = F.broadcast(_written(_candidates(df, fields, tracked)))  # tracked / 4 rows a column at most
+    candidates = candidates.select(F.col("field").alias("__field"), F.col("digest").alias("__digest"))
+    cells = _melt(df, fields)
+    found = (
+        cells.join(candidates, (F.col("field") == F.col("__field")) & (_digest() == F.col("__digest")))
+        .groupBy("field", "__digest")
+        .agg(F.min("text").alias("val"), F.count(F.lit(1)).alias("n"))
+    )
+    out = found.filter(F.col("n") >= F.lit(min_share) * total).select("field", "val", "n")
     if k is not None:
         order = W.partitionBy("field").orderBy(F.desc("n"), "val")
         out = (

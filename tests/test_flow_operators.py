@@ -1,6 +1,7 @@
 """Mapping, review, staging, profile, chart, report, SQL and as-of operators."""
 
 import random
+from collections import Counter
 
 import pytest
 from conftest import rows
@@ -221,6 +222,29 @@ def test_dictionary(spark):
     assert (out["a"].lo, out["a"].hi, out["e"].lo) == ("1", "3", None)
 
 
+def test_frequent_values_are_found_without_counting_all(spark, monkeypatch):
+    from millrace.operators import profile
+
+    rng = random.Random(2)
+    long = "a text of more than forty-eight bytes, found in many of the rows "
+    data = []
+    for i in range(4000):
+        a = rng.choice(["hot"] * 6 + [None, f"v{i}", f"v{rng.randrange(19)}", str(rng.randrange(9))])
+        data.append((i, a, long + str(rng.randrange(25) if i % 2 else i), rng.choice([0.5, float(i)]), [i % 3, 1]))
+    df = spark.createDataFrame(data, "id long, `a b` string, t string, d double, l array<long>").repartition(7)
+    texts = {
+        "id": [str(r[0]) for r in data], "a b": [r[1] for r in data], "t": [r[2] for r in data],
+        "d": [str(r[3]) for r in data], "l": [f"[{r[4][0]},1]" for r in data],
+    }
+    monkeypatch.setattr(profile, "value_counts", lambda *a: 1 / 0)
+    for share in (0.05, 0.01, 0.3):
+        wanted = {(f, v, n) for f, vs in texts.items() for v, n in Counter(vs).items() if v is not None and n >= share * 4000}
+        assert set(map(tuple, common_values(df, min_share=share).collect())) == wanted and len(wanted) > 2
+    assert common_values(df.limit(0)).count() == 0
+    monkeypatch.undo()
+    assert common_values(df, ["a b"], min_share=1e-7).count() == len(set(texts["a b"])) - 1  # every value
+
+
 def test_common_values_are_limited_per_column(spark):
     df = spark.createDataFrame([(v,) for v in "aabbbcd"], "x string")
     found = common_values(df, min_share=0.0, k=3)
