@@ -20,7 +20,7 @@ PREFIXES = (4, 5, 6, 7)
 #: between the classes is above NOISE.
 BASE, NOISE, SCALE = 0.01, 8.0, 10.0
 #: Terms in so large a part of the examples are held as columns, others as postings.
-_COMMON = 0.02
+_COMMON = 0.1
 RESULT = "struct<score: double, evidence: array<struct<example: string, toxic: double, cosine: double>>, terms: array<string>>"
 _NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -78,8 +78,9 @@ class BlockMaxIndex:
     many vectors hold are columns of a matrix, with their largest value in each block;
     the others are postings. For a batch of queries, the largest values give a bound
     for each block in one product, to which the postings' exact sums are added. Blocks
-    are opened from the highest bound on until it falls below the k-th best score, so
-    nothing that could matter stays closed. Products are single precision.
+    are taken from the highest bound on, and opened for those queries whose k-th best
+    score is below their bound, so nothing that could matter stays closed. Products are
+    single precision; scores count to five digits, and equal ones go by number.
     """
 
     def __init__(self, n: int, owner: np.ndarray, term: np.ndarray, weight: np.ndarray, n_terms: int, width: int = 64):
@@ -120,22 +121,28 @@ class BlockMaxIndex:
         part = np.bincount(cells, np.repeat(weight, count) * self.values[index], n * size).astype(np.float32)
         part = part.reshape(n, self.n_blocks, self.width)
         bounds = query @ self.peaks + part.max(axis=2)
-        ranks = np.argsort(-bounds, axis=1, kind="stable")
         self.seen += n * self.n_blocks
+        # per query the best so far; score and number in one whole number to sort by
+        total = len(self.order) + 1
+        best = np.zeros((n, k), np.int64)
+        exact = np.zeros((n, k), np.float32)
+        for b in np.argsort(-bounds.max(axis=0), kind="stable").tolist():
+            own = self.order[b * self.width : (b + 1) * self.width]
+            open_ = np.flatnonzero((bounds[:, b] > 0) & (bounds[:, b] + 2e-5 >= exact[:, -1]))
+            if not len(open_):
+                continue
+            self.opened += len(open_)
+            dots = query[open_] @ self.matrix[b * self.width : b * self.width + len(own)].T + part[open_, b, : len(own)]
+            rank = np.round(dots * 1e5).astype(np.int64) * total + (total - 1 - own)
+            rank[dots <= 0] = 0
+            rank = np.concatenate((best[open_], rank), axis=1)
+            dots = np.concatenate((exact[open_], dots), axis=1)
+            top = np.argsort(-rank, axis=1, kind="stable")[:, :k]
+            best[open_] = np.take_along_axis(rank, top, axis=1)
+            exact[open_] = np.where(best[open_] > 0, np.take_along_axis(dots, top, axis=1), 0)
         for q in range(n):
-            found, scores = np.empty(0, np.int64), np.empty(0, np.float32)
-            for b in ranks[q].tolist():
-                if bounds[q, b] <= 0 or len(scores) == k and bounds[q, b] + 1e-6 < scores[-1]:
-                    break
-                self.opened += 1
-                dots = self.matrix[b * self.width : (b + 1) * self.width] @ query[q] + part[q, b]
-                hit = np.flatnonzero(dots > (max(0.0, scores[-1] - 1e-6) if len(scores) == k else 0.0))
-                if len(hit):
-                    found = np.concatenate((found, self.order[b * self.width + hit]))
-                    scores = np.concatenate((scores, dots[hit]))
-                    best = np.lexsort((found, -np.round(scores, 5)))[:k]
-                    found, scores = found[best], scores[best]
-            yield found, scores
+            real = best[q] > 0
+            yield total - 1 - best[q][real] % total, exact[q][real]
 
 
 class Voter:
