@@ -78,8 +78,9 @@ class BlockMaxIndex:
     many vectors hold are columns of a matrix, with their largest value in each block;
     the others are postings. For a batch of queries, the largest values give a bound
     for each block in one product, to which the postings' exact sums are added. Blocks
-    are taken from the highest bound on, and opened for those queries whose k-th best
-    score is below their bound, so nothing that could matter stays closed. Products are
+    are taken from the highest bound on, each query's own best first, and opened for
+    those queries whose k-th best score is below their bound, so nothing that could
+    matter stays closed. Products are
     single precision; scores count to five digits, and equal ones go by number.
     """
 
@@ -126,20 +127,28 @@ class BlockMaxIndex:
         total = len(self.order) + 1
         best = np.zeros((n, k), np.int64)
         exact = np.zeros((n, k), np.float32)
-        for b in np.argsort(-bounds.max(axis=0), kind="stable").tolist():
+        closed = bounds > 0
+
+        def open_block(b: int, wanted: np.ndarray) -> None:
+            closed[wanted, b] = False
+            self.opened += len(wanted)
             own = self.order[b * self.width : (b + 1) * self.width]
-            open_ = np.flatnonzero((bounds[:, b] > 0) & (bounds[:, b] + 2e-5 >= exact[:, -1]))
-            if not len(open_):
-                continue
-            self.opened += len(open_)
-            dots = query[open_] @ self.matrix[b * self.width : b * self.width + len(own)].T + part[open_, b, : len(own)]
+            dots = query[wanted] @ self.matrix[b * self.width : b * self.width + len(own)].T + part[wanted, b, : len(own)]
             rank = np.round(dots * 1e5).astype(np.int64) * total + (total - 1 - own)
             rank[dots <= 0] = 0
-            rank = np.concatenate((best[open_], rank), axis=1)
-            dots = np.concatenate((exact[open_], dots), axis=1)
+            rank = np.concatenate((best[wanted], rank), axis=1)
+            dots = np.concatenate((exact[wanted], dots), axis=1)
             top = np.argsort(-rank, axis=1, kind="stable")[:, :k]
-            best[open_] = np.take_along_axis(rank, top, axis=1)
-            exact[open_] = np.where(best[open_] > 0, np.take_along_axis(dots, top, axis=1), 0)
+            best[wanted] = np.take_along_axis(rank, top, axis=1)
+            exact[wanted] = np.where(best[wanted] > 0, np.take_along_axis(dots, top, axis=1), 0)
+
+        for turn in np.argsort(-bounds, axis=1, kind="stable")[:, :2].T:  # each query's own best blocks
+            for b in np.unique(turn).tolist():
+                if len(wanted := np.flatnonzero((turn == b) & closed[:, b])):
+                    open_block(b, wanted)
+        for b in np.argsort(-bounds.max(axis=0), kind="stable").tolist():
+            if len(wanted := np.flatnonzero(closed[:, b] & (bounds[:, b] + 2e-5 >= exact[:, -1]))):
+                open_block(b, wanted)
         for q in range(n):
             real = best[q] > 0
             yield total - 1 - best[q][real] % total, exact[q][real]
@@ -314,7 +323,8 @@ def fit(
     if not sizes:
         return Voter([], [], [], 0, [], empty, neighbours, {})
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-    seen = _term_rows(examples)
+    # few rows, but each with thousands of terms: dealt out, so that no task has them all
+    seen = _term_rows(examples.repartition(docs.sparkSession.sparkContext.defaultParallelism))
 
     def part(observed, of, other):  # one term of the likelihood ratio
         expected = of * (observed + other) / F.lit(float(max(1, n1 + n0)))
