@@ -19,14 +19,18 @@ from millrace.llm.tokens import encoder
 #: A window holds KEYS positions and scores the last STEP of them, so windows
 #: overlap by half and every position is scored once.
 STEP, KEYS = 16, 32
-WIDTH, INNER = 16, 48
+WIDTH, INNER = 32, 64
 #: Windows handled together, words that a task counts before it hands them on.
 BATCH_WINDOWS, COUNT_WORDS = 512, 200_000
 #: Blocks that one shard trains on in a round, sums of shards that reach the driver.
-SHARD_BLOCKS, SUMS = 25_000, 8
+SHARD_BLOCKS, SUMS = 8_000, 8
+#: Squared gradients that every parameter starts with, so that a row met once moves little.
+FIRST_SQUARES = 0.1
 #: Positions whose next codes are looked at together.
 CODE_POSITIONS, SHARED_POSITIONS = 1 << 18, 48
 LOG10 = math.log(10.0)
+#: Log odds of a branch stay within this, in training and scoring alike.
+BRANCH = 17
 
 
 def lower_words(text: bytes | None) -> list[bytes]:
@@ -166,7 +170,7 @@ class Model:
             path = self.tree.path(codes[s])
             z = self.signed[path] @ states[s : s + n].T
             z += self.signed_bias[path][:, None]
-            np.exp(np.clip(z, -17, 17, out=z), out=z)  # bounded, so the product is
+            np.exp(np.clip(z, -BRANCH, BRANCH, out=z), out=z)  # bounded, so the product is
             z += 1
             out[order[s : s + n]] = -np.log(np.multiply.reduce(z, axis=0, dtype=np.float64))
         rest = np.flatnonzero(~np.repeat(often, sizes) & (self.tree.size.take(codes) > 0))
@@ -176,7 +180,7 @@ class Model:
             at = np.arange(size.sum()) + np.repeat(self.tree.start.take(codes[rest]) - begin, size)
             z = np.einsum("pd,pd->p", self.signed.take(at, 0), states.take(np.repeat(rest, size), 0))
             z += self.signed_bias.take(at)
-            factors = 1 + np.exp(np.clip(z, -17, 17), dtype=np.float64)
+            factors = 1 + np.exp(np.clip(z, -BRANCH, BRANCH), dtype=np.float64)
             out[order[rest]] = -np.log(np.multiply.reduceat(factors, begin))
         out[order[codes == self.tree.n_codes - 1]] -= self.rare
         return out
@@ -216,7 +220,7 @@ class Trainer:
     def __init__(self, tree: SubwordTree, p: dict[str, np.ndarray]):
         self.tree = tree
         self.p = {k: v.copy() for k, v in p.items()}
-        self.g2 = {k: np.full(v.shape, 1e-3, np.float32) for k, v in p.items()}
+        self.g2 = {k: np.full(v.shape, FIRST_SQUARES, np.float32) for k, v in p.items()}
         self.seen = np.zeros(len(p["emb"]), np.float32)
         self.used = np.zeros(len(p["node"]), np.float32)
 
@@ -253,9 +257,10 @@ class Trainer:
         rows, nodes, signs = self.tree.paths(flat[on])
         where = on[rows]
         z = -signs * (np.einsum("pd,pd->p", p["node"][nodes], g[where]) + p["bias"][nodes])
+        np.clip(z, -BRANCH, BRANCH, out=z)  # the bound of scoring
         loss = float((np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z)))).sum()) / max(1, len(on))
         scale = 1.0 / STEP
-        dz = (-signs / (1 + np.exp(-np.clip(z, -30, 30))) * scale).astype(np.float32)
+        dz = (-signs / (1 + np.exp(-z)) * (np.abs(z) < BRANCH) * scale).astype(np.float32)
         dg = np.zeros_like(g)
         begin = np.searchsorted(rows, np.arange(len(on)))
         if len(on):
@@ -524,7 +529,7 @@ def fit(
     one_in: int = 1,
     block_words: int = 96,
     rounds: int = 4,
-    shards: int = 8,
+    shards: int = 1,
     batch_windows: int = 32,
     rate: float = 0.35,
 ) -> Model:
@@ -532,9 +537,11 @@ def fit(
 
     Subword counts of the whole corpus make the tree and its first biases. The
     weights are learnt from all blocks of all texts (from one in ``one_in``, where
-    asked for), each read once. At least ``shards`` shards train in parallel and
-    are averaged after each of ``rounds`` passes, each over its own part of the
-    blocks; the learning rate falls from ``rate`` to a tenth over all passes.
+    asked for), each read once. Shards of up to SHARD_BLOCKS blocks (``shards`` of
+    them at least: averaging copies that each saw little learns less than one copy
+    does) train in parallel and are averaged after each of ``rounds`` passes, each
+    over its own part of the blocks; the learning rate falls from ``rate`` to a tenth
+    over all passes.
     """
     enc = encoder(vocabulary)
     subwords = _subword_counts(counts, vocabulary, end_id, n_docs)

@@ -173,3 +173,25 @@ def test_scores_come_from_the_trained_model():
     assert (model.query @ model.key.T).max() > 30
     loss = trainer.step(*trainer.block(codes, True), 0.1)
     assert model.score([codes])[0] * math.log(10) == pytest.approx(-loss * len(codes), rel=1e-3)
+
+
+def test_shards_follow_the_size_and_are_averaged(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_BLOCKS", 20)
+    monkeypatch.setattr(lm, "SUMS", 2)
+    tree = lm.SubwordTree({i: 5 for i in range(20)}, 20)
+    rows = [(i, True, np.arange(i % 5, 15, dtype=np.int64).astype(tree.stored).tobytes()) for i in range(90)]
+    blocks = spark.createDataFrame(rows, "key long, start boolean, codes binary")
+    params = lm.initial(tree)
+    after = lm._trained(blocks, spark.sparkContext.broadcast(tree), params, 1, 4, (0.3, 0.1))
+    assert all(np.isfinite(v).all() and v.shape == params[k].shape for k, v in after.items())
+    codes = [np.arange(15)]
+    assert lm.Model(tree, after).score(codes)[0] > lm.Model(tree, params).score(codes)[0]
+
+
+def test_held_out_rows_score_above_their_unigram_base(spark):
+    """At the parameters of the query, over the real table."""
+    from millrace.llm.queries import language_scores
+
+    held = language_scores(spark, "/root/testdata/sf0.01").filter("held_out")
+    r = held.agg(F.sum("score").alias("score"), F.sum("base_score").alias("base")).first()
+    assert r.score > r.base
