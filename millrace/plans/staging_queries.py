@@ -10,6 +10,7 @@ from millrace.operators import review
 from millrace.operators.coerce import clean_text, coerce_types, trim_text, typed
 from millrace.operators.coerce import stored_form
 from millrace.operators.mapping import FieldMap
+from millrace.operators.pages import OrderIndex
 from millrace.operators.validate import (
     error_log,
     error_summary,
@@ -549,6 +550,24 @@ def page_slice(spark, sf):
     return review.page_slice(orders, page=3, size=25, order_by="o_orderkey")
 
 
+@query(
+    "page_by_index",
+    "SELECT l_shipdate, l_orderkey, l_linenumber FROM lineitem "
+    "ORDER BY l_shipdate, l_orderkey, l_linenumber LIMIT 100 OFFSET 2000",
+)
+def page_by_index(spark, sf):
+    """A deep page on a column with ties, from the files that hold it."""
+    items = table(spark, sf, "lineitem").select("l_shipdate", "l_orderkey", "l_linenumber")
+    return OrderIndex.build(items, "l_shipdate").page(20, 100)
+
+
+@query("page_of_rows", 'SELECT "Row", id, segment FROM raw WHERE "Row" > 40 AND "Row" <= 80', STAGED_SQL)
+def page_of_rows(spark, sf):
+    """A page of a staged batch by its row numbers, as a range on the stored place."""
+    batch = staged(spark, sf).select("Row", "id", "segment")
+    return OrderIndex.build(batch, "Row").page(1, 40)
+
+
 @query(
     "commit_reviewed",
     'SELECT id, nation, bal, segment, flag, CASE "Row" % 3 WHEN 1 THEN \'[a, b, c]\' ELSE \'[a, b]\' END AS tags '

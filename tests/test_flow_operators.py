@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from millrace import Project, TableSchema
 from millrace.operators import charts, mapping, review
 from millrace.operators.asof import asof_join
+from millrace.operators.pages import OrderIndex
 from millrace.operators.profile import common_values, data_dictionary
 from millrace.operators.reports import MissingDataset, ReportRegistry
 from millrace.operators.shape import cast_to, conform, pad_missing, schema_order
@@ -413,3 +414,38 @@ def test_pages_of_equal_values_neither_overlap_nor_skip(spark):
     pages = [[r.x for r in page_slice(df, k, 7, "v").collect()] for k in range(8)]
     assert sorted(x for p in pages for x in p) == list(range(50))
     assert [len(p) for p in pages] == [7] * 7 + [1]
+
+
+def test_order_index_pages(spark, tmp_path):
+    df = spark.range(100).select((F.col("id") % 3).alias("v"), F.col("id").alias("x y"), F.lit(None).cast("int").alias("z"))
+    index = OrderIndex.build(df.repartition(6), "v", str(tmp_path / "a"))
+    whole = sorted((i % 3, i) for i in range(100))
+    for size in (7, 40, 300):
+        pages = [index.page(k, size, "Row").collect() for k in range(-(-100 // size))]
+        assert [(r.v, r["x y"]) for p in pages for r in p] == whole
+        assert [r.Row for p in pages for r in p] == list(range(1, 101))
+    assert index.page(100, 7).count() == 0 and index.page(100, 7).columns == df.columns
+    assert index.count() == 100
+    again = OrderIndex(spark, str(tmp_path / "a"))
+    assert again.page(3, 7).collect() == index.page(3, 7).collect()
+    with pytest.raises(ValueError):
+        index.page(-1, 7)
+
+
+def test_order_index_reads_a_pages_files_only(spark, tmp_path):
+    df = spark.range(0, 4000, 1, 8).select(F.lit("same").alias("v"), F.col("id"))
+    index = OrderIndex.build(df, (), str(tmp_path / "a"))  # its own order
+    assert index.files.count() == 8
+    page = index.page(70, 50)
+    assert len(page.inputFiles()) == 1 and [r.id for r in page.collect()] == list(range(3500, 3550))
+    assert len(index.page(0, 600).inputFiles()) == 2
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(__at), GreaterThanOrEqual(__at" in plan
+
+
+def test_order_index_of_nothing_and_of_equal_rows(spark, tmp_path):
+    none = OrderIndex.build(spark.range(0), "id", str(tmp_path / "a"))
+    assert none.page(0, 5, "Row").collect() == [] and none.count() == 0
+    equal = spark.range(60).select(F.lit(1).alias("v"))
+    index = OrderIndex.build(equal, "v", str(tmp_path / "b"))
+    assert sum(index.page(k, 7).count() for k in range(9)) == 60
