@@ -564,7 +564,7 @@ def page_by_index(spark, sf):
 @query("page_of_rows", 'SELECT "Row", id, segment FROM raw WHERE "Row" > 40 AND "Row" <= 80', STAGED_SQL)
 def page_of_rows(spark, sf):
     """A page of a staged batch by its row numbers, as a range on the stored place."""
-    batch = staged(spark, sf).select("Row", "id", "segment")
+    batch = raw(spark, sf).select("Row", "id", "segment")
     return OrderIndex.build(batch, "Row").page(1, 40)
 
 
