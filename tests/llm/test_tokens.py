@@ -40,6 +40,24 @@ def test_memo_turns_over(monkeypatch):
         assert np.frombuffer(enc.encode(text), enc.dtype).tolist() == whole.encode(text).ids
 
 
+def test_worker_keeps_only_chunks_that_occur_again():
+    enc = tokens.Encoder(PATH)
+    for k in range(4):
+        texts = [" ".join([*(f"w{i}x" for i in range(k * 9000 + j, k * 9000 + j + 300)), "again"]) for j in range(0, 9000, 300)]
+        got = [np.frombuffer(x, enc.dtype).tolist() for x in tokens._encoded(enc, pa.array(texts))]
+        assert got == [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert " again" in enc.young and len(enc.young) + len(enc.old) < 100
+
+
+def test_words_cut_from_their_punctuation_keep_their_ids():
+    rng = random.Random(3)
+    enc, whole = tokens.Encoder(PATH), Tokenizer.from_file(PATH)
+    bits = [" ", "\n", "a", "Éa", "it's", "'re", "'", ",", "!!", "$", "_", "(x)", "×", "²", "ɐ", "12", "日", "\u0301", "\x85", "Ġ"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 12))) for _ in range(3000)]
+    got = [np.frombuffer(x, enc.dtype).tolist() for x in tokens._encoded(enc, pa.array(texts))]
+    assert got == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_round_trip_over_many_shards(spark, tmp_path):
     rng = random.Random(2)
     rows = [(i * 3 % 101, " ".join(rng.choices(["ab", "Cd,", "é", "x\ny"], k=rng.randint(0, 60)))) for i in range(101)]
