@@ -271,7 +271,9 @@ def decontaminate(
     clash = {c.lower() for c in docs.columns} & {"n_words", "spans", "items"}
     source = docs if not clash else docs.select(F.struct(*map(column, docs.columns)).alias("kept"), column(text_col).alias("cut"))
     name = "cut" if clash else text_col
-    found = find_items(source, benchmark, name, item_id_col, item_text_col, window, block_words)
+    # a filter on the hits would scan a second time, and each Python step of a task has
+    # a worker of its own that stays: the hits are written before they are used
+    found = saved(find_items(source, benchmark, name, item_id_col, item_text_col, window, block_words), "hits")
     found = found.filter(hit_words() <= max_coverage * F.col("n_words"))
     long_enough = F.filter("spans", lambda s: s["last"] - s["first"] + 1 >= min_span)
     text = F.when(F.size(long_enough) > 0, _without(column(name), long_enough)).otherwise(column(name))

@@ -68,6 +68,12 @@ def test_passages_are_cut_and_clean_texts_stay(spark):
     assert dict(plain(short.select("doc_id", "text"))) == {i: t for i, t in ((r[0], r[1]) for r in rows)}
 
 
+def test_a_task_runs_one_python_step(spark):
+    """Each further one holds a worker process beside the first, in every task slot."""
+    out = decontaminate(docs(spark, [(1, "a b c"), (2, None)]), bench(spark, [(1, "b c")]))
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [") == 1
+
+
 def test_empty_tables(spark):
     assert find_items(docs(spark, []), bench(spark, [(1, "a")])).count() == 0
     none = find_items(docs(spark, [(1, "a b")]), bench(spark, []))
