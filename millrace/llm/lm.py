@@ -230,8 +230,10 @@ class Trainer:
             self.p[name] -= rate * grad / np.sqrt(self.g2[name])
             return
         order = np.argsort(rows.astype(self.tree.code_type), kind="stable")
-        own, first = np.unique(rows[order], return_index=True)
-        total = np.add.reduceat(grad[order], first, axis=0)
+        rows = rows.take(order)
+        first = np.flatnonzero(np.diff(rows, prepend=-1))
+        own = rows.take(first)
+        total = np.add.reduceat(grad.take(order, 0), first, axis=0)
         self.g2[name][own] += total**2
         self.p[name][own] -= rate * total / np.sqrt(self.g2[name][own])
 
@@ -256,7 +258,8 @@ class Trainer:
         on = np.flatnonzero(flat >= 0)
         rows, nodes, signs = self.tree.paths(flat[on])
         where = on[rows]
-        z = -signs * (np.einsum("pd,pd->p", p["node"][nodes], g[where]) + p["bias"][nodes])
+        branch, state = p["node"].take(nodes, 0), g.take(where, 0)
+        z = -signs * (np.einsum("pd,pd->p", branch, state) + p["bias"].take(nodes))
         np.clip(z, -BRANCH, BRANCH, out=z)  # the bound of scoring
         loss = float((np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z)))).sum()) / max(1, len(on))
         scale = 1.0 / STEP
@@ -264,8 +267,8 @@ class Trainer:
         dg = np.zeros_like(g)
         begin = np.searchsorted(rows, np.arange(len(on)))
         if len(on):
-            dg[on] = np.add.reduceat(dz[:, None] * p["node"][nodes], begin, axis=0) * (self.tree.size[flat[on]] > 0)[:, None]
-        self._move("node", dz[:, None] * g[where], rate, nodes)
+            dg[on] = np.add.reduceat(dz[:, None] * branch, begin, axis=0) * (self.tree.size[flat[on]] > 0)[:, None]
+        self._move("node", dz[:, None] * state, rate, nodes)
         self._move("bias", dz, rate * 0.3, nodes)
         dw2 = u.T @ dg
         du = (dg @ p["w2"].T) * (u > 0)
@@ -290,8 +293,8 @@ class Trainer:
             self._move(name, grad, slow)
         real = keys.reshape(-1) >= 0
         self._move("emb", dx.reshape(-1, d)[real], rate, safe.reshape(-1)[real])
-        np.add.at(self.seen, safe.reshape(-1)[real], 1)
-        np.add.at(self.used, nodes, 1)
+        self.seen += np.bincount(safe.reshape(-1)[real], minlength=len(self.seen))
+        self.used += np.bincount(nodes, minlength=len(self.used))
         return loss
 
     def block(self, codes: np.ndarray, start: bool) -> tuple[np.ndarray, np.ndarray]:

@@ -87,6 +87,16 @@ def test_gradients():
             assert grads[name][at] == pytest.approx(numeric, rel=0.05, abs=2e-3), name
 
 
+def test_rows_met_are_counted():
+    tree, p = small_model(5)
+    trainer = lm.Trainer(tree, p)
+    keys, targets = trainer.block(np.random.default_rng(2).integers(0, tree.n_codes, 40), True)
+    trainer.step(keys, targets, 0.1)
+    met, nodes = Counter(keys[keys >= 0].tolist()), tree.paths(targets[targets >= 0])[1]
+    assert trainer.seen.tolist() == [met[i] for i in range(len(trainer.seen))]
+    assert trainer.used.tolist() == [Counter(nodes.tolist())[i] for i in range(len(trainer.used))]
+
+
 def test_training_lowers_the_loss():
     rng = random.Random(1)
     tree = lm.SubwordTree({i: 100 for i in range(10)}, 10)
