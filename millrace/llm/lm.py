@@ -9,25 +9,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.frames import column, packed, saved, unpacked
-from millrace.llm.tokens import encoder
+from millrace.llm.frames import column, packed, portions, saved, unpacked
+from millrace.llm.tokens import TOGETHER, encoder
 
 #: A window holds KEYS positions and scores the last STEP of them, so windows
 #: overlap by half and every position is scored once.
 STEP, KEYS = 16, 32
 WIDTH, INNER = 32, 64
 #: Windows handled together, words that a task counts before it hands them on.
-BATCH_WINDOWS, COUNT_WORDS = 512, 200_000
+BATCH_WINDOWS, COUNT_WORDS = 128, 200_000
 #: Blocks that one shard trains on in a round, sums of shards that reach the driver.
 SHARD_BLOCKS, SUMS = 8_000, 8
 #: Squared gradients that every parameter starts with, so that a row met once moves little.
 FIRST_SQUARES = 0.1
 #: Positions whose next codes are looked at together.
 CODE_POSITIONS, SHARED_POSITIONS = 1 << 18, 48
+#: Nodes of the tree, the heaviest ones, whose branches are taken for all states at once.
+TOP_NODES = 48
 LOG10 = math.log(10.0)
 #: Log odds of a branch stay within this, in training and scoring alike.
 BRANCH = 17
@@ -76,6 +79,15 @@ class SubwordTree:
         self.size = np.array(sizes, np.int64)
         self.start = np.concatenate(([0], np.cumsum(self.size)[:-1]))
         self.n_codes = n
+        # nodes are numbered by weight and paths run to the root, so the nodes that
+        # most paths share are the last ones, at the ends of the paths
+        self.first_top = max(0, n - 1 - TOP_NODES)
+        self.deep = np.concatenate(([0], np.cumsum(self.nodes < self.first_top)))
+        self.deep = self.deep[self.start + self.size] - self.deep[self.start]
+        self.top_signs = np.zeros((n, n - 1 - self.first_top), np.int8)
+        top = self.nodes >= self.first_top
+        leaf = np.repeat(np.arange(n), self.size)
+        self.top_signs[leaf[top], self.nodes[top] - self.first_top] = self.signs[top]
         self.code_type = np.uint16 if n < 1 << 16 else np.int64  # short keys sort fast
         self.stored = "<u2" if n < 1 << 16 else "<i4"
 
@@ -214,88 +226,203 @@ class Model:
         return total / LOG10
 
 
+def _sums(a: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the rows from each of ``first`` up to the next."""
+    pairs = a.view(np.result_type(a, np.complex64))  # adds the same numbers, two at a time
+    return np.add.reduceat(pairs, first, axis=0).view(a.dtype)
+
+
+def _wrong(turned: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    """Gradients of branches from their log odds times their signs, in place of these."""
+    bound = max(turned.max(initial=0), -turned.min(initial=0)) >= BRANCH  # the bound of scoring
+    inside = np.abs(turned) < BRANCH if bound else None
+    if bound:
+        np.clip(turned, -BRANCH, BRANCH, out=turned)
+    np.exp(turned, out=turned)
+    turned += 1
+    np.divide(signs, turned, out=turned)
+    turned *= np.float32(-1 / STEP)
+    if bound:
+        turned *= inside
+    return turned
+
+
 class Trainer:
     """Adagrad steps on batches of windows; touched rows only."""
 
-    def __init__(self, tree: SubwordTree, p: dict[str, np.ndarray]):
+    def __init__(self, tree: SubwordTree, p: dict[str, np.ndarray], losses: bool = True):
         self.tree = tree
         self.p = {k: v.copy() for k, v in p.items()}
         self.g2 = {k: np.full(v.shape, FIRST_SQUARES, np.float32) for k, v in p.items()}
         self.seen = np.zeros(len(p["emb"]), np.float32)
-        self.used = np.zeros(len(p["node"]), np.float32)
+        self.followed = np.zeros(tree.n_codes, np.int64)
+        self.top_signs = tree.top_signs.astype(np.float32)
+        self.losses = losses
+
+    def _summed(self, rows: np.ndarray, order: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct rows and the sums of their gradients, which come in ``order``."""
+        rows = rows.take(order)
+        first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+        return rows.take(first), _sums(grad, first)
+
+    def _order(self, rows: np.ndarray) -> np.ndarray:
+        return np.argsort(rows.astype(self.tree.code_type), kind="stable")
 
     def _move(self, name: str, grad: np.ndarray, rate: float, rows: np.ndarray | None = None) -> None:
+        """Against the gradient, of all rows or of the given distinct ones."""
+        p, squares = self.p[name], self.g2[name]
         if rows is None:
-            self.g2[name] += grad**2
-            self.p[name] -= rate * grad / np.sqrt(self.g2[name])
+            squares += grad * grad
+            p -= rate * grad / np.sqrt(squares)
             return
-        order = np.argsort(rows.astype(self.tree.code_type), kind="stable")
-        rows = rows.take(order)
-        first = np.flatnonzero(np.diff(rows, prepend=-1))
-        own = rows.take(first)
-        total = np.add.reduceat(grad.take(order, 0), first, axis=0)
-        self.g2[name][own] += total**2
-        self.p[name][own] -= rate * total / np.sqrt(self.g2[name][own])
+        own = squares.take(rows, 0)
+        own += grad * grad
+        squares[rows] = own
+        np.sqrt(own, out=own)
+        np.divide(grad, own, out=own)
+        own *= -rate
+        own += p.take(rows, 0)
+        p[rows] = own
+
+    def _branches(self, states: np.ndarray, codes: np.ndarray, rate: float) -> tuple[np.ndarray, float]:
+        """Moves the branches of the codes that follow the states; the gradient of the
+        states and the sum of the losses."""
+        tree, node, bias, loss = self.tree, self.p["node"], self.p["bias"], 0.0
+        # the nodes that most paths share: one product with all states
+        top = tree.first_top
+        signs = self.top_signs.take(codes, 0)
+        z = states @ node[top:].T
+        z += bias[top:]
+        z *= signs
+        if self.losses:
+            loss += float((np.log1p(np.exp(-np.clip(z, -BRANCH, BRANCH))) * (signs != 0)).sum())
+        dz = _wrong(z, signs)
+        rows, moved = np.arange(top, len(node)), dz.T @ states
+        d_states, d_bias = dz @ node[top:], dz.sum(0)
+        # those below, looked up one by one: the first branch of all paths that have
+        # one, then the second of those that have two (codes with long ones come first)
+        size = tree.deep.take(codes)
+        levels = np.searchsorted(-size, -np.arange(size.max()))
+        if len(levels):
+            at = np.concatenate([np.arange(m) for m in levels])
+            path = tree.start.take(codes).take(at)
+            path += np.repeat(np.arange(len(levels)), levels)
+            nodes, signs = tree.nodes.take(path), tree.signs.take(path)
+            branch = node.take(nodes, 0)
+            z = np.einsum("pd,pd->p", branch, states.take(at, 0))
+            z += bias.take(nodes)
+            z *= signs
+            if self.losses:
+                loss += float(np.log1p(np.exp(-np.clip(z, -BRANCH, BRANCH))).sum())
+            dz = _wrong(z, signs)[:, None]
+            branch *= dz
+            for m, end in zip(levels.tolist(), np.cumsum(levels).tolist(), strict=True):
+                d_states[:m] += branch[end - m : end]
+            order = self._order(nodes)
+            turned = states.take(at.take(order), 0)
+            turned *= dz.take(order, 0)
+            below, d_below = self._summed(nodes, order, turned)
+            d_bias_below = np.bincount(nodes, dz[:, 0], len(node)).astype(np.float32).take(below)
+            rows, moved = np.concatenate((below, rows)), np.concatenate((d_below, moved))
+            d_bias = np.concatenate((d_bias_below, d_bias))
+        self._move("node", moved, rate, rows)
+        self._move("bias", d_bias, rate * 0.3, rows)
+        self.followed += np.bincount(codes, minlength=len(self.followed))
+        return d_states, loss
+
+    @property
+    def used(self) -> np.ndarray:
+        """How often each node was on the path of a code."""
+        tree = self.tree
+        times = np.repeat(self.followed, tree.size)
+        return np.bincount(tree.nodes, times, len(self.p["node"])).astype(np.float32)
 
     def step(self, keys: np.ndarray, targets: np.ndarray, rate: float) -> float:
         """One step on windows ``keys`` (n, KEYS; -1 pads) and next codes of their
         last STEP positions (n, STEP; -1 where nothing is scored)."""
         p, n, d = self.p, len(keys), WIDTH
-        mask = (keys >= 0)[:, None, :] * _CAUSAL[None]
-        safe = np.maximum(keys, 0)
-        x = p["emb"][safe] * (keys >= 0)[:, :, None]
-        xq = x[:, STEP:].reshape(-1, d)
-        q = (xq @ p["q"]).reshape(n, STEP, d) / math.sqrt(d)
-        k, v = x @ p["k"], x @ p["v"]
-        s = np.minimum(q @ k.transpose(0, 2, 1), 30) + p["near"][_NEAR]
-        a = np.exp(s) * mask
+        # a window's first half is mostly the last half of the window before: halves
+        # are embedded and projected once
+        first, last = keys[:, :STEP], keys[:, STEP:]
+        follows = np.zeros(n, bool)
+        follows[1:] = (first[1:] == last[:-1]).all(1)
+        alone = np.flatnonzero(~follows & (first >= 0).any(1))
+        codes = np.concatenate((last, first[alone])).reshape(-1)
+        x = p["emb"].take(np.maximum(codes, 0), 0)
+        xq = x[: n * STEP]
+
+        def windows(h: np.ndarray) -> np.ndarray:
+            h, out = h.reshape(-1, STEP, d), np.empty((n, KEYS, d), h.dtype)
+            out[0, :STEP] = 0
+            out[1:, :STEP] = h[: n - 1]  # of no weight where a window begins with padding
+            out[alone, :STEP] = h[n:]
+            out[:, STEP:] = h[:n]
+            return out
+
+        q = (xq @ p["q"]).reshape(n, STEP, d)
+        q *= np.float32(1 / math.sqrt(d))
+        k, v = windows(x @ p["k"]), windows(x @ p["v"])
+        a = q @ k.transpose(0, 2, 1)
+        np.minimum(a, 30, out=a)
+        a += p["near"][_NEAR]
+        np.exp(a, out=a)
+        a *= _CAUSAL
+        a *= (keys >= 0)[:, None, :]
         a /= np.maximum(a.sum(2, keepdims=True), 1e-9)
         o = (a @ v).reshape(-1, d)
-        h = xq + o @ p["o"]
-        u = np.maximum(h @ p["w1"] + p["b1"], 0)
-        g = h + u @ p["w2"]
+        h = o @ p["o"]
+        h += xq
+        u = h @ p["w1"]
+        u += p["b1"]
+        np.maximum(u, 0, out=u)
+        g = u @ p["w2"]
+        g += h
         flat = targets.reshape(-1)
         on = np.flatnonzero(flat >= 0)
-        rows, nodes, signs = self.tree.paths(flat[on])
-        where = on[rows]
-        branch, state = p["node"].take(nodes, 0), g.take(where, 0)
-        z = -signs * (np.einsum("pd,pd->p", branch, state) + p["bias"].take(nodes))
-        np.clip(z, -BRANCH, BRANCH, out=z)  # the bound of scoring
-        loss = float((np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z)))).sum()) / max(1, len(on))
-        scale = 1.0 / STEP
-        dz = (-signs / (1 + np.exp(-z)) * (np.abs(z) < BRANCH) * scale).astype(np.float32)
-        dg = np.zeros_like(g)
-        begin = np.searchsorted(rows, np.arange(len(on)))
+        dg, loss = np.zeros_like(g), 0.0
         if len(on):
-            dg[on] = np.add.reduceat(dz[:, None] * branch, begin, axis=0) * (self.tree.size[flat[on]] > 0)[:, None]
-        self._move("node", dz[:, None] * state, rate, nodes)
-        self._move("bias", dz, rate * 0.3, nodes)
+            on = on.take(np.argsort(-self.tree.deep.take(flat.take(on)), kind="stable"))
+            dg[on], loss = self._branches(g.take(on, 0), flat.take(on), rate)
         dw2 = u.T @ dg
-        du = (dg @ p["w2"].T) * (u > 0)
+        du = dg @ p["w2"].T
+        du *= u > 0
         dw1, db1 = h.T @ du, du.sum(0)
-        dh = dg + du @ p["w1"].T
+        dh = du @ p["w1"].T
+        dh += dg
         do = (dh @ p["o"].T).reshape(n, STEP, d)
         dwo = o.T @ dh
-        dv = a.transpose(0, 2, 1) @ do
         da = do @ v.transpose(0, 2, 1)
-        ds = a * (da - (da * a).sum(2, keepdims=True))
-        dq = (ds @ k / math.sqrt(d)).reshape(-1, d)
-        dk = ds.transpose(0, 2, 1) @ q
+        da -= np.einsum("nd,nd->n", do.reshape(-1, d), o).reshape(n, STEP, 1)  # = sum of a * da
+        ds = np.multiply(a, da, out=da)
+        dq = (ds @ k).reshape(-1, d)
+        dq *= np.float32(1 / math.sqrt(d))
+
+        def halves(dw: np.ndarray) -> np.ndarray:
+            """Gradients of windows added up by half."""
+            out = np.empty((n + len(alone), STEP, d), dw.dtype)
+            out[:n] = dw[:, STEP:]
+            out[: n - 1] += dw[1:, :STEP] * follows[1:, None, None]
+            out[n:] = dw[alone, :STEP]
+            return out.reshape(-1, d)
+
+        dv, dk = halves(a.transpose(0, 2, 1) @ do), halves(ds.transpose(0, 2, 1) @ q)
         dnear = np.bincount(_NEAR.reshape(-1), ds.sum(0).reshape(-1), KEYS).astype(np.float32)
-        dx = dv @ p["v"].T + dk @ p["k"].T
-        dx[:, STEP:] += (dh + dq @ p["q"].T).reshape(n, STEP, d)
-        x2 = x.reshape(-1, d)
+        dx = dv @ p["v"].T
+        dx += dk @ p["k"].T
+        dh += dq @ p["q"].T
+        dx[: n * STEP] += dh
         slow = rate * 0.3
-        self._move("q", xq.T @ dq, slow)
-        self._move("k", x2.T @ dk.reshape(-1, d), slow)
-        self._move("v", x2.T @ dv.reshape(-1, d), slow)
-        for name, grad in (("o", dwo), ("near", dnear), ("w1", dw1), ("b1", db1), ("w2", dw2)):
+        for name, grad in (
+            ("q", xq.T @ dq), ("k", x.T @ dk), ("v", x.T @ dv), ("o", dwo), ("near", dnear), ("w1", dw1), ("b1", db1), ("w2", dw2)
+        ):
             self._move(name, grad, slow)
-        real = keys.reshape(-1) >= 0
-        self._move("emb", dx.reshape(-1, d)[real], rate, safe.reshape(-1)[real])
-        self.seen += np.bincount(safe.reshape(-1)[real], minlength=len(self.seen))
-        self.used += np.bincount(nodes, minlength=len(self.used))
-        return loss
+        order = self._order(codes + 1)  # padding comes first, and has no gradient
+        order = order[np.count_nonzero(codes < 0) :]
+        if len(order):
+            rows, grad = self._summed(codes, order, dx.take(order, 0))
+            self._move("emb", grad, rate, rows)
+        self.seen += np.bincount(keys.reshape(-1) + 1, minlength=len(self.seen) + 1)[1:]
+        return loss / max(1, len(on))
 
     def block(self, codes: np.ndarray, start: bool) -> tuple[np.ndarray, np.ndarray]:
         """Windows and targets of a run of codes."""
@@ -304,11 +431,8 @@ class Trainer:
         stream = np.concatenate((np.full(STEP, -1), before, np.full(fill, -1))).astype(np.int64)
         target = np.concatenate((codes, np.full(fill, -1))).astype(np.int64)
         target[: 0 if start else 1] = -1
-        n = len(target) // STEP
-        keys = np.lib.stride_tricks.as_strided(
-            stream, (n, KEYS), (STEP * stream.itemsize, stream.itemsize)
-        )
-        return keys.copy(), target.reshape(n, STEP)
+        halves = stream.reshape(-1, STEP)
+        return np.concatenate((halves[:-1], halves[1:]), 1), target.reshape(-1, STEP)
 
 
 def _pack(p: dict[str, np.ndarray]) -> bytes:
@@ -393,9 +517,22 @@ def _subword_counts(counts: DataFrame, vocabulary: str, end_id: int, ends: int)
     return found
 
 
-def _codes(enc, tree: SubwordTree, words: list[bytes], end_id: int | None) -> np.ndarray:
-    ids = np.frombuffer(b"".join(enc.chunks([" " + w.decode() for w in words])), enc.dtype).astype(np.int64)
-    return tree.code[ids if end_id is None else np.append(ids, end_id)].astype(np.int64)
+def _coded(enc, tree: SubwordTree, texts: pa.Array) -> Iterator[tuple]:
+    """Some texts at a time: words of all of them as a dictionary array and as a list,
+    words of each text, codes of all words and where those of each word begin. Texts
+    that are encoded together ask the tokenizer once for each distinct word."""
+    texts = texts.cast(pa.binary())
+    for rows in portions(texts, TOGETHER):
+        words, sizes = [], []
+        for text in texts[rows].to_pylist():
+            own = lower_words(text)
+            words += own
+            sizes.append(len(own))
+        coded = pa.array(words, pa.large_binary()).dictionary_encode()
+        space, nothing = (pa.scalar(x, pa.large_binary()) for x in (b" ", b""))
+        led = pc.binary_join_element_wise(space, coded.dictionary, nothing)
+        ids, ends = enc.joined_ids(pa.DictionaryArray.from_arrays(coded.indices, led.cast(pa.large_string())))
+        yield coded, words, np.array(sizes, np.int64), tree.code.take(ids), np.append(0, ends)
 
 
 def _sample(docs: DataFrame, text_col: str, vocabulary: str, tree: Broadcast, end_id: int, block: int, one_in: int):
@@ -406,41 +543,54 @@ def _sample(docs: DataFrame, text_col: str, vocabulary: str, tree: Broadcast, en
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, kind, copies = encoder(vocabulary), tree.value.stored, Counter()
+        end = tree.value.code[[end_id]].astype(kind).tobytes()
         for batch in batches:
-            keys, starts, out, size = [], [], [], 0
-
-            def blocks() -> pa.RecordBatch:
-                return pa.record_batch(
-                    [pa.array(keys, pa.int64()), pa.array(starts, pa.bool_()), pa.array(out, pa.binary())],
-                    ["key", "start", "codes"],
-                )
-
-            for text in batch.column(0).cast(pa.binary()).to_pylist():
-                words = lower_words(text)
-                for at in range(0, max(1, len(words)), block):
-                    part = words[at : at + block]
-                    h = xxhash.xxh64_intdigest(b" ".join(part), at)
-                    if h % one_in == 0:
-                        last = at + block >= len(words)
-                        codes = _codes(enc, tree.value, part, end_id if last else None)
+            for _, words, sizes, codes, begin in _coded(enc, tree.value, batch.column(0)):
+                keys, starts, out, codes, first = [], [], [], codes.astype(kind), 0
+                for size in sizes.tolist():
+                    for at in range(0, max(1, size), block):
+                        low, high = first + at, first + min(at + block, size)
+                        h = xxhash.xxh64_intdigest(b" ".join(words[low:high]), at)
+                        if h % one_in:
+                            continue
                         if copies[h]:
                             keys.append(xxhash.xxh64_intdigest(h.to_bytes(8, "little"), copies[h]) >> 2)
                         else:
                             keys.append(h // one_in % (1 << 62))
                         copies[h] += 1
                         starts.append(at == 0)
-                        out.append(codes.astype(kind).tobytes())
-                        size += len(out[-1])
-                if size > 1 << 24:
-                    yield blocks()
-                    keys, starts, out, size = [], [], [], 0
-            yield blocks()
+                        out.append(codes[begin[low] : begin[high]].tobytes() + (end if at + block >= size else b""))
+                    first += size
+                yield pa.record_batch(
+                    [pa.array(keys, pa.int64()), pa.array(starts, pa.bool_()), pa.array(out, pa.binary())],
+                    ["key", "start", "codes"],
+                )
             if len(copies) > COUNT_WORDS:
                 copies.clear()
 
     return docs.select(column(text_col)).mapInArrow(cut, "key long, start boolean, codes binary")
 
 
+def full_batches(
+    windows: Iterator[tuple[np.ndarray, np.ndarray]], size: int
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Windows and targets of all blocks, ``size`` windows at a time; only the last
+    batch can be smaller."""
+    keys, targets, n = [], [], 0
+    for k, t in windows:
+        keys.append(k)
+        targets.append(t)
+        n += len(k)
+        if n >= size:
+            k, t = np.concatenate(keys), np.concatenate(targets)
+            rest = n % size
+            for at in range(0, n - rest, size):
+                yield k[at : at + size], t[at : at + size]
+            keys, targets, n = [k[n - rest :]], [t[n - rest :]], rest
+    if n:
+        yield np.concatenate(keys), np.concatenate(targets)
+
+
 def _trained(
     blocks: DataFrame, tree: Broadcast, params: dict, shards: int, batch_windows: int, rates: tuple[float, float]
 ) -> dict:
@@ -456,30 +606,19 @@ def _trained(
     planned = max(1.0, (size.n or 0) / shards / batch_windows)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer, keys, targets, n = Trainer(tree.value, shared.value), [], [], 0
-        steps = 0
-
-        def step() -> None:
-            nonlocal keys, targets, n, steps
-            k, t = np.concatenate(keys), np.concatenate(targets)
-            for at in range(0, len(k), batch_windows):
-                rate = rates[0] + (rates[1] - rates[0]) * min(1.0, steps / planned)
-                trainer.step(k[at : at + batch_windows], t[at : at + batch_windows], rate)
-                steps += 1
-            keys, targets, n = [], [], 0
-
-        for batch in batches:
-            for start, codes in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                codes = np.frombuffer(codes, tree.value.stored).astype(np.int64)
-                if len(codes) > 1:
-                    k, t = trainer.block(codes, start)
-                    keys.append(k)
-                    targets.append(t)
-                    n += len(k)
-                if n >= batch_windows:
-                    step()
-        if n:
-            step()
+        trainer, steps = Trainer(tree.value, shared.value, losses=False), 0
+
+        def windows() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for batch in batches:
+                for start, codes in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                    codes = np.frombuffer(codes, tree.value.stored).astype(np.int64)
+                    if len(codes) > 1:
+                        yield trainer.block(codes, start)
+
+        for keys, targets in full_batches(windows(), batch_windows):
+            rate = rates[0] + (rates[1] - rates[0]) * min(1.0, steps / planned)
+            trainer.step(keys, targets, rate)
+            steps += 1
         if steps:
             weighted = _weighted(trainer.p, trainer.seen, trainer.used)
             yield rows(weighted, trainer.seen, trainer.used, 1, TaskContext.get().partitionId())
@@ -566,35 +705,37 @@ def _scored(model: Broadcast, hot: Broadcast, vocabulary: str, end_id: int):
         "rare: array<struct<word: binary, n: bigint>>>"
     )
     def run(texts: pa.Array) -> pa.Array:
-        enc, table = encoder(vocabulary), hot.value
-        tree = model.value.tree
+        enc, table, tree = encoder(vocabulary), hot.value, model.value.tree
         n_tokens, known, base, scores, held, size = [], [], [], [], [], 0
-        rare_words, rare_counts, ends = [], [], [0]
-        for text in texts.cast(pa.binary()).to_pylist():
-            words = lower_words(text)
-            logs = list(map(table.get, words))
-            rare = Counter(w for w, x in zip(words, logs, strict=True) if x is None) if None in logs else {}
-            rare_words += rare
-            rare_counts += rare.values()
-            ends.append(len(rare_words))
-            n_tokens.append(len(words) + 1)
-            known.append(len(words) - sum(rare.values()))
-            base.append(math.fsum(x for x in logs if x is not None))
-            held.append(_codes(enc, tree, words, end_id))
-            size += len(held[-1])
-            if size > CODE_POSITIONS:
-                scores.append(model.value.score(held))
-                held, size = [], 0
+        rare_words, rare_counts, rare_sizes = [pa.array([], pa.large_binary())], [], [0]
+        for coded, _, sizes, codes, begin in _coded(enc, tree, texts):
+            names, word, n = coded.dictionary, coded.indices.to_numpy(), len(sizes)
+            logs = np.array([table.get(w, math.nan) for w in names.to_pylist()])[word] if len(word) else np.empty(0)
+            text, rare = np.repeat(np.arange(n), sizes), np.isnan(logs)
+            n_tokens += (sizes + 1).tolist()
+            known += (sizes - np.bincount(text[rare], minlength=n)).tolist()
+            base += np.bincount(text, np.where(rare, 0, logs), n).tolist()
+            pairs, times = np.unique(text[rare] * len(names) + word[rare], return_counts=True)
+            rare_words.append(names.take(pa.array(pairs % max(1, len(names)))))
+            rare_counts += times.tolist()
+            rare_sizes += np.bincount(pairs // max(1, len(names)), minlength=n).tolist()
+            ends = np.cumsum(sizes)
+            for low, high in zip(begin[ends - sizes].tolist(), begin[ends].tolist(), strict=True):
+                held.append(np.append(codes[low:high], tree.code[end_id]).astype(np.int64))
+                size += len(held[-1])
+                if size > CODE_POSITIONS:
+                    scores.append(model.value.score(held))
+                    held, size = [], 0
         scores.append(model.value.score(held))
         pairs = pa.StructArray.from_arrays(
-            [pa.array(rare_words, pa.binary()), pa.array(rare_counts, pa.int64())], ["word", "n"]
+            [pa.concat_arrays(rare_words).cast(pa.binary()), pa.array(rare_counts, pa.int64())], ["word", "n"]
         )
         columns = {
             "n_tokens": pa.array(n_tokens, pa.int64()),
             "known": pa.array(known, pa.int64()),
             "base": pa.array(base, pa.float64()),
             "score": pa.array(np.concatenate(scores)),
-            "rare": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs),
+            "rare": pa.ListArray.from_arrays(pa.array(np.cumsum(rare_sizes), pa.int32()), pairs),
         }
         return pa.StructArray.from_arrays(list(columns.values()), list(columns))
 

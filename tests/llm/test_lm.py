@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from helpers import clashing, docs
 from pyspark.sql import functions as F
@@ -205,3 +206,49 @@ def test_held_out_rows_score_above_their_unigram_base(spark):
     held = language_scores(spark, "/root/testdata/sf0.01").filter("held_out")
     r = held.agg(F.sum("score").alias("score"), F.sum("base_score").alias("base")).first()
     assert r.score > r.base
+
+
+def test_every_step_has_a_full_batch():
+    tree, p = small_model(6)
+    trainer, rng = lm.Trainer(tree, p), np.random.default_rng(3)
+    blocks = [trainer.block(rng.integers(0, tree.n_codes, n), True) for n in (100, 40, 16, 300, 2, 250)]
+    got = list(lm.full_batches(iter(blocks), 8))
+    assert {len(k) for k, _ in got[:-1]} == {8} and 0 < len(got[-1][0]) <= 8
+    for i in (0, 1):
+        assert np.array_equal(np.concatenate([x[i] for x in got]), np.concatenate([x[i] for x in blocks]))
+    assert list(lm.full_batches(iter([]), 8)) == []
+
+
+@pytest.mark.parametrize("top_nodes", [1, 3, 100])
+def test_a_step_does_not_depend_on_shared_halves_and_nodes(monkeypatch, top_nodes):
+    """Windows in an order in which none follows the one before, one branch at a time."""
+    monkeypatch.setattr(lm, "TOP_NODES", top_nodes)
+    tree, p = small_model(7)
+    p["node"] = p["node"] * 8  # some branches are beyond the bound
+    trainer = lm.Trainer(tree, p)
+    monkeypatch.setattr(lm, "TOP_NODES", 0)
+    plain = lm.Trainer(small_model(7)[0], p, losses=False)
+    rng = np.random.default_rng(4)
+    blocks = [trainer.block(rng.integers(0, tree.n_codes, n), n > 50) for n in (100, 40, 16, 90)]
+    keys, targets = (np.concatenate(x) for x in zip(*blocks))
+    mixed = np.argsort(np.arange(len(keys)) * 5 % len(keys), kind="stable")
+    trainer.step(keys, targets, 0.3)
+    plain.step(keys[mixed], targets[mixed], 0.3)
+    for name in p:
+        assert np.allclose(trainer.p[name], plain.p[name], atol=1e-5), name
+        assert np.abs(trainer.p[name] - p[name]).max() > 1e-4, name
+    assert np.array_equal(trainer.seen, plain.seen) and np.array_equal(trainer.used, plain.used)
+
+
+def test_words_of_several_texts_reach_the_tokenizer_together(monkeypatch):
+    enc = lm.encoder.__globals__["Encoder"](PATH)
+    tree = lm.SubwordTree({i: 1 for i in range(50_000)}, 50_257)
+    texts = ["The cat, the cat", None, "", "a\0b \x0b<|endoftext|> x caf\u00e9", " ".join(f"w{i}" for i in range(300)), "cat"]
+    asked, ask = [], enc.chunks
+    monkeypatch.setattr(enc, "chunks", lambda words, *rest: (asked.append(words), ask(words, *rest))[1])
+    (_, words, sizes, codes, begin), = lm._coded(enc, tree, pa.array(texts))
+    assert len(asked) == 1 and len(asked[0]) == len(set(asked[0])) == len(set(words))
+    assert sizes.tolist() == [len((t or "").encode().split()) for t in texts]
+    for i, w in enumerate(words):
+        ids = np.frombuffer(enc.whole(" " + w.decode()), enc.dtype)
+        assert codes[begin[i] : begin[i + 1]].tolist() == tree.code[ids].tolist()
