@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.frames import column, packed, portions, saved, unpacked
-from millrace.llm.tokens import TOGETHER, encoder
+from millrace.llm.tokens import TOGETHER, Encoder, encoder
 
 #: A window holds KEYS positions and scores the last STEP of them, so windows
 #: overlap by half and every position is scored once.
@@ -494,19 +494,30 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
     return part.groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _word_encoder(vocabulary: str) -> Encoder:
+    """The worker's encoder; all it is asked for here are words with a leading space."""
+    enc = encoder(vocabulary)
+    enc.quicken()
+    return enc
+
+
+def _led(words: pa.Array) -> pa.Array:
+    """Words with a leading space."""
+    space, nothing = (pa.scalar(x, pa.large_binary()) for x in (b" ", b""))
+    return pc.binary_join_element_wise(space, words, nothing).cast(pa.large_string())
+
+
 def _subword_counts(counts: DataFrame, vocabulary: str, end_id: int, ends: int) -> dict[int, int]:
     """Occurrences of each subword id in the corpus, from its word counts; one row
     per id of the vocabulary at most comes back."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
+        enc = _word_encoder(vocabulary)
         total = np.zeros(enc.tokenizer.get_vocab_size(), np.int64)
         for batch in batches:
-            words = [" " + w.decode() for w in batch.column(0).to_pylist()]
-            ids = enc.chunks(words)
-            size = [len(x) // enc.dtype.itemsize for x in ids]
-            weight = np.repeat(batch.column(1).to_numpy(), size)
-            np.add.at(total, np.frombuffer(b"".join(ids), enc.dtype), weight)
+            ids, after = enc.joined_ids(_led(batch.column(0).cast(pa.large_binary())))
+            weight = np.repeat(batch.column(1).to_numpy(), np.diff(after, prepend=0))
+            np.add.at(total, ids, weight)
         own = np.flatnonzero(total)
         yield pa.record_batch([pa.array(own, pa.int64()), pa.array(total[own])], ["id", "n"])
 
@@ -529,9 +540,7 @@ def _coded(enc, tree: SubwordTree, texts: pa.Array) -> Iterator[tuple]:
             words += own
             sizes.append(len(own))
         coded = pa.array(words, pa.large_binary()).dictionary_encode()
-        space, nothing = (pa.scalar(x, pa.large_binary()) for x in (b" ", b""))
-        led = pc.binary_join_element_wise(space, coded.dictionary, nothing)
-        ids, ends = enc.joined_ids(pa.DictionaryArray.from_arrays(coded.indices, led.cast(pa.large_string())))
+        ids, ends = enc.joined_ids(pa.DictionaryArray.from_arrays(coded.indices, _led(coded.dictionary)))
         yield coded, words, np.array(sizes, np.int64), tree.code.take(ids), np.append(0, ends)
 
 
@@ -542,7 +551,7 @@ def _sample(docs: DataFrame, text_col: str, vocabulary: str, tree: Broadcast, en
     import xxhash
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, kind, copies = encoder(vocabulary), tree.value.stored, Counter()
+        enc, kind, copies = _word_encoder(vocabulary), tree.value.stored, Counter()
         end = tree.value.code[[end_id]].astype(kind).tobytes()
         for batch in batches:
             for _, words, sizes, codes, begin in _coded(enc, tree.value, batch.column(0)):
@@ -705,7 +714,7 @@ def _scored(model: Broadcast, hot: Broadcast, vocabulary: str, end_id: int):
         "rare: array<struct<word: binary, n: bigint>>>"
     )
     def run(texts: pa.Array) -> pa.Array:
-        enc, table, tree = encoder(vocabulary), hot.value, model.value.tree
+        enc, table, tree = _word_encoder(vocabulary), hot.value, model.value.tree
         n_tokens, known, base, scores, held, size = [], [], [], [], [], 0
         rare_words, rare_counts, rare_sizes = [pa.array([], pa.large_binary())], [], [0]
         for coded, _, sizes, codes, begin in _coded(enc, tree, texts):

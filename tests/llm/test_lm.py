@@ -252,3 +252,61 @@ def test_words_of_several_texts_reach_the_tokenizer_together(monkeypatch):
     for i, w in enumerate(words):
         ids = np.frombuffer(enc.whole(" " + w.decode()), enc.dtype)
         assert codes[begin[i] : begin[i + 1]].tolist() == tree.code[ids].tolist()
+
+
+def led_words():
+    """Words of all kinds with a leading space: pieces of the vocabulary, contractions,
+    signs, other scripts and a special token."""
+    enc, rng = lm.encoder.__globals__["Encoder"](PATH), random.Random(9)
+    pieces = [enc.tokenizer.decode([i]) for i in rng.sample(range(enc.tokenizer.get_vocab_size()), 6000)]
+    pieces = [p for p in ("".join(p.split()) for p in pieces) if p and "\ufffd" not in p]
+    pieces += ["'s", "'ll", "don't", "...", "12", "\u00e9", "\u00f1", "\u00d7", "\u4e2d", "\u00b2", "\x00", "\x85", "<|endoftext|>", "<"]
+    words = ["".join(rng.choices(pieces, k=rng.randint(1, 3))) for _ in range(9000)]
+    return list(dict.fromkeys(" " + w.encode().lower().decode() for w in [*pieces, *words]))
+
+
+def test_quick_words_have_the_tokenizers_ids(monkeypatch):
+    words = led_words()
+    plain, quick = (lm.encoder.__globals__["Encoder"](PATH) for _ in range(2))
+    quick.quicken()
+    asked, ask = [], quick.chunks
+    monkeypatch.setattr(quick, "chunks", lambda chunks, *rest: (asked.extend(chunks), ask(chunks, *rest))[1])
+    order = np.random.default_rng(0).integers(0, len(words), 20_000)
+    parts = pa.DictionaryArray.from_arrays(pa.array(order), pa.array(words, pa.large_string()))
+    got, want = quick.joined_ids(parts), plain.joined_ids(parts)
+    assert np.array_equal(got[0], want[0]) and np.array_equal(got[1], want[1])
+    assert 0 < len(asked) < len(words) / 4  # the tokenizer gets only what could be cut otherwise
+    assert {" <", " \u4e2d", " <|endoftext|>"} <= set(asked) and not any(w[1:].isascii() and w[1:].isalnum() for w in asked)
+
+
+def test_words_cut_otherwise_go_to_the_tokenizer():
+    enc, plain = (lm.encoder.__globals__["Encoder"](PATH) for _ in range(2))
+    words = pa.array([" the", " cat", " sat", " \u00e9t\u00e9"], pa.large_string())
+    enc.quick = lambda text: plain.tokenizer.encode(text.replace(" ", "")).ids
+    got, want = enc.joined_ids(words), plain.joined_ids(words)
+    assert np.array_equal(got[0], want[0]) and np.array_equal(got[1], want[1])
+
+
+@pytest.mark.parametrize("case", ["order", "normalizer", "special", "library"])
+def test_other_vocabularies_are_not_quickened(tmp_path, monkeypatch, case):
+    import json
+    import sys
+
+    spec = json.loads(open(PATH, encoding="utf-8").read())
+    vocab = spec["model"]["vocab"]
+    if case == "order":  # ids of two merges change places
+        a, b = ("".join(m if isinstance(m, list) else m.split(" ")) for m in spec["model"]["merges"][10:12])
+        vocab[a], vocab[b] = vocab[b], vocab[a]
+    if case == "normalizer":
+        spec["normalizer"] = {"type": "Lowercase"}
+    if case == "special":
+        spec["added_tokens"][0]["content"] = "the"
+    if case == "library":
+        monkeypatch.setitem(sys.modules, "tiktoken", None)
+    (tmp_path / "v.json").write_text(json.dumps(spec), encoding="utf-8")
+    enc = lm.encoder.__globals__["Encoder"](str(tmp_path / "v.json"))
+    enc.quicken()
+    assert not enc.quick
+    words = pa.array([" the", " there", " caf\u00e9"], pa.large_string())
+    ids, ends = enc.joined_ids(words)
+    assert ids.tobytes() == b"".join(enc.whole(w) for w in words.to_pylist()) and len(ends) == 3
